@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ class PieceEncoder:
 
     def __init__(self, path: str):
         quiet_threads()
+        gc.set_threshold(200_000, 20, 50)  # the memos hold millions of strings and no cycles
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -53,8 +55,6 @@ class PieceEncoder:
 
     def _learn_words(self, words: list[str]) -> None:
         """Encode tokens that hold no white space, all at once where their ends can be told apart."""
-        if len(self.words) > MEMO_ENTRIES:
-            self.words = {}
         ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.type)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(words) and (not len(cuts) or cuts[-1] == len(ids)):
@@ -69,16 +69,16 @@ class PieceEncoder:
         own = {p: self.old[p] for p in pieces if p in self.old}
         parts: dict[str, list[str]] = {}
         for p in pieces - own.keys():
-            if self.common.fullmatch(p) and not ("<|" in p and any(s in p for s in self.special)):
+            if (p.isascii() or self.common.fullmatch(p)) and not ("<|" in p and any(s in p for s in self.special)):
                 parts[p] = self.token.findall(p.lower())
             else:
                 own[p] = self._alone(p)
-        if new := set().union(*parts.values()) - self.words.keys():
+        if len(self.words) > MEMO_ENTRIES:
+            self.words = {}
+        if new := {w for x in parts.values() for w in x if w not in self.words}:
             self._learn_words(sorted(new))
-        lost = set().union(*parts.values()) - self.words.keys()
-        if lost:
-            self._learn_words(sorted(lost))
-        own.update((p, b"".join(map(self.words.__getitem__, x))) for p, x in parts.items())
+        words = self.words
+        own.update((p, words[x[0]] if len(x) == 1 else b"".join([words[w] for w in x])) for p, x in parts.items())
         return own
 
     def encode(self, texts: Iterable[str | None], end_id: int) -> Iterator[np.ndarray]:
