@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name and the module that holds its ``query`` function and, where SQL can say it, ``SQL``.
 MODULES = {
+    "op1_imatch_fingerprints": "op1_imatch",
     "op2_bpe_token_count": "op2_bpe_count",
     "op5_token_records": "op5_records",
+    "op7_source_mixing": "op7_mixing",
+    "op8_rendezvous_shards": "op8_sharding",
     "op9_bestfit_packing": "op9_packing",
 }
 
