@@ -12,6 +12,7 @@ MODULES = {
     "op1_imatch_fingerprints": "op1_imatch",
     "op2_bpe_token_count": "op2_bpe_count",
     "op5_token_records": "op5_records",
+    "op6_language_id": "op6_langid",
     "op7_source_mixing": "op7_mixing",
     "op8_rendezvous_shards": "op8_sharding",
     "op9_bestfit_packing": "op9_packing",
