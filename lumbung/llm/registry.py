@@ -15,6 +15,7 @@ MODULES = {
     "op6_language_id": "op6_langid",
     "op7_source_mixing": "op7_mixing",
     "op8_rendezvous_shards": "op8_sharding",
+    "op10_substring_dedup": "op10_substrings",
     "op9_bestfit_packing": "op9_packing",
 }
 
