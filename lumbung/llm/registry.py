@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_imatch_fingerprints": "op1_imatch",
     "op2_bpe_token_count": "op2_bpe_count",
+    "op3_embedding_near_dedup": "op3_covertree",
     "op4_ngram_jaccard_join": "op4_jaccard",
     "op5_token_records": "op5_records",
     "op6_language_id": "op6_langid",
