@@ -48,9 +48,10 @@ def top_values(chunks: DataFrame, by: str, value: str, order: str, k: int) -> Da
 
 
 def warnings(stats: DataFrame) -> DataFrame:
-    """How many of the warning conditions hold for a row of :func:`quality_stats`."""
-    signs = [F.col("short") / F.col("rows") > 0.30, F.col("empty") > 0, F.col("duplicates") > 0, F.col("mean_length") < 200, F.col("long") == 0]
-    return stats.withColumn("warnings", sum((s.cast("int") for s in signs), F.lit(0)))
+    """How many of the nine warning conditions hold for a row of statistics; a count not there is 0."""
+    counts = ["invalid_json", "invalid_schema", "empty", "duplicates", "missing_core", "missing_clean", "invalid_type", "invalid_priority"]
+    signs = [F.col(c) > 0 for c in counts if c in stats.columns] + [F.col("short") / F.col("rows") > 0.30]
+    return stats.withColumn("warnings", sum((F.coalesce(s, F.lit(False)).cast("int") for s in signs), F.lit(0)))
 
 
 def cross_summary(stats: DataFrame, by: str) -> DataFrame:

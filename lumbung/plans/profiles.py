@@ -69,7 +69,7 @@ def a5(spark, d):
     return P.top_values(chunks(spark, d), "source", "lang", "doc_id", 3)
 
 
-@query("a6_warning_score", f"SELECT source, (short / rows > 0.30)::INT + (empty > 0)::INT + (duplicates > 0)::INT + (mean_length < 200)::INT + (long = 0)::INT AS warnings FROM ({_STATS})")
+@query("a6_warning_score", f"SELECT source, (short / rows > 0.30)::INT + (empty > 0)::INT + (duplicates > 0)::INT AS warnings FROM ({_STATS})")
 def a6(spark, d):
     return P.warnings(P.quality_stats(chunks(spark, d), "source")).select("source", "warnings")
 
