@@ -19,39 +19,52 @@ MOST_BITS, MIN_BYTES = 6.5, 64
 MOST_DROPPED = 500_000
 
 
+_CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
+    """Docs with columns beyond those of documents under names that no operator uses, and the way back."""
+    names = {c: c if c in _CORE else f"_extra_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID. Documents without a language go: no letters, or noise to every language's model."""
+    docs, back = _apart(docs)
     found = op6_langid.identify(docs, docs.columns)
     noise = (F.coalesce("bits", F.lit(0.0)) > MOST_BITS) & (F.octet_length("text") >= MIN_BYTES)
-    return found.filter((F.col("lang_pred") != op6_langid.UNKNOWN) & ~noise).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != op6_langid.UNKNOWN) & ~noise).select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join, five words and 0.8. The least doc_id of each group of linked documents stays."""
+    docs, back = _apart(docs)
     found = cut(op4_jaccard.near_duplicates(docs, op4_jaccard.Rule(5, 80, 100)))
     dropped = found.filter("component_id != doc_id").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
     few = dropped.count() <= MOST_DROPPED
     same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_tie"))
     kept = docs.join(F.broadcast(dropped) if few else dropped, same, "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
+        return kept.select(*back)
     # Repeated rows of one doc_id and one text are copies, too; another text of the doc_id is not.
-    return kept.withColumn("_tie", F.xxhash64("text")).dropDuplicates(["doc_id", "_tie"]).drop("_tie")
+    return kept.withColumn("_tie", F.xxhash64("text")).dropDuplicates(["doc_id", "_tie"]).select(*back)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup. Repeated passages go out of the texts; a document of which nothing is left goes."""
+    docs, back = _apart(docs)
     found = op10_substrings.remove_repeats(docs, docs.columns)
     found = found.filter("kept_text is null or kept_text != ''").withColumn("text", F.coalesce("kept_text", "text"))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast("long"))
-    return found.select(*docs.columns)
+    return found.select(*back)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights. A document comes once for each copy that the mix takes of it."""
+    docs, back = _apart(docs)
     found = op7_mixing.mix(docs, docs.columns).filter("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return found.select(*docs.columns)
+    return found.select(*back)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
