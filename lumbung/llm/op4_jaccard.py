@@ -294,3 +294,21 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), orders: int = ORDERS)
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), Rule(4, 85, 100)).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), same AS (
+  SELECT p.a, p.b, p.c = x.n AND p.c = y.n AS equal FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 85 * (x.n + y.n - p.c)
+), links AS MATERIALIZED (SELECT a, b FROM same UNION ALL SELECT b, a FROM same
+), reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), least AS (SELECT a, min(b) AS c FROM reach GROUP BY a), class AS (SELECT b, min(a) AS c FROM same WHERE equal GROUP BY b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least.c AS component_id, coalesce(class.c, d.doc_id) AS class_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id LEFT JOIN class ON class.b = d.doc_id
+"""

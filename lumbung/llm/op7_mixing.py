@@ -117,3 +117,26 @@ def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIGHTS,
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), ["doc_id"]).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+), s AS (
+  SELECT *, [3.0::DOUBLE, 1.0, 2.0][(place - 1) % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS top, sum(source_size) OVER () * 1.5::DOUBLE AS total
+  FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source)
+), l AS (
+  SELECT *, top / weight AS ratio, (total - coalesce(sum(top) OVER (ORDER BY top / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY top / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s
+), t AS (
+  SELECT source, source_size, least(top, max(CASE WHEN level <= ratio THEN level END) OVER () * weight) AS target FROM l
+), r AS (
+  SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS rank FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), u AS (
+  SELECT *, ('0x' || substr(md5('0/' || i || '/' || CASE WHEN source IS NULL THEN '0' ELSE '1' || source END), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * 0.999::DOUBLE AS start FROM r, range(16) k(i)
+), c AS (
+  SELECT *, (floor(rate * rank + start) - floor(rate * (rank - 1) + start))::BIGINT AS copies FROM u
+), best AS (
+  SELECT source, arg_min(i, {'off': abs(got - target), 'i': i}) AS i FROM (SELECT source, i, target, sum(copies * size) AS got FROM c GROUP BY ALL) GROUP BY source
+)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c JOIN best b ON b.i = c.i AND b.source IS NOT DISTINCT FROM c.source
+"""
