@@ -136,3 +136,32 @@ _U, _L, _G = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", r"[\\x2
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
+
+
+SQL = r"""
+WITH n AS (SELECT count(*) AS n FROM documents), d AS (
+  SELECT doc_id, t AS text, length(t) AS n_chars, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS next FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+), e AS (
+  SELECT *, substr(text, 1, (n_chars - n_chars // 3)::BIGINT) || substr(next, 1, (n_chars // 3)::BIGINT) AS edited FROM d
+), sides AS (SELECT doc_id, 0 AS tag, text AS t FROM e UNION ALL SELECT doc_id, 1, edited FROM e
+), terms AS MATERIALIZED (
+  SELECT doc_id, tag, list_sort(list_filter(list_distinct(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+')), lambda x: x <> '')) AS terms FROM sides
+), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(terms) AS term FROM terms WHERE tag = 0) GROUP BY term
+), lexicon AS MATERIALIZED (
+  SELECT term, k FROM df, n, range(32) r(k) WHERE df BETWEEN greatest(2, ceil(0.001 * n)) AND greatest(32, floor(0.01 * n)) AND ('0x' || substr(md5(k || ':' || term), 1, 4))::INT < 65536 >> (2 * (k // 8 + 1))::INT
+), hashed AS (
+  SELECT doc_id, tag, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 6) AS h FROM (SELECT doc_id, tag, unnest(terms) AS term FROM terms) JOIN lexicon USING (term) GROUP BY ALL
+), joined AS (SELECT doc_id, tag, map(list(k), list(h)) AS m FROM hashed GROUP BY ALL
+), print AS (
+  SELECT doc_id, tag, CASE WHEN m IS NULL THEN '=' || md5(array_to_string(terms, ' ')) ELSE array_to_string(list_transform(range(32), lambda k: coalesce(m[k], '------')), '') END AS f FROM terms LEFT JOIN joined USING (doc_id, tag)
+), p AS (
+  SELECT a.doc_id, a.f, b.f AS g, coalesce(lead(a.f) OVER (ORDER BY a.doc_id DESC), first_value(a.f) OVER (ORDER BY a.doc_id DESC)) AS h FROM print a JOIN print b ON a.doc_id = b.doc_id AND a.tag = 0 AND b.tag = 1
+), pairs AS (SELECT doc_id, 'e' AS kind, f AS x, g AS y FROM p UNION ALL SELECT doc_id, 'n', f, h FROM p
+), levels AS (
+  SELECT doc_id, kind, x, y, k // 8 AS level, count_if(substr(x, k * 6 + 1, 6) <> '------' OR substr(y, k * 6 + 1, 6) <> '------') AS used, count_if(substr(x, k * 6 + 1, 6) <> '------' AND substr(x, k * 6 + 1, 6) = substr(y, k * 6 + 1, 6)) AS same FROM pairs, range(32) r(k) GROUP BY ALL
+), near AS (
+  SELECT doc_id, kind, CASE WHEN x = y THEN 1.0 WHEN x[1] = '=' OR y[1] = '=' THEN 0.0 ELSE coalesce(max(same / used) FILTER (used >= 4), sum(same) / sum(used), 0.0) END::DOUBLE AS near FROM levels GROUP BY doc_id, kind, x, y
+)
+SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, p.f AS fingerprint, p.g AS edited_fingerprint, a.near AS near_edited, b.near AS near_next
+FROM e JOIN p USING (doc_id) JOIN near a ON a.doc_id = e.doc_id AND a.kind = 'e' JOIN near b ON b.doc_id = e.doc_id AND b.kind = 'n'
+"""
