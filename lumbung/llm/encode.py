@@ -11,8 +11,8 @@ import regex
 
 from .common import quiet_threads
 
-#: Entries of the memo, and the longest piece kept there: at most about 250 MB a worker.
-MEMO_ENTRIES, MEMO_LENGTH = 700_000, 48
+#: Entries of the memo, and the longest piece kept there: at most about 400 MB a worker.
+MEMO_ENTRIES, MEMO_LENGTH = 1_000_000, 48
 #: Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 1_000_000
 
@@ -70,7 +70,14 @@ class PieceEncoder:
         parts: dict[str, list[str]] = {}
         for p in pieces - own.keys():
             if (p.isascii() or self.common.fullmatch(p)) and not ("<|" in p and any(s in p for s in self.special)):
-                parts[p] = self.token.findall(p.lower())
+                low = p.lower()
+                # A word, or one with a mark after it, is the common case and needs no pattern.
+                if low.isalpha():
+                    parts[p] = [low]
+                elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                    parts[p] = [low[:-1], low[-1]]
+                else:
+                    parts[p] = self.token.findall(low)
             else:
                 own[p] = self._alone(p)
         if len(self.words) > MEMO_ENTRIES:
