@@ -16,9 +16,9 @@ from .shingles import mixed, run_hashes, word_hashes, words_of
 #: Words of a window; of a block: every window then holds a whole aligned block.
 WINDOW, BLOCK = 50, 25
 #: Hashes that a task holds at once, and those that a segment is meant for.
-GROUP, SEGMENT = 1_500_000, 1_000_000
-#: Bits of the anchor filter for each anchor, and at most (64 MB).
-BITS_EACH, MOST_BITS = 16, 1 << 29
+GROUP, SEGMENT = 800_000, 1_000_000
+#: Bits of the anchor filter for each anchor, and at most (64 MB); slots of an anchor, by these factors.
+BITS_EACH, MOST_BITS, FACTORS = 32, 1 << 29, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 #: Documents with removed words up to which their spans are broadcast, at up to about 100 bytes each.
 MOST_SPANS = 300_000
 KEY_BITS = 30
@@ -65,6 +65,12 @@ def _streamed(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
         yield now, rows
 
 
+def _slots(keys: np.ndarray, each: int) -> Iterator[np.ndarray]:
+    """The slots of keys within a segment of ``each`` (a power of two) bits, one array for each factor."""
+    for factor in FACTORS:
+        yield (keys.astype(np.uint32) * np.uint32(factor)) >> np.uint32(33 - each.bit_length())
+
+
 def _dealt(df: DataFrame) -> DataFrame:
     return df.repartition("segment").sortWithinPartitions("segment")
 
@@ -111,7 +117,7 @@ def _anchors(texts: DataFrame, window: int, block: int, segments: int) -> DataFr
 
 def _filter(anchors: DataFrame, segments: int) -> tuple[np.ndarray, int]:
     """Bitmap of the anchors and the bits of a segment. Its size is bounded by MOST_BITS at any scale;
-    past BITS_EACH bits an anchor it only lets more windows through to the exact step."""
+    with fewer bits an anchor it only lets more windows through to the exact step."""
     n = anchors.agg(F.sum("n")).first()[0] or 0
     each = max(64, 1 << max(0, (min(n * BITS_EACH, MOST_BITS) // segments).bit_length()))
     each = min(each, MOST_BITS // segments)
@@ -120,7 +126,8 @@ def _filter(anchors: DataFrame, segments: int) -> tuple[np.ndarray, int]:
         for batch in batches:
             for row in batch.to_pylist():
                 own = np.zeros(each, bool)
-                own[np.frombuffer(row["keys"], np.uint32) & np.uint32(each - 1)] = True
+                for slots in _slots(np.frombuffer(row["keys"], np.uint32), each):
+                    own[slots] = True
                 yield pa.RecordBatch.from_arrays([pa.array([row["segment"]], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
 
     out = np.zeros((segments, each // 8), np.uint8)
@@ -168,8 +175,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
                     continue
                 told.add(key)
                 run = run_hashes(h, block) >> np.uint64(64 - bits - KEY_BITS)
-                at = (run >> np.uint64(KEY_BITS)) * np.uint64(each) + (run & np.uint64(each - 1))
-                hit = (known[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+                base, hit = (run >> np.uint64(KEY_BITS)) * np.uint64(each), np.uint8(1)
+                for slots in _slots(run & np.uint64((1 << KEY_BITS) - 1), each):
+                    at = base + slots
+                    hit = hit & (known[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8))
                 before = np.concatenate(([0], np.cumsum(hit, dtype=np.int32)))
                 found = np.flatnonzero(before[window - block + 1 :] > before[: len(before) - (window - block + 1)])
                 if len(found):
