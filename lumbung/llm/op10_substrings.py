@@ -203,13 +203,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["segment", "hash", "owner", "place", "ids", "ties"])
 
-    def dealt_by_document(ids: np.ndarray, ties: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def dealt_by_document(ids: np.ndarray, ties: np.ndarray, starts: np.ndarray, lengths: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        """Runs by document: each document once with the number of its runs, then 4 bytes a run."""
         part = (mixed(ids.view(np.uint64)) >> np.uint64(64 - wide_bits)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        out = [(s, *(x[order][at].tobytes() for x in (ids, ties, starts, ends))) for s, at in _by_segment(part, wide)]
+        order = np.lexsort((starts, ties, ids, part))
+        part, ids, ties, starts = part[order], ids[order], ties[order], starts[order].astype(np.uint32)
+        new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])))
+        out = []
+        for s, at in _by_segment(part, wide):
+            own = np.flatnonzero(new[at])
+            counts = np.diff(np.concatenate((own, [at.stop - at.start]))).astype(np.uint32)
+            long = None if lengths is None else lengths[order][at].astype(np.uint32).tobytes()
+            out.append((s, ids[at][own].tobytes(), ties[at][own].tobytes(), counts.tobytes(), starts[at].tobytes(), long))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["segment", "ids", "ties", "starts", "ends"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["segment", "ids", "ties", "counts", "starts", "lengths"])
 
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _streamed(batches):
@@ -232,11 +239,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
             least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.concatenate((first, [len(h)]))))
             gone = ids > least
             if gone.any():
-                yield from dealt_by_document(ids[gone], ties[gone], place[gone], place[gone] + window)
+                yield from dealt_by_document(ids[gone], ties[gone], place[gone], None)
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _streamed(batches):
-            ids, ties, starts, ends = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in ("ids", "ties", "starts", "ends"))
+            counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
+            ids, ties = (np.repeat(np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]), counts) for k in ("ids", "ties"))
+            runs = [np.frombuffer(r["starts"], np.uint32) for r in rows]
+            lengths = np.concatenate([np.full(len(x), window, np.int64) if r["lengths"] is None else np.frombuffer(r["lengths"], np.uint32) for r, x in zip(rows, runs, strict=True)])
+            starts = np.concatenate(runs).astype(np.int64)
+            ends = starts + lengths
             order = np.lexsort((starts, ties, ids))
             ids, ties, starts, ends = ids[order], ties[order], starts[order], ends[order]
             new_doc = np.concatenate(([True], (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1])))
@@ -254,7 +266,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
             )
 
     windows = texts.mapInArrow(emit, "segment int, hash binary, owner binary, place binary, ids binary, ties binary")
-    decided = _dealt(windows).mapInArrow(decide, "segment int, ids binary, ties binary, starts binary, ends binary")
+    decided = _dealt(windows).mapInArrow(decide, "segment int, ids binary, ties binary, counts binary, starts binary, lengths binary")
     out = cut(_dealt(decided).mapInArrow(merge, "doc_id long, tie long, spans array<int>"))
     release(spark)
     return out
