@@ -327,3 +327,19 @@ def kept_digest(df: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digest(remove_repeats(documents(spark, sf_dir), ["doc_id", "text"]))
+
+
+SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), windows AS MATERIALIZED (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM w)
+), first AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h
+), gone AS (
+  SELECT doc_id, list(DISTINCT p + k) AS gone FROM (SELECT doc_id, p, unnest(range(50)) AS k FROM windows JOIN first USING (h) WHERE doc_id > first) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, array_to_string(list(x ORDER BY i), ' ') AS kept FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w) u
+  WHERE NOT EXISTS (FROM (SELECT doc_id, unnest(gone) AS i FROM gone) g WHERE g.doc_id = u.doc_id AND g.i = u.i) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
