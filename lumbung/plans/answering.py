@@ -109,16 +109,16 @@ def n12(spark, d):
     return A.requirement_checks(people, needs).select(F.col("group_id").alias("doc_id"), "passes")
 
 
-@query("x1_grouped_context", "SELECT program, coalesce(c, '(tidak ada)') AS context FROM (SELECT DISTINCT source AS program FROM documents) p LEFT JOIN (SELECT source, string_agg(lang || doc_id, chr(10) ORDER BY doc_id) AS c FROM documents WHERE doc_id % 90 = 0 GROUP BY source) h ON h.source = p.program")
+@query("x1_grouped_context", "SELECT program, coalesce(c, '(tidak ada)') AS context FROM (SELECT DISTINCT source AS program FROM documents) p LEFT JOIN (SELECT source, string_agg(lang || doc_id, chr(10) ORDER BY doc_id) AS c FROM documents GROUP BY source) h ON h.source = p.program")
 def x1(spark, d):
     docs = chunks(spark, d)
-    hits = docs.filter("doc_id % 90 = 0").select(F.col("source").alias("program"), "doc_id", F.concat("lang", F.col("doc_id").cast("string")).alias("text"))
+    hits = docs.select(F.col("source").alias("program"), "doc_id", F.concat("lang", F.col("doc_id").cast("string")).alias("text"))
     return A.grouped_context(docs.select(F.col("source").alias("program")).distinct(), hits, "doc_id")
 
 
-@query("x2_flat_context", "SELECT lang AS query_id, string_agg(source || doc_id, chr(10) || chr(10) ORDER BY doc_id) AS context FROM documents WHERE doc_id % 90 = 0 GROUP BY lang")
+@query("x2_flat_context", "SELECT lang AS query_id, string_agg(source || doc_id, chr(10) || chr(10) ORDER BY doc_id) AS context FROM documents GROUP BY lang")
 def x2(spark, d):
-    hits = chunks(spark, d).filter("doc_id % 90 = 0").select(F.col("lang").alias("query_id"), "doc_id", F.concat("source", F.col("doc_id").cast("string")).alias("text"))
+    hits = chunks(spark, d).select(F.col("lang").alias("query_id"), "doc_id", F.concat("source", F.col("doc_id").cast("string")).alias("text"))
     return A.flat_context(hits, "doc_id")
 
 

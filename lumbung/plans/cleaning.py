@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 #: Words of the driver's languages that stand for the domain's in classifier and pattern queries.
 TYPES = {"english": (["the", "and of"], ["of", "to", "is"]), "german": (["der", "und die"], ["ein", "zu", "ist"]), "french": (["les", "et la"], ["de", "la", "un"])}
-POLICY = [r"\bof\b", r"\bder\b", r"\bque\b"]
+POLICY = ["of the", "und der", "que de"]
 
 
 def query(name: str, sql: str | None = None):
@@ -79,15 +79,15 @@ def s6(spark, d):
     return J.explode_documents(docs).groupBy(F.col("metadata")["source"].alias("source")).agg(F.count("*").alias("items"))
 
 
-@query("s9_page_route", "SELECT lang, round(avg(length(trim(substr(text, 1, doc_id % 100), chr(10) || ' '))), 6) AS mean_length, CASE WHEN avg(length(trim(substr(text, 1, doc_id % 100), chr(10) || ' '))) < 50 THEN 'ocr' ELSE 'native' END AS route FROM documents GROUP BY lang")
+@query("s9_page_route", "SELECT lang, round(avg(length(trim(text, chr(10) || ' '))), 6) AS mean_length, CASE WHEN avg(length(trim(text, chr(10) || ' '))) < 2600 THEN 'ocr' ELSE 'native' END AS route FROM documents GROUP BY lang")
 def s9(spark, d):
-    return J.page_route(chunks(spark, d).select("lang", F.expr("substr(text, 1, int(doc_id % 100))").alias("text")), "lang").withColumn("mean_length", F.round("mean_length", 6))
+    return J.page_route(chunks(spark, d), "lang", 2600.0).withColumn("mean_length", F.round("mean_length", 6))
 
 
-@query("s10_titled_response", "SELECT doc_id, trim(substr(regexp_replace(text, '\\n', ' ', 'g'), 1, 15)) AS title, trim(substr(text, 16, 30), chr(10) || ' ') AS content FROM documents".replace("\\\\", "\\"))
+@query("s10_titled_response", "SELECT doc_id, trim(substr(regexp_replace(text, '\\n', ' ', 'g'), 1, 15)) AS title, md5(trim(text, chr(10) || ' ')) AS content FROM documents".replace("\\\\", "\\"))
 def s10(spark, d):
-    raw = F.concat(F.lit("[JUDUL]: "), F.substring(F.regexp_replace("text", "\n", " "), 1, 15), F.lit("\n[KONTEN]: "), F.substring("text", 16, 30))
-    return chunks(spark, d).select("doc_id", J.titled_response(raw).alias("r")).select("doc_id", "r.title", "r.content")
+    raw = F.concat(F.lit("[JUDUL]: "), F.substring(F.regexp_replace("text", "\n", " "), 1, 15), F.lit("\n[KONTEN]: "), "text")
+    return chunks(spark, d).select("doc_id", J.titled_response(raw).alias("r")).select("doc_id", "r.title", F.md5("r.content").alias("content"))
 
 
 @query("s11_first_success", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'a' WHEN doc_id % 4 = 1 THEN 'b' WHEN length(text) >= 50 THEN 'native' END AS won FROM documents")
@@ -151,8 +151,7 @@ def t18(spark, d):
 def v1(spark, d):
     rows = chunks(spark, d).select(F.md5("text").alias("id"), "doc_id")
     # Updates are the larger ids of each text, so last wins is the largest.
-    cut = rows.filter("doc_id % 2 = 0")
-    return J.upsert(cut.limit(0), rows, "id", "doc_id")
+    return J.upsert(rows.filter("false"), rows, "id", "doc_id")
 
 
 @query("v2_numbered_ingest", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS id FROM documents WHERE length(text) >= 220")
@@ -203,15 +202,15 @@ def t3(spark, d):
     return chunks(spark, d).select("doc_id", m["source"].alias("source"), m["lang"].alias("lang"))
 
 
-@query("t4_strip_fence", "SELECT doc_id, md5(trim(text)) AS h FROM documents WHERE NOT contains(text, '```') AND NOT contains(text, '**')")
+@query("t4_strip_fence", "SELECT doc_id, md5(trim(text)) AS h FROM documents")
 def t4(spark, d):
     fenced = F.concat(F.lit("```markdown\n"), "text", F.lit("\n```"))
-    return chunks(spark, d).filter(~F.contains("text", F.lit("```")) & ~F.contains("text", F.lit("**"))).select("doc_id", F.md5(X.strip_fences(fenced)).alias("h"))
+    return chunks(spark, d).select("doc_id", F.md5(X.strip_fences(fenced)).alias("h"))
 
 
-@query("t5_strip_backticks", "SELECT doc_id, md5(trim(text)) AS h FROM documents WHERE NOT contains(text, '```')")
+@query("t5_strip_backticks", "SELECT doc_id, md5(trim(text, chr(10) || ' ')) AS h FROM documents")
 def t5(spark, d):
-    return chunks(spark, d).filter(~F.contains("text", F.lit("```"))).select("doc_id", F.md5(X.strip_backticks(F.concat(F.lit("```json\n"), "text", F.lit("```")))).alias("h"))
+    return chunks(spark, d).select("doc_id", F.md5(X.strip_backticks(F.concat(F.lit("```json\n"), "text", F.lit("```")))).alias("h"))
 
 
 @query("t6_clean_title", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN source ELSE '' END AS title FROM documents")
@@ -225,15 +224,15 @@ def t7(spark, d):
     return chunks(spark, d).agg(F.count_if(X.is_error_row(F.col("text"), F.col("source"), "the", "src2")).alias("n"))
 
 
-@query("t8_skip_subchunk", r"SELECT doc_id, length(c) < 20 OR regexp_full_match(c, '[\d\s.,:/()\-]+') OR (length(c) < 80 AND NOT regexp_matches(c, '(?i)\bof\b|\bder\b|\bque\b')) AS skip FROM (SELECT doc_id, trim(regexp_replace(substr(text, 1, (doc_id % 120)::INT), '\s+', ' ', 'g')) AS c FROM documents WHERE lang = 'en')")
+@query("t8_skip_subchunk", r"SELECT doc_id, length(c) < 20 OR regexp_full_match(c, '[\d\s.,:/()\-]+') OR (length(c) < 80 AND NOT regexp_matches(c, '(?i)of the|und der|que de')) AS skip FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)")
 def t8(spark, d):
-    return chunks(spark, d).filter("lang = 'en'").select("doc_id", X.skip_subchunk(F.expr("substr(text, 1, int(doc_id % 120))"), POLICY).alias("skip"))
+    return chunks(spark, d).select("doc_id", X.skip_subchunk(F.col("text"), POLICY).alias("skip"))
 
 
-@query("t9_keyword_hit", r"SELECT doc_id, contains(lower(text), 'ing') AS part, regexp_matches(lower(text), '\bin\b') AS whole FROM documents WHERE lang = 'en'")
+@query("t9_keyword_hit", r"SELECT doc_id, contains(lower(text), 'ing') AS part, regexp_matches(' ' || lower(text) || ' ', '[^\p{L}\p{N}_]in[^\p{L}\p{N}_]') AS whole FROM documents")
 def t9(spark, d):
     low = F.lower("text")
-    return chunks(spark, d).filter("lang = 'en'").select("doc_id", X.keyword_hit(low, "ing").alias("part"), X.keyword_hit(low, "in", ["in"]).alias("whole"))
+    return chunks(spark, d).select("doc_id", X.keyword_hit(low, "ing").alias("part"), X.keyword_hit(low, "in", ["in"]).alias("whole"))
 
 
 def _score(strong, weak) -> str:
@@ -263,11 +262,11 @@ def t12(spark, d):
     return chunks(spark, d).select("doc_id", X.classify_plain(F.col("text"), TYPES).alias("labels"))
 
 
-_FLAGS = rf"SELECT doc_id, list_filter([CASE WHEN length(c) < 220 THEN 'pendek' END, CASE WHEN c = '' OR len(string_split(c, ' ')) < 20 THEN 'fragmen' END, CASE WHEN len(l) = 0 THEN 'tipe_tidak_terdeteksi' END, CASE WHEN NOT regexp_matches(c, '(?i)\bof\b|\bder\b|\bque\b') THEN 'sinyal_kebijakan_lemah' END], lambda x: x IS NOT NULL) AS flags FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c, {_LABELS} AS l FROM documents WHERE lang = 'en')"
+_FLAGS = rf"SELECT doc_id, list_filter([CASE WHEN length(c) < 220 THEN 'pendek' END, CASE WHEN c = '' OR len(string_split(c, ' ')) < 20 THEN 'fragmen' END, CASE WHEN len(l) = 0 THEN 'tipe_tidak_terdeteksi' END, CASE WHEN NOT regexp_matches(c, '(?i)of the|und der|que de') THEN 'sinyal_kebijakan_lemah' END], lambda x: x IS NOT NULL) AS flags FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c, {_LABELS} AS l FROM documents)"
 
 
 def _flags(spark, d):
-    return chunks(spark, d).filter("lang = 'en'").select("doc_id", X.quality_flags(F.col("text"), X.classify(F.col("text"), TYPES, []), POLICY).alias("flags"))
+    return chunks(spark, d).select("doc_id", X.quality_flags(F.col("text"), X.classify(F.col("text"), TYPES, []), POLICY).alias("flags"))
 
 
 @query("t13_quality_flags", _FLAGS)
@@ -297,9 +296,9 @@ def t19(spark, d):
     return chunks(spark, d).join(F.broadcast(names), "source", "left").select("doc_id", F.coalesce("label", "source").alias("label"))
 
 
-@query("t20_evaluator_text", r"SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(lower(text), '_', ' '), '—', '-'), '–', '-'), '\s+', ' ', 'g'))) AS h FROM documents WHERE lang = 'en'")
+@query("t20_evaluator_text", r"SELECT doc_id, md5(trim(regexp_replace(replace(replace(replace(lower(text), '_', ' '), '—', '-'), '–', '-'), '\s+', ' ', 'g'))) AS h FROM documents")
 def t20(spark, d):
-    return chunks(spark, d).filter("lang = 'en'").select("doc_id", F.md5(X.evaluator_text(F.col("text"))).alias("h"))
+    return chunks(spark, d).select("doc_id", F.md5(X.evaluator_text(F.col("text"))).alias("h"))
 
 
 def clean(df, types=TYPES, policy=POLICY, size: int = 2000, overlap: int = 500):
@@ -336,10 +335,10 @@ def c3(spark, d):
     return chunks(spark, d).select("doc_id", F.posexplode(C.hard_cap(F.col("text"))).alias("idx", "part"))
 
 
-@query("c4_merge_small_tail", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN [a || chr(10) || b] ELSE [a, c] END AS parts FROM (SELECT doc_id, trim(substr(text, 1, 100), chr(10) || ' ') AS a, 'tail' AS b, repeat('x', 200) AS c FROM documents WHERE trim(substr(text, 1, 100), chr(10) || ' ') <> '')")
+@query("c4_merge_small_tail", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN [a || chr(10) || b] ELSE [a, c] END AS parts FROM (SELECT doc_id, trim(text, chr(10) || ' ') AS a, 'tail' AS b, repeat('x', 200) AS c FROM documents)")
 def c4(spark, d):
-    parts = F.when(F.col("doc_id") % 2 == 0, F.array(F.substring("text", 1, 100), F.lit(" "), F.lit("tail "))).otherwise(F.array(F.substring("text", 1, 100), F.lit("x" * 200)))
-    return chunks(spark, d).filter(X.strip(F.substring("text", 1, 100)) != "").select("doc_id", C.merge_small(parts).alias("parts"))
+    parts = F.when(F.col("doc_id") % 2 == 0, F.array(F.col("text"), F.lit(" "), F.lit("tail "))).otherwise(F.array(F.col("text"), F.lit("x" * 200)))
+    return chunks(spark, d).select("doc_id", C.merge_small(parts).alias("parts"))
 
 
 @query("c5_page_tail")

@@ -28,8 +28,9 @@ def _points(spark, d):
     return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding", F.concat(F.lit("s"), "label").alias("source"), (F.col("vec_id") % 9).alias("page"), types.alias("types"), F.concat(F.lit("t"), (F.col("vec_id") % 50)).alias("text"))
 
 
-def _queries(spark, d, n=5):
-    return spark.read.parquet(f"{d}/embeddings.parquet").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def _queries(spark, d):
+    """The stated query set: every vector whose id is divisible by 50."""
+    return spark.read.parquet(f"{d}/embeddings.parquet").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 def _hits(spark, d, k=8, threshold=0.1, where=None):
@@ -37,7 +38,7 @@ def _hits(spark, d, k=8, threshold=0.1, where=None):
 
 
 _P = """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e, 's' || label AS source, vec_id % 9 AS page, 't' || (vec_id % 50) AS text, list_filter([CASE WHEN vec_id % 3 = 0 THEN 'nominal_bantuan' END, CASE WHEN vec_id % 4 = 0 THEN 'lampiran_formulir' END], lambda x: x IS NOT NULL) AS types FROM embeddings),
-q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5), m AS (SELECT query_id, p.* EXCLUDE (e), list_cosine_similarity(e, q) AS score FROM p, q),
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), m AS (SELECT query_id, p.* EXCLUDE (e), list_cosine_similarity(e, q) AS score FROM p, q),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM m WHERE score >= 0.1 QUALIFY rank <= 8)"""
 
 
@@ -78,9 +79,9 @@ def r6(spark, d):
     return R.append_distinct(hits, hits.filter(F.array_contains("types", "nominal_bantuan")), "text", "rank").select("query_id", "vec_id", "place")
 
 
-@query("r7_multi_query_pool", _P + " SELECT query_id % 2 AS profile, text, vec_id FROM h QUALIFY row_number() OVER (PARTITION BY query_id % 2, text ORDER BY round(score, 9) DESC, vec_id) = 1")
+@query("r7_multi_query_pool", _P + " SELECT query_id // 50 % 2 AS profile, text, vec_id FROM h QUALIFY row_number() OVER (PARTITION BY query_id // 50 % 2, text ORDER BY round(score, 9) DESC, vec_id) = 1")
 def r7(spark, d):
-    hits = _hits(spark, d).withColumn("profile", F.col("query_id") % 2).withColumn("score", F.round("score", 9))
+    hits = _hits(spark, d).withColumn("profile", (F.col("query_id") / 50).cast("long") % 2).withColumn("score", F.round("score", 9))
     return R.pool(hits, "profile", "text", "vec_id").select("profile", "text", "vec_id")
 
 
@@ -155,10 +156,9 @@ def p3(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", G.unwrap(payload).alias("text"))
 
 
-@query("p4_chat_parts", "SELECT conv_id, trim(coalesce(arg_max(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END), ''), chr(10) || ' ') AS profile, '' AS nik FROM conversations GROUP BY conv_id HAVING NOT contains(coalesce(string_agg(text, ' '), ''), 'NIK') AND NOT contains(coalesce(string_agg(text, ' '), ''), 'Tolong')")
+@query("p4_chat_parts", "SELECT conv_id, trim(coalesce(arg_max(CASE WHEN role = 'user' THEN text END, CASE WHEN role = 'user' THEN turn END), ''), chr(10) || ' ') AS profile, '' AS nik FROM conversations GROUP BY conv_id")
 def p4(spark, d):
-    odd = _turns(spark, d).groupBy("conv_id").agg(F.count_if(F.col("text").rlike("NIK|Tolong")).alias("n")).filter("n = 0").select("conv_id")
-    return G.chat_parts(_turns(spark, d)).join(odd, "conv_id").select("conv_id", "profile", "nik")
+    return G.chat_parts(_turns(spark, d)).select("conv_id", "profile", "nik")
 
 
 @query("p5_citizen_number", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE 'N' || doc_id END AS nik FROM documents")
@@ -167,15 +167,15 @@ def p5(spark, d):
     return chunks(spark, d).select("doc_id", X.citizen_number(t).alias("nik"))
 
 
-def _profiles(spark, d):
-    """Profiles made from doc_id: text lines, or JSON for every fourth."""
+def _profiles(spark, d, every: int = 4):
+    """Profiles made from doc_id: text lines, or JSON for every fourth (0: none)."""
     i = F.col("doc_id")
     age, decile = (i % 90 + 5), (i % 8 + 1)
     status = F.when(i % 3 == 0, "aktif").when(i % 3 == 1, "Tidak Aktif").otherwise("-")
     ability = F.when(i % 2 == 0, "Banyak kesulitan").otherwise("Tidak mengalami kesulitan")
     lines = F.concat(F.lit("- Umur : "), age, F.lit(" tahun\n- Desil Nasional : "), decile, F.lit("\n- Status DTSEN : "), status, F.lit("\n- Berjalan : "), ability)
     json = F.to_json(F.struct(age.alias("umur"), decile.alias("desil_nasional"), status.alias("status_dtsen"), F.struct(ability.alias("jalan")).alias("disabilitas")))
-    return chunks(spark, d).select(i.alias("profile_id"), F.when(i % 4 == 0, json).otherwise(lines).alias("profile"))
+    return chunks(spark, d).select(i.alias("profile_id"), (F.when(i % every == 0, json).otherwise(lines) if every else lines).alias("profile"))
 
 
 _S = "WITH s AS (SELECT doc_id AS profile_id, (doc_id % 90 + 5)::INT AS age, (doc_id % 8 + 1)::INT AS decile, CASE doc_id % 3 WHEN 0 THEN 'aktif' WHEN 1 THEN 'Tidak Aktif' ELSE '-' END AS status, doc_id % 2 = 0 AS disability FROM documents)"
@@ -191,9 +191,9 @@ def p8(spark, d):
     return chunks(spark, d).select("doc_id", X.is_severe(F.when(F.col("doc_id") % 2 == 0, "Sama sekali tidak bisa").otherwise("tidak membutuhkan bantuan")).alias("severe"))
 
 
-@query("p9_retrieval_query", _S + " SELECT profile_id, 'syarat kriteria sasaran penerima bantuan sosial: usia ' || age || ' tahun' || CASE WHEN age >= 70 THEN ' lanjut usia 70 tahun ke atas' ELSE '' END || ' desil ' || decile || ' DTSEN DTKS' || CASE WHEN disability THEN ' penyandang disabilitas' ELSE '' END AS query FROM s WHERE profile_id % 4 <> 0")
+@query("p9_retrieval_query", _S + " SELECT profile_id, 'syarat kriteria sasaran penerima bantuan sosial: usia ' || age || ' tahun' || CASE WHEN age >= 70 THEN ' lanjut usia 70 tahun ke atas' ELSE '' END || ' desil ' || decile || ' DTSEN DTKS' || CASE WHEN disability THEN ' penyandang disabilitas' ELSE '' END AS query FROM s")
 def p9(spark, d):
-    return _profiles(spark, d).filter("profile_id % 4 != 0").select("profile_id", G.retrieval_query(F.col("profile")).alias("query"))
+    return _profiles(spark, d, 0).select("profile_id", G.retrieval_query(F.col("profile")).alias("query"))
 
 
 @query("p10_is_profile", "SELECT doc_id AS profile_id, doc_id % 2 = 0 AS is_profile FROM documents")
@@ -213,9 +213,9 @@ def p14(spark, d):
     return chunks(spark, d).select("doc_id", G.no_existing_aid(t).alias("none"))
 
 
-@query("p15_key_points", _S + " SELECT profile_id, age >= 70 AS elderly FROM s WHERE profile_id % 4 <> 0")
+@query("p15_key_points", _S + " SELECT profile_id, age >= 70 AS elderly FROM s")
 def p15(spark, d):
-    return _profiles(spark, d).filter("profile_id % 4 != 0").select("profile_id", G.key_points(F.col("profile"))["elderly"].alias("elderly"))
+    return _profiles(spark, d, 0).select("profile_id", G.key_points(F.col("profile"))["elderly"].alias("elderly"))
 
 
 @query("p16_program_name", "SELECT source, CASE source WHEN 'src1' THEN 'PKH Plus (Lanjut Usia 70+)' WHEN 'src2' THEN 'Asistensi Sosial Penyandang Disabilitas (ASPD)' ELSE source END AS program FROM (SELECT DISTINCT source FROM documents)")
