@@ -17,6 +17,8 @@ from lumbung.llm.common import cut, documents, new_folder
 MOST_BITS, MIN_BYTES = 6.5, 64
 #: Dropped documents up to which their ids are broadcast (about 40 bytes each).
 MOST_DROPPED = 500_000
+#: Pieces whose ids a worker keeps: few, since workers hold them while other stages run.
+MEMO = 200_000
 
 
 _CORE = ("doc_id", "text", "lang", "source", "n_chars")
@@ -71,7 +73,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing into sequences of at most 4096 tokens; a row for each piece."""
     import public_tokenizers
 
-    return op9_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return op9_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo=MEMO)
 
 
 STAGES = [

@@ -32,7 +32,8 @@ class PieceEncoder:
     #: What the pre-tokenizer keeps whole in a lower-cased piece. Fixed by the tokenizer file.
     token = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = MEMO_ENTRIES):
+        self.entries = entries
         quiet_threads()
         gc.set_threshold(200_000, 20, 50)  # the memos hold millions of strings and no cycles
         from tokenizers import Tokenizer
@@ -80,7 +81,7 @@ class PieceEncoder:
                     parts[p] = self.token.findall(low)
             else:
                 own[p] = self._alone(p)
-        if len(self.words) > MEMO_ENTRIES:
+        if len(self.words) > self.entries:
             self.words = {}
         if new := {w for x in parts.values() for w in x if w not in self.words}:
             self._learn_words(sorted(new))
@@ -102,7 +103,7 @@ class PieceEncoder:
         yield from self._group(group, end)
 
     def _group(self, group: list[list[str]], end: bytes) -> Iterator[np.ndarray]:
-        if len(self.memo) > MEMO_ENTRIES:
+        if len(self.memo) > self.entries:
             self.old, self.memo = self.memo, {"": b""}
         own = self._learn(set().union(*group) - self.memo.keys())
         known = self.memo
@@ -116,7 +117,8 @@ class PieceEncoder:
             yield np.frombuffer(ids + end, self.type)
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each worker process."""
-    return PieceEncoder(path)
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, entries: int = MEMO_ENTRIES) -> PieceEncoder:
+    """One encoder for each worker process. It outlives its task, so ``entries`` bounds what a worker
+    holds while later stages run in it."""
+    return PieceEncoder(path, entries)

@@ -16,7 +16,7 @@ from .shingles import mixed, run_hashes, word_hashes, words_of
 #: Words of a window; of a block: every window then holds a whole aligned block.
 WINDOW, BLOCK = 50, 25
 #: Hashes that a task holds at once, and those that a segment is meant for.
-GROUP, SEGMENT = 800_000, 1_000_000
+GROUP, SEGMENT = 400_000, 1_000_000
 #: Bits of the anchor filter for each anchor, and at most (64 MB); slots of an anchor, by these factors.
 BITS_EACH, MOST_BITS, FACTORS = 32, 1 << 29, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 #: Documents with removed words up to which their spans are broadcast, at up to about 100 bytes each.

@@ -19,7 +19,7 @@ from .shingles import mixed, run_hashes, word_hashes
 #: Orders under which candidates must share a prefix token.
 ORDERS = 3
 #: Hashes that a task holds at once; bits of a repeated-shingle filter for each entry and at most (32 MB).
-GROUP, BITS_EACH, MOST_BITS = 800_000, 12, 1 << 28
+GROUP, BITS_EACH, MOST_BITS = 400_000, 12, 1 << 28
 KEY_BITS = 30
 #: Documents that hold a shingle from which it counts as common and comes last in every order.
 COMMON = 32

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import cut, documents
-from .encode import encoder
+from .encode import MEMO_ENTRIES, encoder
 
 CAPACITY = 4096
 #: A bin with at most this share of its capacity free is emitted before the last round.
@@ -83,9 +83,9 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(size >= self.full), out], schema=_BINS)
 
 
-def _pieces(batch: pa.RecordBatch, tokenizer: str, end_id: int, capacity: int) -> list[tuple]:
+def _pieces(batch: pa.RecordBatch, tokenizer: str, end_id: int, capacity: int, memo: int) -> list[tuple]:
     rows = []
-    for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode((x.as_py() for x in batch.column(1)), end_id), strict=True):
+    for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer, memo).encode((x.as_py() for x in batch.column(1)), end_id), strict=True):
         ids = ids.astype("<u4")
         for piece, start in enumerate(range(0, len(ids), capacity)):
             part = ids[start : start + capacity]
@@ -93,7 +93,7 @@ def _pieces(batch: pa.RecordBatch, tokenizer: str, end_id: int, capacity: int) -
     return rows
 
 
-def _first_round(tokenizer: str, end_id: int, capacity: int, slack: float):
+def _first_round(tokenizer: str, end_id: int, capacity: int, slack: float, memo: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, rows = _Packer(0, capacity, slack), []
 
@@ -104,7 +104,7 @@ def _first_round(tokenizer: str, end_id: int, capacity: int, slack: float):
             return packer.pack(np.array([r[3] for r in rows], np.int64), lists)
 
         for batch in batches:
-            rows += _pieces(batch, tokenizer, end_id, capacity)
+            rows += _pieces(batch, tokenizer, end_id, capacity, memo)
             if len(rows) >= ITEMS:
                 yield packed()
                 rows = []
@@ -151,7 +151,7 @@ def _placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, nearly_full: float = NEARLY_FULL, items: int = ITEMS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, nearly_full: float = NEARLY_FULL, items: int = ITEMS, memo: int = MEMO_ENTRIES) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens; a row for each piece.
 
     A document's ids and ``end_id`` form its tokens; only documents longer than ``capacity`` are cut,
@@ -162,11 +162,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     and checksums move. A round's bins are checkpointed.
 
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null texts are empty: one
-    piece with the end id. Repeated rows are packed once each; null doc_ids stay null; other columns
+    piece with the end id. ``memo`` is the number of pieces whose ids a worker keeps. Repeated rows are packed once each; null doc_ids stay null; other columns
     are ignored; an empty table gives no rows.
     """
     done: list[DataFrame] = []
-    bins = cut(docs.select("doc_id", "text").mapInArrow(_first_round(tokenizer, end_id, capacity, nearly_full), _BINS_SQL))
+    bins = cut(docs.select("doc_id", "text").mapInArrow(_first_round(tokenizer, end_id, capacity, nearly_full, memo), _BINS_SQL))
     parts, level, before = None, 0, None
     while True:
         level += 1
