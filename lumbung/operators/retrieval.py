@@ -16,6 +16,17 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def scored(points: DataFrame, queries: DataFrame, threshold: float | None = 0.8, where: Column | None = None, vector: str = "embedding") -> DataFrame:
+    """Every point that passes the filter with its ``score`` for every query.
+
+    The filter stands below the join, on the points. Scores at the threshold stay. A stated set of
+    queries is broadcast to the points, which are never shuffled here.
+    """
+    rows = points if where is None else points.filter(where)
+    met = rows.crossJoin(F.broadcast(queries)).withColumn("score", cosine(F.col(vector), F.col("query_vector"))).drop("query_vector")
+    return met if threshold is None else met.filter(F.col("score") >= threshold)
+
+
 def top_k(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = 0.8, where: Column | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k points nearest to each query (columns ``query_id``, ``query_vector``) by cosine.
 
@@ -24,12 +35,14 @@ def top_k(points: DataFrame, queries: DataFrame, k: int, threshold: float | None
     read once and never shuffled before each partition's best k are known (the limit of the window is
     applied before its exchange).
     """
-    rows = points if where is None else points.filter(where)
-    met = rows.crossJoin(F.broadcast(queries)).withColumn("score", cosine(F.col(vector), F.col("query_vector"))).drop("query_vector")
-    if threshold is not None:
-        met = met.filter(F.col("score") >= threshold)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return scored(points, queries, threshold, where, vector).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def best_of_source(hits: DataFrame, source: str, n: int, key: str) -> DataFrame:
+    """The n best hits of each source for each query, ``rank`` counted within the source."""
+    rank = F.row_number().over(Window.partitionBy("query_id", source).orderBy(F.desc("score"), key))
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
 def checked_queries(queries: DataFrame, most: int = MOST_QUERIES) -> list[DataFrame]:

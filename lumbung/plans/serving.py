@@ -37,6 +37,10 @@ def _hits(spark, d, k=8, threshold=0.1, where=None):
     return R.top_k(_points(spark, d), _queries(spark, d), k, threshold, where).drop("embedding")
 
 
+def _scored(spark, d, threshold=0.1, where=None):
+    return R.scored(_points(spark, d), _queries(spark, d), threshold, where).drop("embedding")
+
+
 _P = """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e, 's' || label AS source, vec_id % 9 AS page, 't' || (vec_id % 50) AS text, list_filter([CASE WHEN vec_id % 3 = 0 THEN 'nominal_bantuan' END, CASE WHEN vec_id % 4 = 0 THEN 'lampiran_formulir' END], lambda x: x IS NOT NULL) AS types FROM embeddings),
 q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), m AS (SELECT query_id, p.* EXCLUDE (e), list_cosine_similarity(e, q) AS score FROM p, q),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM m WHERE score >= 0.1 QUALIFY rank <= 8)"""
@@ -64,7 +68,7 @@ def r3(spark, d):
 
 @query("r4_nominal_guarantee", _P + " SELECT query_id, source, vec_id FROM m WHERE list_contains(types, 'nominal_bantuan') AND score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, vec_id) = 1")
 def r4(spark, d):
-    hits = _hits(spark, d, k=1_000_000)
+    hits = _scored(spark, d, where=F.array_contains("types", "nominal_bantuan"))
     return R.best_of_type(hits, "source", "types", "nominal_bantuan", "vec_id").select("query_id", "source", "vec_id")
 
 
@@ -119,10 +123,7 @@ def r13(spark, d):
 
 @query("r14_per_program_retrieval", _P + " SELECT query_id, source, vec_id, rank FROM (SELECT query_id, source, vec_id, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, vec_id) AS rank FROM m) WHERE rank <= 2")
 def r14(spark, d):
-    from pyspark.sql import Window
-
-    hits = _hits(spark, d, k=1_000_000, threshold=None).drop("rank")
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "vec_id"))).filter("rank <= 2").select("query_id", "source", "vec_id", "rank")
+    return R.best_of_source(_scored(spark, d, threshold=None), "source", 2, "vec_id").select("query_id", "source", "vec_id", "rank")
 
 
 @query("r15_unfiltered_search", _P + " SELECT query_id, vec_id, rank FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM m) WHERE rank <= 3")
