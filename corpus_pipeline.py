@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lumbung.llm import op4_jaccard, op6_langid, op7_mixing, op9_packing, op10_substrings
 from lumbung.llm.common import cut, documents, new_folder
 
-#: A text of at least MIN_BYTES bytes that even its best language codes in more bits a byte is noise.
+#: A text with at least MIN_BYTES bytes of words in learned letters that even the best language codes in
+#: more bits a byte is noise.
 MOST_BITS, MIN_BYTES = 6.5, 64
 #: Dropped documents up to which their ids are broadcast (about 40 bytes each).
 MOST_DROPPED = 500_000
@@ -31,11 +32,15 @@ def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID. Documents without a language go: no letters, or noise to every language's model."""
+    """Language ID. Documents without a language go: no letters, or noise to every language's model.
+
+    Only words in letters that were learned can be noise; other scripts stay, and all text with letters
+    where nothing was learned.
+    """
     docs, back = _apart(docs)
     found = op6_langid.identify(docs, docs.columns)
-    noise = (F.coalesce("bits", F.lit(0.0)) > MOST_BITS) & (F.octet_length("text") >= MIN_BYTES)
-    return found.filter((F.col("lang_pred") != op6_langid.UNKNOWN) & ~noise).select(*back)
+    noise = (F.coalesce("learned_bits", F.lit(0.0)) > MOST_BITS) & (F.col("learned_bytes") >= MIN_BYTES)
+    return found.filter(F.col("learned_bytes").isNotNull() & ~noise).select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import string
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -16,13 +18,16 @@ from .common import documents
 
 #: Bytes of the longest context, contexts kept over all languages, and times a context must be seen.
 ORDER, MOST_CONTEXTS, LEAST_SEEN = 3, 12_000, 4
-#: The training sample: documents a language, bytes of a document, languages (the most frequent).
-SAMPLE_DOCS, SAMPLE_BYTES, MOST_LANGUAGES = 120, 32_768, 64
+#: The training sample: documents a language, bytes of a document. Every language is learned; beyond
+#: SHARED_FROM of them they share the bytes and contexts that so many would have.
+SAMPLE_DOCS, SAMPLE_BYTES, SHARED_FROM = 120, 32_768, 64
 #: Texts are scored in blocks of so many bytes, so a long text needs no more memory.
 BLOCK = 1 << 20
 #: Symbols over which the score weighs the languages' code lengths.
 SCORE_SYMBOLS = 50.0
 LETTER = regex.compile(r"\p{L}")
+#: Share of a language's sampled letters from which a script is learned.
+SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
 
 
@@ -32,7 +37,8 @@ class Model:
 
     ``symbol`` maps bytes to symbols; bytes never seen share the last one. ``node`` maps the last
     ORDER symbols to the longest context that any language has seen; ``cost[l, node * n + symbol]`` is
-    the code length in bits of a symbol after that context in language l.
+    the code length in bits of a symbol after that context in language l. ``letters`` are the letters
+    that were learned (see :func:`learned_letters`).
     """
 
     languages: list[str]
@@ -40,6 +46,12 @@ class Model:
     node: np.ndarray
     cost: np.ndarray
     n: int
+    letters: frozenset[str]
+
+    def learned(self, text: str) -> str | None:
+        """The words of ``text`` in learned letters; None if they are all its words."""
+        foreign = {c for c in set(text) - self.letters if LETTER.match(c)}
+        return " ".join(w for w in text.split() if foreign.isdisjoint(w)) if foreign else None
 
     def bits(self, data: bytes) -> np.ndarray:
         """Code length of ``data`` in each language. The text starts after ORDER line ends."""
@@ -88,7 +100,7 @@ def train(samples: dict[str, list[bytes]]) -> Model | None:
             for context, after in counts[lang][k].items():
                 weight[k, context] += sum(after.values())
     # The contexts kept: the most seen, with every suffix of one kept, since suffixes are seen as often.
-    kept = [x for x, w in sorted(weight.items(), key=lambda x: (-x[1], x[0])) if w >= LEAST_SEEN][:MOST_CONTEXTS]
+    kept = [x for x, w in sorted(weight.items(), key=lambda x: (-x[1], x[0])) if w >= LEAST_SEEN][: MOST_CONTEXTS * SHARED_FROM // max(SHARED_FROM, len(languages))]
     number = {(0, 0): 0}
     for k, context in sorted(kept):
         if (k - 1, context % n ** (k - 1)) in number:
@@ -109,7 +121,29 @@ def train(samples: dict[str, list[bytes]]) -> Model | None:
     node = np.zeros(n**ORDER, np.int32)
     for (k, context), at in number.items():  # shorter contexts come first, longer ones write over them
         node.reshape(n ** (ORDER - k), n**k)[:, context] = at
-    return Model(languages, symbol, node, cost.reshape(len(languages), -1), n)
+    return Model(languages, symbol, node, cost.reshape(len(languages), -1), n, learned_letters(samples))
+
+
+def script(letter: str) -> str:
+    """The script of a letter, as its name begins with it."""
+    return unicodedata.name(letter, "").split(" ")[0]
+
+
+def learned_letters(samples: dict[str, list[bytes]]) -> frozenset[str]:
+    """The letters seen, of scripts with at least SCRIPT_SHARE of some language's; with Latin, all of ASCII."""
+    seen, scripts = set(), set()
+    for texts in samples.values():
+        counts: Counter[str] = Counter()
+        for t in texts:
+            counts.update(t.decode("utf-8", "replace"))
+        held: Counter[str] = Counter()
+        for c in [c for c in counts if LETTER.match(c)]:
+            seen.add(c)
+            held[script(c)] += counts[c]
+        scripts |= {k for k, v in held.items() if v >= SCRIPT_SHARE * held.total()}
+    if "LATIN" in scripts:
+        seen |= set(string.ascii_letters)
+    return frozenset(c for c in seen if script(c) in scripts)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -118,25 +152,34 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame) -> dict[str, list[bytes]]:
     """The training texts: for each language the SAMPLE_DOCS documents of least hashed doc_id that are
-    not held out and have at most SAMPLE_BYTES bytes. At most 250 MB whatever the input, about 4 MB a
-    language."""
-    able = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= SAMPLE_BYTES))
-    names = [r[0] for r in able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    first = able.filter(F.col("lang").isin(names)).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE_DOCS)
+    not held out, first those of at most SAMPLE_BYTES bytes, then the first SAMPLE_BYTES bytes of longer
+    ones. At most 250 MB whatever the input, about 4 MB a language: beyond SHARED_FROM languages each
+    has fewer documents, and beyond SHARED_FROM * SAMPLE_DOCS languages one shorter block."""
+    able = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    languages = max(SHARED_FROM, able.select("lang").distinct().count())
+    most = max(1, SAMPLE_DOCS * SHARED_FROM // languages)
+    size = min(SAMPLE_BYTES, SAMPLE_BYTES * SAMPLE_DOCS * SHARED_FROM // languages)
+    long = F.octet_length("text") > size
+    block = F.when(long, F.substring(F.col("text").cast("binary"), 1, size).cast("string")).otherwise(F.col("text"))
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "text")
+    first = able.select("lang", "doc_id", long.alias("long"), block.alias("text")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
     out: dict[str, list[bytes]] = {}
-    for row in first.select("lang", "text").collect():
-        out.setdefault(row[0], []).append(row[1].encode("utf-8", "replace"))
+    for lang, text, long in first.select("lang", "text", "long").collect():
+        # A block may end within a character.
+        out.setdefault(lang, []).append((text.rstrip("\ufffd") if long else text).encode("utf-8", "replace"))
     return out
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every document and lang_pred, score, bits (a byte, in the language named).
+    """``keep`` columns of every document and lang_pred, score, bits (a byte, in the language named),
+    learned_bytes and learned_bits.
 
     A map over the rows. The language of least code length for the whole text wins, the first by name
     on a tie. The score is that language's share when each language weighs 2 to the power of minus its
     bits a byte times SCORE_SYMBOLS. Null, empty and letterless texts are ``und`` with score 0, as is
-    everything if nothing was learned. Repeated rows give a row each.
+    everything if nothing was learned. Repeated rows give a row each. learned_bytes and learned_bits
+    are the size and the bits a byte, in the best language, of the text's words in letters that were
+    learned: elsewhere code lengths say nothing. learned_bytes is null where a text has no letter.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -145,11 +188,12 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            names, score, rate = [], [], []
+            names, score, rate, size, known = [], [], [], [], []
             for cell in batch.column(batch.num_columns - 1):
                 text = cell.as_py()
                 if own is None or not text or not LETTER.search(text):
-                    names.append(UNKNOWN), score.append(0.0), rate.append(None)
+                    names.append(UNKNOWN), score.append(0.0), rate.append(None), known.append(None)
+                    size.append(0 if text and LETTER.search(text) else None)
                     continue
                 data = text.encode("utf-8", "replace")
                 bits = own.bits(data) / len(data)
@@ -157,10 +201,14 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 names.append(own.languages[best])
                 score.append(float(1.0 / np.exp2((bits[best] - bits) * min(len(data), SCORE_SYMBOLS)).sum()))
                 rate.append(float(bits[best]))
-            columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "bits"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema.fields[:-1]) + ", lang_pred string, score double, bits double"
+                if (part := own.learned(text)) is not None:
+                    data = part.encode("utf-8", "replace")
+                    bits = own.bits(data) / max(1, len(data))
+                size.append(len(data)), known.append(float(bits.min()))
+            columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64()), pa.array(size, pa.int64()), pa.array(known, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "bits", "learned_bytes", "learned_bits"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema.fields[:-1]) + ", lang_pred string, score double, bits double, learned_bytes bigint, learned_bits double"
     return first.mapInArrow(run, schema)
 
 
