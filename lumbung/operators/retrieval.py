@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that are broadcast at most; a larger set is dealt out in blocks.
+#: Query vectors of a block of :func:`checked_queries`; top_k itself does not deal out.
 MOST_QUERIES = 10_000
 
 
@@ -19,8 +19,10 @@ def cosine(a: Column, b: Column) -> Column:
 def scored(points: DataFrame, queries: DataFrame, threshold: float | None = 0.8, where: Column | None = None, vector: str = "embedding") -> DataFrame:
     """Every point that passes the filter with its ``score`` for every query.
 
-    The filter stands below the join, on the points. Scores at the threshold stay. A stated set of
-    queries is broadcast to the points, which are never shuffled here.
+    The filter stands below the join, on the points. Scores at the threshold stay. The whole set of
+    queries is broadcast to the points, which are never shuffled here. Nothing bounds that broadcast:
+    the caller keeps the set small, or meets the points with one block of :func:`checked_queries` after
+    another.
     """
     rows = points if where is None else points.filter(where)
     met = rows.crossJoin(F.broadcast(queries)).withColumn("score", cosine(F.col(vector), F.col("query_vector"))).drop("query_vector")
@@ -30,10 +32,10 @@ def scored(points: DataFrame, queries: DataFrame, threshold: float | None = 0.8,
 def top_k(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = 0.8, where: Column | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k points nearest to each query (columns ``query_id``, ``query_vector``) by cosine.
 
-    The filter stands below the join, on the points. Scores at the threshold stay; ties go by key. A
-    stated set of queries meets all points, block by block: queries are few and broadcast, points are
-    read once and never shuffled before each partition's best k are known (the limit of the window is
-    applied before its exchange).
+    The filter stands below the join, on the points. Scores at the threshold stay; ties go by key. The
+    whole set of queries is broadcast, without a bound (see :func:`scored`); points are read once and
+    never shuffled before each partition's best k are known (the limit of the window is applied before
+    its exchange).
     """
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return scored(points, queries, threshold, where, vector).withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -46,7 +48,10 @@ def best_of_source(hits: DataFrame, source: str, n: int, key: str) -> DataFrame:
 
 
 def checked_queries(queries: DataFrame, most: int = MOST_QUERIES) -> list[DataFrame]:
-    """The query set in blocks of at most ``most``, so that what is broadcast has a bound."""
+    """The query set in blocks of about ``most``, by hash, to run :func:`top_k` over one after another.
+
+    No query of the catalogue calls it: their query set, 2 % of the points, is broadcast whole.
+    """
     n = queries.count()
     blocks = max(1, -(-n // most))
     return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
