@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, and what separates words: ASCII white space alone.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
+#: Rows of an Arrow batch where the session says nothing else.
+BATCH_ROWS = 2_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and all tasks run on this
+    machine (a ``local`` master, as in tests), a temporary folder is made and set.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lumbung-"))
+        if not named:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            named = "file://" + tempfile.mkdtemp(prefix="lumbung-")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -47,7 +56,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows, unless the session has its own setting.
+
+    A batch stands in memory twice, in the executor and in its Python worker, for each running task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -56,22 +76,93 @@ def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def id_range(df: DataFrame, key: str = "doc_id") -> tuple[int, int, int]:
-    """(smallest, largest, rows) of an integer key; (0, 0, 0) for an empty table."""
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    return (lo or 0, hi or 0, n)
-
-
-def id_bucket(key: Column, lo: int, hi: int, n: int) -> Column:
-    """Number 0 to n-1 of the equal-width range of [lo, hi] that holds ``key``; it rises with ``key``.
+class KeyRanges:
+    """Ranges of an integer key that hold about as many rows each, wherever the keys lie.
 
-    The width is a whole number, so that the arithmetic is exact. A null key goes to bucket 0.
+    ``count`` ranges, about ``each`` rows a range and at most ``most`` ranges, are made in two levels:
+    quantiles of the key cut it into at most COARSE parts, and each part is cut into ranges of equal
+    width. So an outlier among the keys widens the ranges of its own part alone. One aggregation over
+    the key finds them; ``rows`` counts all rows. An empty table has one range.
     """
-    width = max(1, -(-(hi - lo + 1) // n))
-    return F.coalesce(F.floor((key.cast("decimal(38,0)") - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(0))
+
+    COARSE = 512
+
+    def __init__(self, df: DataFrame, each: int, most: int, key: str = "doc_id"):
+        parts = self.COARSE
+        cuts = F.percentile_approx(F.col(key).cast("long"), [i / parts for i in range(1, parts)], 32 * parts)
+        lo, hi, self.rows, cuts = df.agg(F.min(key), F.max(key), F.count(F.lit(1)), cuts).first()
+        wanted = max(1, min(most, self.rows // each))
+        step = max(1, parts // wanted)  # fewer ranges than parts: some of the cuts
+        self.cuts = [] if wanted == 1 else sorted({x for x in (cuts or [])[step - 1 :: step] if lo < x <= hi})
+        self.bounds = [lo or 0, *self.cuts, (hi or 0) + 1]
+        self.inner = -(-wanted // len(self.cuts or [0]))
+        self.count = (len(self.cuts) + 1) * self.inner
+
+    def of(self, key: Column) -> Column:
+        """Number (int) of the range that holds ``key``: it rises with ``key``; null is in the first."""
+        if self.count == 1:
+            return F.lit(0)
+        bounds, last = F.lit(self.bounds), len(self.cuts)
+        steps = F.lit([1 << i for i in reversed(range(last.bit_length()))] or [0])
+        part = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= last) & (F.get(bounds, at + s) <= key), at + s).otherwise(at)) if last else F.lit(0)
+        if self.inner == 1:
+            return F.coalesce(F.when(key.isNotNull(), part), F.lit(0)).cast("int")
+        widths = F.lit([max(1, -(-(b - a) // self.inner)) for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True)])
+        within = F.floor((key.cast("decimal(38,0)") - F.get(bounds, part)) / F.get(widths, part))
+        return F.coalesce(part * self.inner + within, F.lit(0)).cast("int")
 
 
 def quiet_threads() -> None:
     """One thread for each Python worker: Spark's tasks already use all cores."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("OMP_NUM_THREADS", "1")
+
+
+#: What drops the caches of this worker process, and the operator whose tasks filled them.
+_droppers: list[Callable[[], None]] = []
+_owner: str | None = None
+
+
+def when_left(drop: Callable[[], None]) -> None:
+    """Call ``drop`` in a worker process as soon as a task of another operator runs there."""
+    _droppers.append(drop)
+
+
+@functools.lru_cache(maxsize=1)
+def _c_library() -> ctypes.CDLL | None:
+    try:
+        library = ctypes.CDLL(None)
+        return library if hasattr(library, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Return the memory that this process has freed to the machine."""
+    pa.default_memory_pool().release_unused()
+    if (library := _c_library()) is not None:
+        library.malloc_trim(0)
+
+
+def claim(owner: str) -> None:
+    """From now on this process works for ``owner``: what tasks of others have cached is dropped."""
+    global _owner
+    if _owner != owner:
+        for drop in _droppers:
+            drop()
+        _owner = owner
+        gc.collect()
+
+
+def lean(owner: str, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, in worker processes that many stages share: at its start what tasks of
+    other operators have cached is dropped, at its end freed memory goes back to the machine."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 #: Links up to which one task solves all (16 bytes each); beyond, rounds of joins do.
 ONE_TASK = 2_000_000
@@ -56,9 +56,9 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
                 off = nodes != labels
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[off]), pa.array(labels[off])], names=["a", "b"])
 
-    links = cut(links.filter("a != b").mapInArrow(thinned, "a long, b long"))
+    links = cut(links.filter("a != b").mapInArrow(lean("components", thinned), "a long, b long"))
     if links.count() <= one_task:
-        return links.coalesce(1).mapInArrow(solve, "node long, label long")
+        return links.coalesce(1).mapInArrow(lean("components", solve), "node long, label long")
     label = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
     open_links = links
     while True:

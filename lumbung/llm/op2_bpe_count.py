@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, lean, when_left
 
 #: Fixed pattern of the vocabulary's byte-level pre-tokenizer.
 PRETOKEN = regex.compile(
@@ -131,12 +131,15 @@ def counter(path: str) -> BpeCounter:
     return BpeCounter(path)
 
 
+when_left(counter.cache_clear)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit) of every document.
 
     A map over the rows: nothing is shuffled. Null and empty texts have no bytes and no tokens;
     long texts are counted whole; repeated rows give a row each; other columns are ignored; a null
-    doc_id stays null. ``tokenizer`` is the path of a byte-level BPE ``.json`` file on every executor.
+    doc_id stays null; an empty table gives no rows. ``tokenizer`` is the path of a byte-level BPE ``.json`` file on every executor.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +155,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean("op2", run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 from .components import components, labels_of
 
 THRESHOLD = 0.98
@@ -251,7 +251,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         if held:
             yield settle()
 
-    found = cut(order.mapInArrow(run, "id long, links long, root long"))
+    found = cut(order.mapInArrow(lean("op3", run), "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     groups = groups.select(F.col("node").alias("id"), F.col("label").alias("least"))
