@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, new_folder
+from .common import cut, documents, lean, new_folder
 from .encode import encoder
 
 MASK = 0xA282EAD8
@@ -83,7 +83,8 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
     name holds the attempt, so that a task that runs twice never writes over a committed file. The
     manifest has a row for each file that belongs to the result: part, rec, idx, n_records, n_ids;
     it is checkpointed, since computing it writes the files. Null texts are empty and get the end id
-    alone; null doc_ids come first; other columns are ignored; an empty table gives no files.
+    alone; null doc_ids come first; other columns are ignored; an empty table gives no files. A very
+    long text is one record: a worker holds its ids, about 4 bytes for each of its bytes.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,15 +95,18 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
         out, offsets, at, total = None, [], 0, 0
         try:
             for batch in batches:
-                ids_of = encoder(tokenizer).encode((x.as_py() for x in batch.column(1)), end_id)
-                for doc_id, ids in zip(batch.column(0), ids_of, strict=True):
+                doc_ids, row = batch.column(0).to_pylist(), 0
+                for ids, bounds in encoder(tokenizer).encode(batch.column(1), end_id):
                     if out is None:
                         store.create_dir(base, recursive=True)
                         out = store.open_output_stream(f"{name}.rec")
-                    record = frame(doc_id.as_py(), ids)
-                    out.write(record)
-                    offsets.append(at)
-                    at += len(record)
+                    records = []
+                    for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                        records.append(frame(doc_ids[row], ids[start:end]))
+                        offsets.append(at)
+                        at += len(records[-1])
+                        row += 1
+                    out.write(b"".join(records))
                     total += len(ids)
         finally:
             if out is not None:
@@ -116,7 +120,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
             )
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(ordered.mapInArrow(run, "part int, rec string, idx string, n_records long, n_ids long"))
+    return cut(ordered.mapInArrow(lean("op5", run), "part int, rec string, idx string, n_records long, n_ids long"))
 
 
 def read_back(manifest: DataFrame) -> DataFrame:
@@ -148,7 +152,7 @@ def read_back(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
     spread = files.select("rec", "base").repartition(max(1, manifest.count()))
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(lean("op5", run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
