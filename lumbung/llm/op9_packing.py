@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import cut, documents
+from .common import cut, documents, lean
 from .encode import MEMO_ENTRIES, encoder
 
 CAPACITY = 4096
@@ -83,32 +83,39 @@ class _Packer:
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(size >= self.full), out], schema=_BINS)
 
 
-def _pieces(batch: pa.RecordBatch, tokenizer: str, end_id: int, capacity: int, memo: int) -> list[tuple]:
-    rows = []
-    for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer, memo).encode((x.as_py() for x in batch.column(1)), end_id), strict=True):
-        ids = ids.astype("<u4")
-        for piece, start in enumerate(range(0, len(ids), capacity)):
-            part = ids[start : start + capacity]
-            rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
-    return rows
+def _pieces(batch: pa.RecordBatch, tokenizer: str, end_id: int, capacity: int, memo: int) -> Iterator[pa.StructArray]:
+    """The pieces of a batch's documents, for some documents at a time."""
+    doc_ids, row = batch.column(0), 0
+    for ids, bounds in encoder(tokenizer, memo).encode(batch.column(1), end_id):
+        sizes = np.diff(bounds)
+        pieces = -(-sizes // capacity)
+        doc = np.repeat(np.arange(len(sizes)), pieces)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = piece * capacity
+        length = np.minimum(capacity, sizes[doc] - start)
+        data, at = memoryview(ids.astype("<u4")).cast("B"), (bounds[doc] + start) * 4
+        crc = [zlib.crc32(data[i:j]) for i, j in zip(at.tolist(), (at + length * 4).tolist(), strict=True)]
+        columns = (doc_ids.slice(row, len(sizes)).take(pa.array(doc)), piece.astype(np.int32), start, length, np.array(crc, np.int64))
+        yield pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[f.name for f in _MEMBER])
+        row += len(sizes)
 
 
 def _first_round(tokenizer: str, end_id: int, capacity: int, slack: float, memo: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, rows = _Packer(0, capacity, slack), []
+        packer, held = _Packer(0, capacity, slack), []
 
         def packed() -> pa.RecordBatch:
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MEMBER, strict=True)]
-            members = pa.StructArray.from_arrays(columns, names=[f.name for f in _MEMBER])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1), pa.int32()), members)
-            return packer.pack(np.array([r[3] for r in rows], np.int64), lists)
+            members = pa.concat_arrays(held)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(members) + 1), pa.int32()), members)
+            return packer.pack(members.field("length").to_numpy(), lists)
 
         for batch in batches:
-            rows += _pieces(batch, tokenizer, end_id, capacity, memo)
-            if len(rows) >= ITEMS:
-                yield packed()
-                rows = []
-        if rows:
+            for pieces in _pieces(batch, tokenizer, end_id, capacity, memo):
+                held.append(pieces)
+                if sum(map(len, held)) >= ITEMS:
+                    yield packed()
+                    held = []
+        if held:
             yield packed()
 
     return run
@@ -162,11 +169,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     and checksums move. A round's bins are checkpointed.
 
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null texts are empty: one
-    piece with the end id. ``memo`` is the number of pieces whose ids a worker keeps. Repeated rows are packed once each; null doc_ids stay null; other columns
-    are ignored; an empty table gives no rows.
+    piece with the end id. ``memo`` is the number of words whose ids a worker keeps. Repeated rows are
+    packed once each; null doc_ids stay null; other columns are ignored; an empty table gives no rows.
+    Of a very long text a worker holds the ids, about 8 bytes for each of its bytes.
     """
     done: list[DataFrame] = []
-    bins = cut(docs.select("doc_id", "text").mapInArrow(_first_round(tokenizer, end_id, capacity, nearly_full, memo), _BINS_SQL))
+    bins = cut(docs.select("doc_id", "text").mapInArrow(lean("op9", _first_round(tokenizer, end_id, capacity, nearly_full, memo)), _BINS_SQL))
     parts, level, before = None, 0, None
     while True:
         level += 1
@@ -179,12 +187,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
             break
         parts = max(1, fair)
         before = n
-        bins = cut(rest.repartition(parts, "bin").select("size", "members").mapInArrow(_later_round(level, capacity, nearly_full), _BINS_SQL))
+        bins = cut(rest.repartition(parts, "bin").select("size", "members").mapInArrow(lean("op9", _later_round(level, capacity, nearly_full)), _BINS_SQL))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return out.select("bin", "members").mapInArrow(_placed, schema)
+    return out.select("bin", "members").mapInArrow(lean("op9", _placed), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
