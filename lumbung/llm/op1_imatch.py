@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, cut, documents, id_bucket, id_range, lowered
+from .common import GAP, LOWER, UPPER, KeyRanges, cut, documents
 
 #: Share of all documents that hold a term of the lexicon, and the least of each bound in documents.
 BAND, LEAST = (0.001, 0.01), (2, 32)
@@ -14,15 +14,22 @@ LEVELS, EACH = 4, 8
 DIGITS = 6
 #: Subsets of a level that must hold terms of either text before the level is heard.
 HEARD = 4
-#: Lexicon terms up to which it is broadcast (about 100 bytes each); beyond, it is joined by shuffle.
-MOST_TERMS = 500_000
+#: Bytes of the lexicon up to which it is broadcast; beyond, it is joined by shuffle.
+MOST_BYTES = 50_000_000
 #: Documents of one range of doc_ids, and the most ranges.
 ROWS_A_RANGE, MOST_RANGES = 2_000, 65_536
 
 
 def terms(text: Column) -> Column:
-    """Distinct words of a text, A-Z lower-cased; '' stands among them only for outer white space."""
-    return F.array_distinct(F.split(lowered(text), GAP))
+    """Distinct words of a text, A-Z lower-cased; '' stands among them only for outer white space.
+
+    Other capitals stay as they are, so only ASCII texts, and ASCII words of others, take lower().
+    """
+    def plain(x: Column) -> Column:
+        return F.octet_length(x) == F.char_length(x)
+
+    each = F.transform(F.array_distinct(F.split(text, GAP)), lambda w: F.when(plain(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER)))
+    return F.array_distinct(F.when(plain(text), F.split(F.lower(text), GAP)).otherwise(each))
 
 
 def lexicon(docs: DataFrame, rows: int, band: tuple[float, float] = BAND) -> DataFrame:
@@ -34,39 +41,36 @@ def lexicon(docs: DataFrame, rows: int, band: tuple[float, float] = BAND) -> Dat
     subset, so that every document meets a row.
     """
     low, high = max(LEAST[0], -int(-band[0] * rows // 1)), max(LEAST[1], int(band[1] * rows))
-    counts = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).filter("term != ''").groupBy("term").count()
+    # explode() would have Spark compute the terms a second time, to filter out empty arrays; no array is empty.
+    counts = docs.select(F.explode_outer(terms(F.coalesce("text", F.lit("")))).alias("term")).filter("term != ''").groupBy("term").count()
     odds = "shiftright(65536, 2 * (cast(k div {e} as int) + 1))".format(e=EACH)
     mask = f"aggregate(sequence(0, {LEVELS * EACH - 1}), 0L, (m, k) -> m + if(cast(conv(substr(md5(concat(k, ':', term)), 1, 4), 16, 10) as int) < {odds}, shiftleft(1L, k), 0L))"
     none = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("mask"))
     return counts.filter((F.col("count") >= low) & (F.col("count") <= high)).select("term", F.expr(mask).alias("mask")).unionByName(none)
 
 
-def _fingerprint(items: str, whole: str) -> str:
-    """SQL: the subsets' hashes of sorted (term, mask) items, '-' where a subset has none.
-
-    A text without a term in any subset is known by a hash of all its distinct terms instead.
-    """
-    one = f"if(exists({items}, x -> x.mask & shiftleft(1L, k) != 0), substr(md5(array_join(transform(filter({items}, x -> x.mask & shiftleft(1L, k) != 0), x -> x.term), ' ')), 1, {DIGITS}), '{'-' * DIGITS}')"
-    return f"if(exists({items}, x -> x.mask != 0), array_join(transform(sequence(0, {LEVELS * EACH - 1}), k -> {one}), ''), {whole})"
+def _hashes(items: str) -> str:
+    """SQL: the subsets' hashes of sorted (term, mask) items, '-' where a subset has none; null if all have none."""
+    one = f"substr(md5(array_join(transform(filter({items}, x -> x.mask & shiftleft(1L, k) != 0), x -> x.term), ' ')), 1, {DIGITS})"
+    return f"if(size({items}) > 0, transform(sequence(0, {LEVELS * EACH - 1}), k -> if({items}_any & shiftleft(1L, k) != 0, {one}, '{'-' * DIGITS}')), null)"
 
 
 def likeness(a: str, b: str) -> str:
     """SQL: share of the subsets holding terms of either text that hash alike, at the level where most do.
 
-    Equal fingerprints have likeness 1. A level counts if at least HEARD of its subsets hold terms;
-    without such a level, all subsets count together.
+    ``a`` and ``b`` name columns of hashes (see :func:`_hashes`); ``a_print`` and ``b_print`` hold the
+    fingerprints. Equal fingerprints have likeness 1. A level counts if at least HEARD of its subsets
+    hold terms; without such a level, all subsets count together.
     """
-    def part(s: str) -> str:
-        return f"substr({s}, k * {DIGITS} + 1, {DIGITS})"
-
-    def ratio(ks: str) -> str:
-        used = f"filter({ks}, k -> {part(a)} != '{'-' * DIGITS}' or {part(b)} != '{'-' * DIGITS}')"
-        return f"named_struct('n', size({used}), 'same', size(filter({used}, k -> {part(a)} = {part(b)})))"
-
-    level = [ratio(f"sequence({i * EACH}, {i * EACH + EACH - 1})") for i in range(LEVELS)]
-    rates = f"transform(filter(array({', '.join(level)}), r -> r.n >= {HEARD}), r -> r.same / r.n)"
-    whole = ratio(f"sequence(0, {LEVELS * EACH - 1})")
-    return f"case when {a} = {b} then 1.0D when substr({a}, 1, 1) = '=' or substr({b}, 1, 1) = '=' then 0.0D else coalesce(array_max({rates}), {whole}.same / {whole}.n, 0.0D) end"
+    none = "-" * DIGITS
+    told = f"transform(sequence(0, {LEVELS * EACH - 1}), k -> if({a}[k] = '{none}' and {b}[k] = '{none}', 0, if({a}[k] = {b}[k], 2, 1)))"
+    level = "transform(sequence(0, {last}), i -> named_struct('n', size(filter(slice(t, i * {e} + 1, {e}), x -> x > 0)), 'same', size(filter(slice(t, i * {e} + 1, {e}), x -> x > 1))))".format(last=LEVELS - 1, e=EACH)
+    rates = f"transform(filter(levels, r -> r.n >= {HEARD}), r -> r.same / r.n)"
+    total = "aggregate(levels, 0, (s, r) -> s + r.{f})"
+    whole = f"{total.format(f='same')} / nullif({total.format(f='n')}, 0)"
+    # A lambda over one element binds what is used several times.
+    graded = f"transform(transform(array({told}), t -> {level}), levels -> coalesce(array_max({rates}), {whole}, 0.0D))[0]"
+    return f"case when {a}_print = {b}_print then 1.0D when {a} is null or {b} is null then 0.0D else {graded} end"
 
 
 def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
@@ -80,14 +84,15 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     Null texts are empty and have the fingerprint of no terms. Repeated rows follow one another. A
-    single document is its own next. Null doc_ids come last; other columns are ignored.
+    single document is its own next. Null doc_ids come last; other columns are ignored; an empty table
+    gives no rows. Very long texts are fingerprinted whole: a task holds a text and its distinct terms.
     """
-    lo, hi, rows = id_range(docs)
-    ranges = max(1, min(MOST_RANGES, rows // ROWS_A_RANGE))
-    words = cut(lexicon(docs, rows, band))
-    if words.count() <= MOST_TERMS:
-        words = F.broadcast(words)
-    bucket = id_bucket(F.col("doc_id"), lo, hi, ranges)
+    ranges = KeyRanges(docs, ROWS_A_RANGE, MOST_RANGES)
+    kept = cut(lexicon(docs, ranges.rows, band))
+    n, size = kept.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    if 80 * n + size <= MOST_BYTES:
+        kept = F.broadcast(kept)
+    bucket = ranges.of(F.col("doc_id"))
     # The first row of each range in descending order goes to the next range above that has rows, too.
     ids = docs.select("doc_id", bucket.alias("bucket"))
     firsts = ids.groupBy("bucket").agg(F.max("doc_id").alias("first"))
@@ -103,35 +108,41 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame
         .withColumn("n_chars", F.length("text").cast("long"))
         .withColumn("edited", F.when(F.col("ghost") == 0, F.expr("concat(substr(text, 1, int(n_chars - n_chars div 3)), substr(next, 1, int(n_chars div 3)))")))
     )
-    tagged = F.concat(
-        F.transform(terms(F.col("text")), lambda t: F.struct(F.lit(0).alias("tag"), t.alias("term"))),
-        F.transform(F.when(F.col("ghost") == 0, terms(F.col("edited"))).otherwise(F.array().cast("array<string>")), lambda t: F.struct(F.lit(1).alias("tag"), t.alias("term"))),
-        F.array(F.struct(F.lit(2).alias("tag"), F.lit("").alias("term"))),
-    )
-    all_terms = "concat('=', md5(array_join(array_sort(filter({t}, x -> x != '')), ' ')))"
-    exploded = edited.select(
-        "b", "row", "doc_id", "ghost", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"),
-        F.expr(all_terms.format(t=f"array_distinct(split(translate(text, '{_U}', '{_L}'), '{_G}'))")).alias("whole"),
-        F.expr(all_terms.format(t=f"array_distinct(split(translate(edited, '{_U}', '{_L}'), '{_G}'))")).alias("edited_whole"),
-        tagged.alias("x"),
+    nothing = F.lit(None).cast("struct<doc_id:bigint,ghost:int,n_chars:bigint,text:string,edited:string>")
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), "ghost", "n_chars", "text", "edited")
+    # The document itself rides along with one row alone. explode_outer(): see lexicon().
+    sides = F.array(
+        F.struct(F.lit(2).alias("tag"), own.alias("d"), F.array(F.lit("")).alias("terms")),
+        F.struct(F.lit(0).alias("tag"), nothing.alias("d"), terms(F.col("text")).alias("terms")),
+        F.struct(F.lit(1).alias("tag"), nothing.alias("d"), F.when(F.col("ghost") == 0, terms(F.col("edited"))).alias("terms")),
     )
-    # In a step of its own: what stands beside explode() is computed for each row that it makes.
-    exploded = exploded.withColumn("x", F.explode("x")).select("*", F.col("x.tag").alias("tag"), F.col("x.term").alias("term")).drop("x")
-    held = exploded.join(words, "term")
-    gathered = held.groupBy("b", "row").agg(
-        F.first(F.struct("doc_id", "ghost", "n_chars", "sha", "whole", "edited_whole")).alias("d"),
-        F.sort_array(F.collect_list(F.when((F.col("mask") != 0) & (F.col("tag") == 0), F.struct("term", "mask")))).alias("own"),
-        F.sort_array(F.collect_list(F.when((F.col("mask") != 0) & (F.col("tag") == 1), F.struct("term", "mask")))).alias("other"),
+    sided = edited.select("b", "row", F.explode_outer(sides).alias("x")).select("b", "row", "x.tag", "x.d", "x.terms")
+    exploded = sided.select("b", "row", "tag", "d", F.explode_outer("terms").alias("term"))
+    held = exploded.join(kept, "term")
+
+    def side(tag: int) -> Column:
+        return F.sort_array(F.collect_list(F.when((F.col("mask") != 0) & (F.col("tag") == tag), F.struct("term", "mask"))))
+
+    def any_of(tag: int) -> Column:
+        return F.coalesce(F.bit_or(F.when(F.col("tag") == tag, F.col("mask"))), F.lit(0))
+
+    gathered = held.groupBy("b", "row").agg(F.first("d", ignorenulls=True).alias("d"), side(0).alias("own"), any_of(0).alias("own_any"), side(1).alias("other"), any_of(1).alias("other_any"))
+    def whole(text: str) -> Column:
+        return F.concat(F.lit("="), F.md5(F.array_join(F.sort_array(F.array_remove(terms(F.col(text)), "")), " ")))
+
+    hashed = gathered.select("b", "row", "d", F.expr(_hashes("own")).alias("x"), F.expr(_hashes("other")).alias("y"))
+    # All distinct terms of a text are sorted and hashed only where it has no term in any subset.
+    printed = hashed.select(
+        "b", "row", "d.doc_id", "d.ghost", "d.n_chars", F.sha2(F.col("d.edited").cast("binary"), 256).alias("edited_sha256"), "x", "y",
+        F.when(F.col("x").isNull(), whole("d.text")).otherwise(F.array_join("x", "")).alias("x_print"),
+        F.when(F.col("y").isNull(), whole("d.edited")).otherwise(F.array_join("y", "")).alias("y_print"),
     )
-    printed = gathered.select(
-        "b", "row", "d.doc_id", "d.ghost", "d.n_chars", F.col("d.sha").alias("edited_sha256"),
-        F.expr(_fingerprint("own", "d.whole")).alias("fingerprint"), F.expr(_fingerprint("other", "d.edited_whole")).alias("edited_fingerprint"),
+    following = Window.partitionBy("b").orderBy("row")
+    result = printed.withColumn("z", F.lead("x").over(following)).withColumn("z_print", F.lead("x_print").over(following)).filter("ghost = 0")
+    return result.select(
+        "doc_id", "n_chars", "edited_sha256", F.col("x_print").alias("fingerprint"), F.col("y_print").alias("edited_fingerprint"),
+        F.expr(likeness("x", "y")).alias("near_edited"), F.expr(likeness("x", "z")).alias("near_next"),
     )
-    result = printed.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("b").orderBy("row"))).filter("ghost = 0")
-    return result.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.expr(likeness("fingerprint", "edited_fingerprint")).alias("near_edited"), F.expr(likeness("fingerprint", "next")).alias("near_next"))
-
-
-_U, _L, _G = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", r"[\\x20\\x09-\\x0D]+"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
