@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_bucket, id_range
+from .common import KeyRanges, documents
 
 #: Rows that one task numbers at once, and the most (shard, range) counts that are broadcast.
 ROWS_A_RANGE, MOST_COUNTS = 20_000, 1_000_000
@@ -20,8 +20,8 @@ def scores(key: Column, weights: list[float]) -> Column:
     text = F.coalesce(key.cast("string"), F.lit("null"))
     each = []
     for shard, weight in enumerate(weights):
-        h = F.conv(F.substring(F.md5(F.concat(text, F.lit(f"/{shard}"))), 1, 13), 16, 10).cast("double")
-        each.append(F.struct((-F.log((h + 0.5) / float(16**13)) / float(weight)).alias("score"), F.lit(shard).alias("shard")))
+        h = F.shiftrightunsigned(F.xxhash64(text, F.lit(shard)), 11).cast("double")
+        each.append(F.struct((-F.log((h + 0.5) / float(1 << 53)) / float(weight)).alias("score"), F.lit(shard).alias("shard")))
     return F.array(*each)
 
 
@@ -35,10 +35,10 @@ def shard_records(docs: DataFrame, weights: list[float], grown_weight: float = 1
 
     Columns: doc_id, size (UTF-8 bytes and ``overhead``), text_crc32, law, shard, slot, grown_shard.
     Null texts have ``overhead`` alone and the checksum of no bytes. Null keys are one key. Repeated
-    keys share a shard and get slots of their own, by checksum. Other columns are ignored.
+    keys share a shard and get slots of their own, by checksum. Other columns are ignored; an empty
+    table gives no rows. Very long texts are only measured and summed, where they are read.
     """
-    lo, hi, rows = id_range(docs, key)
-    ranges = max(1, min(rows // ROWS_A_RANGE, MOST_COUNTS // len(weights)))
+    ranges = KeyRanges(docs, ROWS_A_RANGE, max(1, MOST_COUNTS // len(weights)), key)
     own = F.col(key)
 
     def placed(df: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def shard_records(docs: DataFrame, weights: list[float], grown_weight: float = 1
         return (
             df.withColumn("all", every)
             .withColumn("best", F.array_min(F.slice("all", 1, len(weights))))
-            .withColumn("range", id_bucket(own, lo, hi, ranges))
+            .withColumn("range", ranges.of(own))
         )
 
     text = F.coalesce(F.col("text"), F.lit(""))
