@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, release
+from .common import cut, documents, lean, release
 from .shingles import mixed, run_hashes, word_hashes, words_of
 
 #: Words of a window; of a block: every window then holds a whole aligned block.
@@ -19,25 +19,27 @@ WINDOW, BLOCK = 50, 25
 GROUP, SEGMENT = 400_000, 1_000_000
 #: Bits of the anchor filter for each anchor, and at most (64 MB); slots of an anchor, by these factors.
 BITS_EACH, MOST_BITS, FACTORS = 32, 1 << 29, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
-#: Documents with removed words up to which their spans are broadcast, at up to about 100 bytes each.
-MOST_SPANS = 300_000
-KEY_BITS = 30
+#: Bytes of spans up to which they are broadcast; beyond, they are joined by shuffle.
+MOST_BYTES = 32_000_000
+#: Bits of a hash that go beside its segment, and the most segments. A task holds at least EACH_SEGMENT
+#: hashes for each segment, so that rows of the shuffle stay long when segments are many.
+KEY_BITS, MOST_SEGMENTS, EACH_SEGMENT = 30, 1 << 18, 8
 
 
 def _segments(rows: int, each: int) -> int:
-    return 1 << max(6, min(16, int(rows * each / SEGMENT).bit_length()))
+    return min(MOST_SEGMENTS, 1 << max(6, int(rows * each / SEGMENT).bit_length()))
 
 
-def _groups(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+def _groups(batches: Iterable[pa.RecordBatch], window: int, segments: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
     """(doc_id, tie, word hashes) of documents that have a window, some at a time."""
-    group, n = [], 0
+    group, n, most = [], 0, max(GROUP, EACH_SEGMENT * segments)
     for batch in batches:
         for doc_id, text, tie in zip(*batch.columns, strict=True):
             words = words_of(text.as_py())
             if len(words) >= window and doc_id.is_valid:
                 group.append((doc_id.as_py(), tie.as_py(), word_hashes(words)))
                 n += len(words)
-                if n >= GROUP:
+                if n >= most:
                     yield group
                     group, n = [], 0
     if group:
@@ -84,7 +86,7 @@ def _anchors(texts: DataFrame, window: int, block: int, segments: int) -> DataFr
     bits = segments.bit_length() - 1
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, window):
+        for group in _groups(batches, window, segments):
             runs = [run_hashes(h, block) for _, _, h in group]
             lengths = np.array([len(r) for r in runs])
             h = np.concatenate(runs)
@@ -112,7 +114,7 @@ def _anchors(texts: DataFrame, window: int, block: int, segments: int) -> DataFr
             found = key[first][((flags & 1) != 0) & (many | ((flags & 2) != 0))]
             yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([len(found)], pa.int64()), pa.array([found.tobytes()], pa.binary())], names=["segment", "n", "keys"])
 
-    return cut(_dealt(texts.mapInArrow(emit, "segment int, keys binary")).mapInArrow(meet, "segment int, n long, keys binary"))
+    return cut(_dealt(texts.mapInArrow(lean("op10", emit), "segment int, keys binary")).mapInArrow(lean("op10", meet), "segment int, n long, keys binary"))
 
 
 def _filter(anchors: DataFrame, segments: int) -> tuple[np.ndarray, int]:
@@ -131,7 +133,7 @@ def _filter(anchors: DataFrame, segments: int) -> tuple[np.ndarray, int]:
                 yield pa.RecordBatch.from_arrays([pa.array([row["segment"]], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
 
     out = np.zeros((segments, each // 8), np.uint8)
-    for segment, data in anchors.filter("n > 0").mapInArrow(bits, "segment int, bits binary").toLocalIterator():
+    for segment, data in anchors.filter("n > 0").mapInArrow(lean("op10", bits), "segment int, bits binary").toLocalIterator():
         out[segment] = np.frombuffer(data, np.uint8)
     return out.reshape(-1), each
 
@@ -143,7 +145,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
     document with a smaller doc_id; ``tie`` is a hash of the text. 1. Aligned blocks are probed with
     every rolling run; what two documents share is an anchor. 2. Windows that hold an anchor are
     extended to whole windows: their hashes meet by segment, and the least doc_id of each window
-    decides exactly. 3. The windows found meet by document and are merged into maximal spans. Copies
+    decides. Windows are equal if two independent hashes of 64 and 32 bits are: among 10**13 windows,
+    two different ones agree with odds of about 1 in 1,500. 3. The windows found meet by document and are merged into maximal spans. Copies
     of a text within a task are settled there, so a large group of copies sends few windows.
     """
     if 2 * block - 1 > window:
@@ -160,12 +163,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for group in _groups(batches, window):
+        for group in _groups(batches, window, wide):
             least: dict[tuple[int, int], int] = {}
             for doc_id, tie, h in group:
                 key = (tie, len(h))
                 least[key] = min(doc_id, least.get(key, doc_id))
-            told, whole, ids, ties, hashes, places, owners = set(), [], [], [], [], [], []
+            told, whole, ids, ties, hashes, checks, places, owners = set(), [], [], [], [], [], [], []
             for doc_id, tie, h in group:
                 key = (tie, len(h))
                 if doc_id > least[key]:
@@ -183,25 +186,26 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
                 found = np.flatnonzero(before[window - block + 1 :] > before[: len(before) - (window - block + 1)])
                 if len(found):
                     hashes.append(run_hashes(h, window)[found])
+                    checks.append((run_hashes(h, window, 1)[found] >> np.uint64(32)).astype(np.uint32))
                     places.append(found.astype(np.uint32))
                     owners.append(np.full(len(found), len(ids), np.uint32))
                     ids.append(doc_id)
                     ties.append(tie)
             out = []
             if hashes:
-                h, place, owner = map(np.concatenate, (hashes, places, owners))
+                h, check, place, owner = map(np.concatenate, (hashes, checks, places, owners))
                 segment = (h >> np.uint64(64 - wide_bits)).astype(np.uint16 if wide <= 1 << 16 else np.uint32)
                 order = np.argsort(segment, kind="stable")
-                h, place, owner, segment = h[order], place[order], owner[order], segment[order]
+                h, check, place, owner, segment = h[order], check[order], place[order], owner[order], segment[order]
                 id_table, tie_table = np.array(ids, np.int64), np.array(ties, np.int64)
                 for s, part in _by_segment(segment, wide):
                     used, index = np.unique(owner[part], return_inverse=True)
-                    out.append((s, h[part].tobytes(), index.astype(np.uint32).tobytes(), place[part].tobytes(), id_table[used].tobytes(), tie_table[used].tobytes()))
+                    out.append((s, h[part].tobytes(), check[part].tobytes(), index.astype(np.uint32).tobytes(), place[part].tobytes(), id_table[used].tobytes(), tie_table[used].tobytes()))
             if whole:
                 w = np.array(whole, np.int64)
-                out.append((int(w[0, 0]) % wide, None, None, w[:, 2].tobytes(), w[:, 0].tobytes(), w[:, 1].tobytes()))
+                out.append((int(w[0, 0]) % wide, None, None, None, w[:, 2].tobytes(), w[:, 0].tobytes(), w[:, 1].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["segment", "hash", "owner", "place", "ids", "ties"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], names=["segment", "hash", "check", "owner", "place", "ids", "ties"])
 
     def dealt_by_document(ids: np.ndarray, ties: np.ndarray, starts: np.ndarray, lengths: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         """Runs by document: each document once with the number of its runs, then 4 bytes a run."""
@@ -220,7 +224,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
 
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _streamed(batches):
-            h, ids, ties, place = [], [], [], []
+            h, check, ids, ties, place = [], [], [], [], []
             for r in rows:
                 table, tie = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ties"], np.int64)
                 if r["hash"] is None:
@@ -228,14 +232,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
                     yield from dealt_by_document(table, tie, np.zeros(len(n), np.int64), n)
                     continue
                 owner = np.frombuffer(r["owner"], np.uint32)
-                h.append(np.frombuffer(r["hash"], np.uint64)), place.append(np.frombuffer(r["place"], np.uint32))
+                h.append(np.frombuffer(r["hash"], np.uint64)), check.append(np.frombuffer(r["check"], np.uint32)), place.append(np.frombuffer(r["place"], np.uint32))
                 ids.append(table[owner]), ties.append(tie[owner])
             if not h:
                 continue
-            h, ids, ties, place = map(np.concatenate, (h, ids, ties, place))
+            h, check, ids, ties, place = map(np.concatenate, (h, check, ids, ties, place))
             order = np.argsort(h, kind="stable")
-            h, ids, ties, place = h[order], ids[order], ties[order], place[order].astype(np.int64)
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            if ((h[order][1:] == h[order][:-1]) & (check[order][1:] != check[order][:-1])).any():
+                order = np.lexsort((check, h))
+            h, check, ids, ties, place = h[order], check[order], ids[order], ties[order], place[order].astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1]))))
             least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.concatenate((first, [len(h)]))))
             gone = ids > least
             if gone.any():
@@ -265,9 +271,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) ->
                 [pa.array(ids[at][own]), pa.array(ties[at][own]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(spans.astype(np.int32)))], names=["doc_id", "tie", "spans"]
             )
 
-    windows = texts.mapInArrow(emit, "segment int, hash binary, owner binary, place binary, ids binary, ties binary")
-    decided = _dealt(windows).mapInArrow(decide, "segment int, ids binary, ties binary, counts binary, starts binary, lengths binary")
-    out = cut(_dealt(decided).mapInArrow(merge, "doc_id long, tie long, spans array<int>"))
+    windows = texts.mapInArrow(lean("op10", emit), "segment int, hash binary, check binary, owner binary, place binary, ids binary, ties binary")
+    decided = _dealt(windows).mapInArrow(lean("op10", decide), "segment int, ids binary, ties binary, counts binary, starts binary, lengths binary")
+    out = cut(_dealt(decided).mapInArrow(lean("op10", merge), "doc_id long, tie long, spans array<int>"))
     release(spark)
     return out
 
@@ -278,14 +284,17 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW, block
     ``kept_text`` joins the words kept by one space; it is null if nothing is removed, since the text
     then stands as it is. Null texts have no words; texts shorter than a window lose none. Copies of a
     text lose all words but in the least doc_id; rows with one doc_id never take from each other. Rows
-    without a doc_id lose nothing and take nothing. Empty tables give no rows. Spans are broadcast
-    where few documents have any, and else joined by shuffle.
+    without a doc_id lose nothing and take nothing. Empty tables give no rows. A column of ``keep``
+    named like one of ours gives way to ours. Of a very long text a worker holds its words. Spans are
+    broadcast up to MOST_BYTES, and else joined by shuffle.
     """
+    keep = [c for c in keep if c not in ("n_words", "n_removed", "kept_text")]
     spans = repeated_spans(docs, window, block)
-    n = spans.count()
+    n, ends = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    small = 40 * n + 4 * ends <= MOST_BYTES
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("spans").alias("_spans"))
     own = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)], F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
-    joined = own.join(F.broadcast(spans) if n <= MOST_SPANS else spans, (F.col("_doc") == F.col("_id")) & (F.xxhash64("_text") == F.col("_tie")), "left")
+    joined = own.join(F.broadcast(spans) if small else spans, (F.col("_doc") == F.col("_id")) & (F.xxhash64("_text") == F.col("_tie")), "left")
     first = joined.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], F.col("_text"), F.col("_spans"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +317,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], window: int = WINDOW, block
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=[*keep, "n_words", "n_removed", "kept_text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema.fields[: len(keep)])
-    return first.mapInArrow(run, f"{schema}, n_words long, n_removed long, kept_text string")
+    return first.mapInArrow(lean("op10", run), f"{schema}, n_words long, n_removed long, kept_text string")
 
 
 def kept_digest(df: DataFrame) -> DataFrame:
@@ -322,7 +331,7 @@ def kept_digest(df: DataFrame) -> DataFrame:
                 digests.append(hashlib.sha256(data).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), batch.column("n_removed"), pa.array(digests)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return df.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return df.mapInArrow(lean("op10", run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

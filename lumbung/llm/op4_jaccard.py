@@ -9,11 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_128_intdigest
 
-from .common import cut, documents, release
+from .common import cut, documents, lean, release
 from .components import components
-from .op10_substrings import _by_segment, _dealt, _segments, _streamed
+from .op10_substrings import EACH_SEGMENT, _by_segment, _dealt, _segments, _streamed
 from .shingles import mixed, run_hashes, word_hashes
 
 #: Orders under which candidates must share a prefix token.
@@ -25,8 +25,8 @@ KEY_BITS = 30
 COMMON = 32
 #: Documents of a block: a candidate group beyond one block is compared block by block.
 BLOCK = 2048
-#: Candidate documents up to which their ids are broadcast to fetch the texts (about 40 bytes each).
-MOST_IDS = 500_000
+#: Bytes of candidate documents' ids and places up to which they are broadcast to fetch the texts.
+MOST_BYTES = 32_000_000
 
 
 @dataclass(frozen=True)
@@ -48,22 +48,24 @@ class Rule:
         return n - -(-self.num * n // self.den) + 1
 
 
-def _sets(batches: Iterable[pa.RecordBatch], rule: Rule) -> Iterator[list[tuple[int | None, int | None, np.ndarray]]]:
-    group, n = [], 0
+def _sets(batches: Iterable[pa.RecordBatch], rule: Rule, segments: int) -> Iterator[list[tuple[int | None, int | None, np.ndarray]]]:
+    group, n, most = [], 0, max(GROUP, EACH_SEGMENT * segments)
     for batch in batches:
         for doc_id, text, tie in zip(*batch.columns, strict=True):
             s = rule.set_of(text.as_py())
             group.append((doc_id.as_py(), tie.as_py(), s))
             n += len(s)
-            if n >= GROUP:
+            if n >= most:
                 yield group
-                group, n = [], 0
+                group, n, most = [], 0, max(GROUP, EACH_SEGMENT * segments)
     if group:
         yield group
 
 
-def _key(s: np.ndarray) -> int:
-    return xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def _key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set in two halves; the first names it among the tokens."""
+    high, low = divmod(xxh3_128_intdigest(s.tobytes()), 1 << 64)
+    return high - (1 << 63), low - (1 << 63)
 
 
 def _repeated(texts: DataFrame, rule: Rule, segments: int) -> tuple[np.ndarray, int]:
@@ -75,7 +77,7 @@ def _repeated(texts: DataFrame, rule: Rule, segments: int) -> tuple[np.ndarray,
     bits = segments.bit_length() - 1
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _sets(batches, rule):
+        for group in _sets(batches, rule, segments):
             distinct = {_key(s): s for _, _, s in group if len(s)}
             if not distinct:
                 continue
@@ -95,7 +97,7 @@ def _repeated(texts: DataFrame, rule: Rule, segments: int) -> tuple[np.ndarray,
             found = (v[first] >> 2 << 1 | common.astype(np.uint32))[several]
             yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([len(found)], pa.int64()), pa.array([found.tobytes()], pa.binary())], names=["segment", "n", "keys"])
 
-    met = cut(_dealt(texts.mapInArrow(emit, "segment int, keys binary")).mapInArrow(meet, "segment int, n long, keys binary"))
+    met = cut(_dealt(texts.mapInArrow(lean("op4", emit), "segment int, keys binary")).mapInArrow(lean("op4", meet), "segment int, n long, keys binary"))
     n = met.agg(F.sum("n")).first()[0] or 0
     each = min(max(64, 1 << (min(n * BITS_EACH, MOST_BITS // 2) // segments).bit_length()), MOST_BITS // 2 // segments)
 
@@ -109,7 +111,7 @@ def _repeated(texts: DataFrame, rule: Rule, segments: int) -> tuple[np.ndarray,
                 yield pa.RecordBatch.from_arrays([pa.array([row["segment"]], pa.int32()), pa.array([np.packbits(own, axis=1, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
 
     out = np.zeros((2, segments, each // 8), np.uint8)
-    for segment, data in met.filter("n > 0").mapInArrow(table, "segment int, bits binary").toLocalIterator():
+    for segment, data in met.filter("n > 0").mapInArrow(lean("op4", table), "segment int, bits binary").toLocalIterator():
         out[:, segment] = np.frombuffer(data, np.uint8).reshape(2, -1)
     return out.reshape(2, -1), each
 
@@ -193,9 +195,13 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), orders: int = ORDERS)
     3. What is left together is verified exactly from the whole texts, block against block if a group
     is large; each task returns a forest of its links, never pairs.
 
+    A shingle is known by 64 bits, so two different ones of a pair of texts of 10,000 words each are
+    taken for one with odds of about 1 in 10**11; a set is known by 128 bits.
+
     Null, empty and wordless texts have no shingles and link with nothing, not even each other.
     Rows with a null doc_id get no component. Repeated rows share a class. ``tie`` is a hash of the
-    text. Other columns are ignored; an empty table gives no rows.
+    text. Other columns are ignored; an empty table gives no rows. Of a very long text a worker holds
+    its words and its set.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
@@ -208,13 +214,13 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), orders: int = ORDERS)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("segment", pa.int32()), *((c, pa.binary()) for c in ("tokens", "owners", "keys", "sizes", "orders"))])
-        for group in _sets(batches, rule):
-            keys = [_key(s) if len(s) else None for _, _, s in group]
+        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("segment", pa.int32()), *((c, pa.binary()) for c in ("tokens", "owners", "keys", "sizes", "orders"))])
+        for group in _sets(batches, rule, wide):
+            keys = [_key(s) if len(s) else (None, None) for _, _, s in group]
             none = [None] * len(group)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([g[0] for g in group], [g[1] for g in group], [len(g[2]) for g in group], keys, *[none] * 6), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([g[0] for g in group], [g[1] for g in group], [len(g[2]) for g in group], *zip(*keys, strict=True), *[none] * 6), schema, strict=True)], schema=schema)
             told, token_parts, owners, order_parts, own_keys, sizes = set(), [], [], [], [], []
-            for (doc_id, _, s), key in zip(group, keys, strict=True):
+            for (doc_id, _, s), (key, _) in zip(group, keys, strict=True):
                 if key is None or doc_id is None or key in told:
                     continue
                 told.add(key)
@@ -244,7 +250,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), orders: int = ORDERS)
             out = []
             for s, part in _by_segment(segment, wide):
                 used, index = np.unique(owner[part], return_inverse=True)
-                out.append((None, None, None, None, s, token[part].tobytes(), index.astype(np.uint32).tobytes(), own_keys[used].tobytes(), sizes[used].tobytes(), order[part].tobytes()))
+                out.append((None, None, None, None, None, s, token[part].tobytes(), index.astype(np.uint32).tobytes(), own_keys[used].tobytes(), sizes[used].tobytes(), order[part].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,16 +264,16 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), orders: int = ORDERS)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(a), pa.array(b)], names=["k", "a", "b"])
 
-    emitted = cut(texts.mapInArrow(emit, "doc_id long, tie long, n long, key long, segment int, tokens binary, owners binary, keys binary, sizes binary, orders binary"))
-    own = emitted.filter("segment is null").select("doc_id", "tie", "n", "key")
+    emitted = cut(texts.mapInArrow(lean("op4", emit), "doc_id long, tie long, n long, key long, key2 long, segment int, tokens binary, owners binary, keys binary, sizes binary, orders binary"))
+    own = emitted.filter("segment is null").select("doc_id", "tie", "n", "key", "key2")
     postings = emitted.filter("segment is not null").select("segment", "tokens", "owners", "keys", "sizes", "orders")
-    sharing = cut(_dealt(postings).mapInArrow(meet, "k int, a long, b long"))
+    sharing = cut(_dealt(postings).mapInArrow(lean("op4", meet), "k int, a long, b long"))
     groups = None
     for k in range(orders):
         found = components(sharing.filter(F.col("k") == k).select("a", "b")).select(F.col("node").alias("key"), F.col("label").alias(f"g{k}"))
         groups = found if groups is None else groups.join(found, "key")
     groups = groups.select("key", F.xxhash64(*(f"g{k}" for k in range(orders))).alias("g"))
-    classes = cut(own.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.first("n").alias("n")).select("key", "first.doc_id", "first.tie", "n"))
+    classes = cut(own.filter("key is not null and doc_id is not null").groupBy("key", "key2").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.first("n").alias("n")).select("key", "key2", "first.doc_id", "first.tie", "n"))
     within = Window.partitionBy("g").orderBy("n", "doc_id")
     placed = classes.join(groups, "key").withColumn("place", F.row_number().over(within) - 1)
     placed = placed.withColumn("block", F.floor(F.col("place") / BLOCK).cast("int"))
@@ -279,15 +285,16 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), orders: int = ORDERS)
     members = placed.join(totals.select("g"), "g").select("g", "block", "doc_id", "tie")
     sides = pairs.select("g", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
     members = cut(members.join(sides, ["g", "block"]).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("g", "low", "high", "block")).alias("at")))
-    few = members.count() <= MOST_IDS
+    n, places = members.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    few = 40 * n + 40 * places <= MOST_BYTES
     members = members.withColumnRenamed("doc_id", "_id").withColumnRenamed("tie", "_tie")
     fetched = texts.join(F.broadcast(members) if few else members, (F.col("doc_id") == F.col("_id")) & (F.col("tie") == F.col("_tie")))
     dealt = fetched.select("doc_id", "text", F.explode("at").alias("at")).select("at.g", "at.low", "at.high", "at.block", "doc_id", "text")
     dealt = dealt.repartition("g", "low", "high").sortWithinPartitions("g", "low", "high", "block", "doc_id")
-    links = dealt.mapInArrow(_compare(rule), "a long, b long")
+    links = dealt.mapInArrow(lean("op4", _compare(rule)), "a long, b long")
     found = components(links).select(F.col("node").alias("doc_id"), "label")
-    named = classes.join(found, "doc_id", "left").select("key", F.col("doc_id").alias("class_id"), F.coalesce("label", "doc_id").alias("component_id"))
-    out = own.join(named, "key", "left")
+    named = classes.join(found, "doc_id", "left").select("key", "key2", F.col("doc_id").alias("class_id"), F.coalesce("label", "doc_id").alias("component_id"))
+    out = own.join(named, ["key", "key2"], "left")
     alone = F.when(F.col("key").isNull(), F.col("doc_id"))
     return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", alone)).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", alone)).alias("component_id"))
 

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, lean
 
 #: Bytes of the longest context, contexts kept over all languages, and times a context must be seen.
 ORDER, MOST_CONTEXTS, LEAST_SEEN = 3, 12_000, 4
@@ -179,9 +179,12 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     bits a byte times SCORE_SYMBOLS. Null, empty and letterless texts are ``und`` with score 0, as is
     everything if nothing was learned. Repeated rows give a row each. learned_bytes and learned_bits
     are the size and the bits a byte, in the best language, of the text's words in letters that were
-    learned: elsewhere code lengths say nothing. learned_bytes is null where a text has no letter.
+    learned: elsewhere code lengths say nothing. learned_bytes is null where a text has no letter. A
+    column of ``keep`` named like one of ours gives way to ours; an empty table gives no rows; long
+    texts are scored whole, block by block.
     """
     spark = docs.sparkSession
+    keep = [c for c in keep if c not in ("lang_pred", "score", "bits", "learned_bytes", "learned_bits")]
     shared = spark.sparkContext.broadcast(model)
     first = docs.select(*keep, F.col("text").alias("_text"))
 
@@ -209,7 +212,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "bits", "learned_bytes", "learned_bits"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema.fields[:-1]) + ", lang_pred string, score double, bits double, learned_bytes bigint, learned_bits double"
-    return first.mapInArrow(run, schema)
+    return first.mapInArrow(lean("op6", run), schema)
 
 
 def identify(docs: DataFrame, keep: list[str]) -> DataFrame:

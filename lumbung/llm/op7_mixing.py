@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, documents, id_bucket, id_range
+from .common import WORD, KeyRanges, cut, documents
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Share of all sizes that the mix takes, and the most copies of a document.
 SHARE, CAP = 1.5, 2
-#: Random offsets that are drawn for each source; the one whose words come nearest the target holds.
+#: Random offsets that the query draws for each source; the one whose words come nearest the target holds.
 OFFSETS = 16
-#: Rows of one source and size that one task numbers at once; sources up to which the plan is broadcast.
-ROWS_A_RANGE, MOST_SOURCES = 50_000, 10_000
+#: Rows of one source and size that one task numbers at once, the most ranges of doc_ids, and sources up
+#: to which the plan is broadcast.
+ROWS_A_RANGE, MOST_RANGES, MOST_SOURCES = 50_000, 65_536, 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -58,13 +59,14 @@ def crossed(rate: Column, rank: Column, start: Column) -> Column:
     return (F.floor(rate * rank + start) - F.floor(rate * (rank - 1) + start)).cast("long")
 
 
-def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 0, draws: int = 1) -> DataFrame:
     """Every document with the copies that the mix takes of it.
 
     Within a source, documents stand in order of size, doc_id and a hash of the text; each is expected
     ``target / source_size`` times; the prefix sum of these, plus one random offset, crosses an integer
     once for each copy. The order by size makes each stretch of sizes give its part, so the words taken
-    stay near the target.
+    stay near the target. With several ``draws``, that many offsets are tried for each source, all in
+    one pass over slim rows, and the one whose words come nearest the target holds.
 
     A rank within a source is made in two levels, so that no task sorts a source: rows are numbered
     within (source, size, range of doc_ids), and the counts of the groups before, one row each, are
@@ -73,18 +75,17 @@ def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIGHTS,
     Columns: those of ``keep`` and size, source_size, target, copies. Null texts and texts without
     words have size 0. A null source is a source, the last. Repeated rows are documents of their own.
     Sources without words have target 0 and no copies. Columns of ``docs`` named like ours are only
-    taken if in ``keep``.
+    taken if in ``keep``. An empty table gives no rows; very long texts are only counted.
     """
-    lo, hi, rows = id_range(docs)
-    ranges = max(1, min(1024, rows // ROWS_A_RANGE))
+    ranges = KeyRanges(docs, ROWS_A_RANGE, MOST_RANGES)
     extra = [c for c in keep if c not in ("doc_id", "source")]
     base = docs.select(
         "doc_id", "source", *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(extra)), word_count(F.col("text")).alias("_size"),
-        F.xxhash64("text").alias("_tie"), id_bucket(F.col("doc_id"), lo, hi, ranges).alias("_range"),
+        F.xxhash64("text").alias("_tie"), ranges.of(F.col("doc_id")).alias("_range"),
     )
     slim = cut(base.select("doc_id", "source", F.col("_size").alias("size"), "_tie", "_range"))
     targets = cut(source_targets(slim.select("source", "size"), weights, share, cap))
-    few = targets.count() <= MOST_SOURCES
+    few = targets.agg((F.count("*") <= MOST_SOURCES) & (F.coalesce(F.sum(F.octet_length("source")), F.lit(0)) <= 1_000_000)).first()[0]
     group = ["source", "_size", "_range"]
     along = Window.partitionBy("source").orderBy("_size", "_range").rowsBetween(Window.unboundedPreceding, -1)
     groups = (
@@ -105,18 +106,26 @@ def mix(docs: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIGHTS,
         return df.withColumn("_within", F.row_number().over(within)).join(other, same).withColumn("_rank", F.col("_before") + F.col("_within")).drop("_before", "_within", *(f"{c}_" for c in group))
 
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    drawn = [F.sum(crossed(rate, F.col("_rank"), offset(F.col("source"), seed, i)) * F.col("_size")).alias(f"d{i}") for i in range(OFFSETS)]
+    drawn = [F.sum(crossed(rate, F.col("_rank"), offset(F.col("source"), seed, i)) * F.col("_size")).alias(f"d{i}") for i in range(draws)]
+    if draws == 1:
+        plan = targets.withColumn("_start", offset(F.col("source"), seed, 0))
+        return _taken(base if extra else slim.withColumnRenamed("size", "_size"), plan, rate, ranked, with_targets, keep, extra, cap)
     tried = with_targets(ranked(slim.withColumnRenamed("size", "_size")), targets).groupBy("source", "source_size", "target").agg(*drawn)
-    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"d{i}") - F.col("target")).alias("off"), F.lit(i).alias("i"), offset(F.col("source"), seed, i).alias("start")) for i in range(OFFSETS))))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"d{i}") - F.col("target")).alias("off"), F.lit(i).alias("i"), offset(F.col("source"), seed, i).alias("start")) for i in range(draws))))
     plan = cut(tried.select("source", "source_size", "target", best["start"].alias("_start")))
-    own = base if extra else slim.withColumnRenamed("size", "_size")
+    return _taken(base if extra else slim.withColumnRenamed("size", "_size"), plan, rate, ranked, with_targets, keep, extra, cap)
+
+
+def _taken(own: DataFrame, plan: DataFrame, rate: Column, ranked, with_targets, keep: list[str], extra: list[str], cap: int) -> DataFrame:
+    """The rows of ``own`` with the copies that each source's offset (``_start``) gives them."""
     out = with_targets(ranked(own), plan).withColumn("copies", F.least(crossed(rate, F.col("_rank"), F.col("_start")), F.lit(cap).cast("long")))
     names = {c: f"_keep_{i}" for i, c in enumerate(extra)}
-    return out.select(*(F.col(names.get(c, c)).alias(c) for c in keep), *(F.col(c).alias(n) for c, n in (("_size", "size"), ("source_size", "source_size"), ("target", "target"), ("copies", "copies")) if n not in keep))
+    ours = (("_size", "size"), ("source_size", "source_size"), ("target", "target"), ("copies", "copies"))
+    return out.select(*(F.col(names.get(c, c)).alias(c) for c in keep), *(F.col(c).alias(n) for c, n in ours if n not in keep))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir), ["doc_id"]).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return mix(documents(spark, sf_dir), ["doc_id"], draws=OFFSETS).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 SQL = r"""

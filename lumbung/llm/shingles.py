@@ -5,18 +5,18 @@ from __future__ import annotations
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Odd bases of two independent polynomials, and their inverses modulo 2**64.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    """Powers 0 to n-1 of the base or its inverse modulo 2**64."""
-    if len(_powers[kind]) < n:
-        table = np.full(max(n, 4096), _BASE if kind == "up" else _INVERSE, np.uint64)
+def _power(base: int, sign: int, n: int) -> np.ndarray:
+    """Powers 0 to n-1 of a base (sign 1) or of its inverse (sign -1) modulo 2**64."""
+    if len(_powers.get((base, sign), ())) < n:
+        table = np.full(max(n, 4096), np.uint64(pow(_BASES[base], sign, 1 << 64)), np.uint64)
         table[0] = 1
-        _powers[kind] = np.cumprod(table, dtype=np.uint64)
-    return _powers[kind][:n]
+        _powers[base, sign] = np.cumprod(table, dtype=np.uint64)
+    return _powers[base, sign][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,11 +35,14 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hash of each run of ``n`` consecutive words: a polynomial modulo 2**64, mixed."""
+def run_hashes(hashes: np.ndarray, n: int, base: int = 0) -> np.ndarray:
+    """64-bit hash of each run of ``n`` consecutive words: a polynomial modulo 2**64, mixed.
+
+    Bases 0 and 1 give independent hashes.
+    """
     k = len(hashes) - n + 1
     if k <= 0:
         return np.zeros(0, np.uint64)
     sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * _power("down", len(hashes)), out=sums[1:])
-    return mixed((sums[n:] - sums[:-n]) * _power("up", k))
+    np.cumsum(hashes * _power(base, -1, len(hashes)), out=sums[1:])
+    return mixed((sums[n:] - sums[:-n]) * _power(base, 1, k))
