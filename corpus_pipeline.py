@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return
 the columns of documents. Null texts are rejected by the first stage, as they have no letter. Other
-columns are carried along. An empty table gives no rows at every stage.
+columns are carried along, under any names. An empty table gives no rows at every stage. Very long
+texts are worked on whole. Rows with a null doc_id pass the first three stages as they are, as texts of
+their own; the mix takes them like others, and their pieces have a null doc_id.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbung.llm import op4_jaccard, op6_langid, op7_mixing, op9_packing, op10_substrings
-from lumbung.llm.common import cut, documents, new_folder
+from lumbung.llm.common import cut, documents, new_folder, small_batches
 
 #: A text with at least MIN_BYTES bytes of words in learned letters that even the best language codes in
 #: more bits a byte is noise.
@@ -27,6 +29,7 @@ _CORE = ("doc_id", "text", "lang", "source", "n_chars")
 
 def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
     """Docs with columns beyond those of documents under names that no operator uses, and the way back."""
+    small_batches(docs.sparkSession)
     names = {c: c if c in _CORE else f"_extra_{i}" for i, c in enumerate(docs.columns)}
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
 
@@ -35,7 +38,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID. Documents without a language go: no letters, or noise to every language's model.
 
     Only words in letters that were learned can be noise; other scripts stay, and all text with letters
-    where nothing was learned.
+    where nothing was learned. Each row is judged by its text alone, so repeated rows fare alike; null
+    and empty texts go.
     """
     docs, back = _apart(docs)
     found = op6_langid.identify(docs, docs.columns)
@@ -44,7 +48,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join, five words and 0.8. The least doc_id of each group of linked documents stays."""
+    """N-gram Jaccard join, five words and 0.8. The least doc_id of each group of linked documents stays.
+
+    Of repeated rows (one doc_id, one text) one stays; texts without words link with nothing and stay.
+    """
     docs, back = _apart(docs)
     found = cut(op4_jaccard.near_duplicates(docs, op4_jaccard.Rule(5, 80, 100)))
     dropped = found.filter("component_id != doc_id").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
@@ -58,7 +65,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Substring dedup. Repeated passages go out of the texts; a document of which nothing is left goes."""
+    """Substring dedup. Repeated passages go out of the texts; a document of which nothing is left goes.
+
+    Two texts of one doc_id never take from each other. Null and wordless texts stay as they are.
+    """
     docs, back = _apart(docs)
     found = op10_substrings.remove_repeats(docs, docs.columns)
     found = found.filter("kept_text is null or kept_text != ''").withColumn("text", F.coalesce("kept_text", "text"))
@@ -68,16 +78,24 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing sources to target weights. A document comes once for each copy that the mix takes of it."""
+    """Mixing sources to target weights. A document comes once for each copy that the mix takes of it.
+
+    Ties of size go by doc_id and a hash of the text; repeated rows are documents of their own; texts
+    without words may be taken or left, as the sampling has it; sources without words give none.
+    """
     docs, back = _apart(docs)
     found = op7_mixing.mix(docs, docs.columns).filter("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return found.select(*back)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing into sequences of at most 4096 tokens; a row for each piece."""
+    """Best-fit packing into sequences of at most 4096 tokens; a row for each piece.
+
+    Null and empty texts are the end id alone; each copy of a row is packed.
+    """
     import public_tokenizers
 
+    small_batches(spark)
     return op9_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo=MEMO)
 
 
