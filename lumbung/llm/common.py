@@ -56,6 +56,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settle(spark: SparkSession) -> None:
+    """Between stages of a long job: executors collect garbage, so that their heaps shrink to what is in
+    use before the Python workers of the next stage need memory beside them. A job of a few empty tasks."""
+    release(spark)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).filter(F.expr("java_method('java.lang.System', 'gc') = 'never'")).count()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_ROWS rows, unless the session has its own setting.
 
