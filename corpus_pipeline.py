@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbung.llm import op4_jaccard, op6_langid, op7_mixing, op9_packing, op10_substrings
-from lumbung.llm.common import cut, documents, new_folder, small_batches
+from lumbung.llm.common import cut, documents, new_folder, settle, small_batches
 
 #: A text with at least MIN_BYTES bytes of words in learned letters that even the best language codes in
 #: more bits a byte is noise.
@@ -21,7 +21,7 @@ MOST_BITS, MIN_BYTES = 6.5, 64
 #: Dropped documents up to which their ids are broadcast (about 40 bytes each).
 MOST_DROPPED = 500_000
 #: Pieces whose ids a worker keeps: few, since workers hold them while other stages run.
-MEMO = 200_000
+MEMO = 100_000
 
 
 _CORE = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,6 +30,7 @@ _CORE = ("doc_id", "text", "lang", "source", "n_chars")
 def _apart(docs: DataFrame) -> tuple[DataFrame, list]:
     """Docs with columns beyond those of documents under names that no operator uses, and the way back."""
     small_batches(docs.sparkSession)
+    settle(docs.sparkSession)
     names = {c: c if c in _CORE else f"_extra_{i}" for i, c in enumerate(docs.columns)}
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
 
@@ -96,6 +97,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     small_batches(spark)
+    settle(spark)
     return op9_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memo=MEMO)
 
 
