@@ -40,7 +40,10 @@ INTRO_HINTS = ["kata pengantar", "puji syukur", "ucapan terima kasih", "apresias
 CONCRETE_HINTS = ["syarat", "kriteria", "sasaran", "desil", "dtks", "dtsen"]
 # Patterns that an amount label needs, and those of a policy signal.
 MONEY_PATTERNS = [r"\brp\.?\s*\d", r"\brupiah\b", r"\brab\b", "rencana anggaran", "harga satuan", "jumlah biaya", "besaran bantuan", "nominal bantuan", "nilai bantuan"]
-POLICY_PATTERNS = [r"\brp\.?\s*\d", *(rf"\b{w}\b" for w in ("desil", "dtks", "dtsen", "syarat", "kriteria", "sasaran", "verifikasi", "validasi", "pencairan", "penyaluran", "rekening", "sp2d", "spm", "rab", "ktp", "kk"))]
+POLICY_PATTERNS = [
+    r"\brp\.?\s*\d", r"\bdesil\b", r"\bdtks\b", r"\bdtsen\b", r"\bsyarat\b", r"\bkriteria\b", r"\bsasaran\b", r"\bverifikasi\b", r"\bvalidasi\b",
+    r"\bpencairan\b", r"\bpenyaluran\b", r"\brekening\b", r"\bsp2d\b", r"\bspm\b", r"\brab\b", r"\bktp\b", r"\bkk\b",
+]
 
 # Abbreviations and what they stand for.
 ABBREVIATIONS = {
@@ -117,3 +120,19 @@ FORBIDDEN_SECTIONS = ["rekomendasi bantuan tambahan", "rekomendasi tambahan", "b
 ELDERLY_PROGRAM, ELDERLY_SOURCE = "PKH Plus (Lanjut Usia 70+)", "JUKNIS PKH PLUS 2026.pdf"
 DISABILITY_PROGRAM, DISABILITY_SOURCE = "Asistensi Sosial Penyandang Disabilitas (ASPD)", "Juklak ASPD Tahun 202620260225_12303533_01.pdf"
 PROGRAM_NAMES = [ELDERLY_PROGRAM, DISABILITY_PROGRAM]
+
+# What opens a line of a regulation; {names} stands for the ordinals of a decree.
+CHAPTER_LINE = r"(?i)^BAB\s+([IVXLCDM]+)(?:(?:\s*[–\-—]\s*|\s+)(.+))?$"
+PART_LINE = r"(?i)^Bagian\s+(\w+)"
+ARTICLE_LINE = r"(?i)^Pasal\s+(\d+)\.?\s*$"
+DECREE_LINE = r"(?i)^(?:DIKTUM|Pasal)?\s*({names})\s*:?\s*(.*)$"
+CLAUSE_LINE = r"^(?:\((\d+)\)|(\d+)\.)\s*(.*)"
+LETTER_LINE = r"(?i)^([a-z])\.\s*(.*)"
+
+# What stands between the ends of a range of deciles.
+DECILE_TO = r"(?:-|s/d|sd|sampai(?:\s+dengan)?)"
+
+# A heading with a status, a plain heading, and a decision in the text below one.
+STATUS_HEADING = r"(?im)^#{2,4}\s*(.+?)\s*(?:â€”|—|–|-|:)\s*STATUS\s*:\s*(TIDAK\s+ELIGIBLE|NON[-\s]+ELIGIBLE|MUNGKIN\s+ELIGIBLE|ELIGIBLE)\b.*$"
+PLAIN_HEADING = r"(?im)^##(?!#)\s*(.+?)\s*$"
+DECISION = r"\b(?:status|keputusan)\s*:?\s*\**\s*(tidak\s+eligible|non[-\s]+eligible|mungkin\s+eligible|eligible)\b"

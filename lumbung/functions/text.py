@@ -232,9 +232,8 @@ def line_class(line: Column, ordinals: list[str] = fixed.ORDINALS) -> Column:
     """H3: struct (level, label, rest) of a line, the first pattern that matches."""
     t = strip(line)
     names = "|".join(sorted(ordinals, key=len, reverse=True))
-    chapter = r"(?i)^BAB\s+([IVXLCDM]+)(?:(?:\s*[–\-—]\s*|\s+)(.+))?$"
-    decree = rf"(?i)^(?:DIKTUM|Pasal)?\s*({names})\s*:?\s*(.*)$"
-    clause, letter = r"^(?:\((\d+)\)|(\d+)\.)\s*(.*)", r"(?i)^([a-z])\.\s*(.*)"
+    chapter, part, article, clause, letter = fixed.CHAPTER_LINE, fixed.PART_LINE, fixed.ARTICLE_LINE, fixed.CLAUSE_LINE, fixed.LETTER_LINE
+    decree = fixed.DECREE_LINE.replace("{names}", names)
 
     def row(level: str, label: Column, rest: Column) -> Column:
         return F.struct(F.lit(level).alias("level"), label.alias("label"), strip(rest).alias("rest"))
@@ -243,8 +242,8 @@ def line_class(line: Column, ordinals: list[str] = fixed.ORDINALS) -> Column:
     none = F.lit("")
     return (
         F.when(t.rlike(chapter), row("bab", F.concat(F.lit("BAB "), x(t, chapter, 1)), x(t, chapter, 2)))
-        .when(t.rlike(r"(?i)^Bagian\s+\w+"), row("bagian", F.concat(F.lit("Bagian "), x(t, r"(?i)^Bagian\s+(\w+)", 1)), none))
-        .when(t.rlike(r"(?i)^Pasal\s+\d+\.?\s*$"), row("pasal", F.concat(F.lit("Pasal "), x(t, r"(?i)^Pasal\s+(\d+)", 1)), none))
+        .when(t.rlike(part), row("bagian", F.concat(F.lit("Bagian "), x(t, part, 1)), none))
+        .when(t.rlike(article), row("pasal", F.concat(F.lit("Pasal "), x(t, article, 1)), none))
         .when(t.rlike(decree), row("diktum", F.concat(F.lit("Diktum "), F.upper(x(t, decree, 1))), F.regexp_replace(x(t, decree, 2), "^[: ]+", "")))
         .when(t.rlike(clause), row("ayat", F.coalesce(F.nullif(x(t, clause, 1), F.lit("")), x(t, clause, 2)), x(t, clause, 3)))
         .when(t.rlike(letter), row("huruf", x(t, letter, 1), x(t, letter, 2)))

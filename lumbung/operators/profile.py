@@ -29,7 +29,7 @@ def quality_stats(chunks: DataFrame, by: str) -> DataFrame:
     return chunks.groupBy(by).agg(
         F.count("*").alias("rows"), F.sum(n).alias("total_length"), F.avg(n).alias("mean_length"), F.median(n).alias("median_length"), F.min(n).alias("min_length"), F.max(n).alias("max_length"),
         F.count_if(n == 0).alias("empty"), F.count_if(n < SHORT).alias("short"), F.count_if((n >= SHORT) & (n <= MEDIUM)).alias("medium"), F.count_if(n > MEDIUM).alias("long"),
-        (F.count("*") - F.count_distinct(text)).alias("duplicates"),
+        (F.count("*") - F.count_distinct(F.md5(text))).alias("duplicates"),
     )
 
 

@@ -52,9 +52,16 @@ def chat_parts(turns: DataFrame) -> DataFrame:
 
 
 def signals(profile: Column) -> Column:
-    """Struct (age, decile, status, place, disability) from a profile of JSON or of text lines."""
-    t = unwrap(profile)
-    v = F.try_parse_json(t)
+    """Struct (age, decile, status, place, disability) from a profile of JSON or of text lines.
+
+    The lambdas bind the unwrapped text and its JSON, so that both are made once for each row, however
+    many fields of the struct are used.
+    """
+    parsed = F.transform(F.array(unwrap(profile)), lambda t: F.struct(t.alias("t"), F.try_parse_json(t).alias("v")))
+    return F.transform(parsed, lambda x: _signals(x["t"], x["v"]))[0]
+
+
+def _signals(t: Column, v: Column) -> Column:
     is_json = F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT<")), F.lit(False))
 
     def number(*patterns: str) -> Column:

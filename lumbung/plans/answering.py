@@ -259,6 +259,43 @@ def e6(spark, d):
     return _answers(spark, d).select("case_id", (sum((n.cast("int") for n in needs), F.lit(0)) / len(needs)).alias("score"))
 
 
+#: For each program a form of section by a digit of doc_id: a heading that its body contradicts, a plain
+#: heading with a decision, one with a phrase, none, and a mention without a heading.
+_FORMS = ["### Rank 1: {} — STATUS: ELIGIBLE\nCatatan: tidak memenuhi syarat.\n", "## {}\n**Keputusan: Mungkin Eligible**, tidak sesuai\n", "## Program {}\nPemohon tidak memenuhi syarat.\n", "", "Program {} perlu verifikasi lapangan.\n"]
+
+
+def _headed(spark, d):
+    space = F.concat(F.lit("\n## Lain\n"), F.repeat(F.lit("kata "), F.lit(120)), F.lit("\n"))
+    forms = [F.array(*[F.lit(f.format(name)) for f in _FORMS]) for name in ("ASPD", "PKH Plus")]
+    text = F.concat(F.get(forms[0], (F.col("doc_id") % 5).cast("int")), space, F.get(forms[1], (F.floor(F.col("doc_id") / 5) % 5).cast("int")), space)
+    return chunks(spark, d).select(F.col("doc_id").alias("case_id"), text.alias("answer"))
+
+
+@query(
+    "e4_program_statuses",
+    "WITH p AS (SELECT doc_id, unnest([{'n': 'ASPD', 'f': doc_id % 5}, {'n': 'PKH Plus', 'f': doc_id // 5 % 5}]) AS x FROM documents)"
+    " SELECT doc_id AS case_id, x.n AS program, ['eligible', 'mungkin_eligible', 'tidak_eligible', 'missing', 'mungkin_eligible'][x.f + 1] AS status, x.f < 3 AS has_section FROM p",
+)
+def e4_all(spark, d):
+    return A.program_statuses(_headed(spark, d)).filter(F.col("program").isin("ASPD", "PKH Plus")).select("case_id", "program", "status", F.col("section").isNotNull().alias("has_section"))
+
+
+@query(
+    "e6_evidence_by_needs",
+    "WITH n AS (SELECT doc_id, unnest([{'s': source, 'p': doc_id % 20}, {'s': 'src1', 'p': 16}, {'s': 'SRC  2', 'p': 13}]) AS x, source FROM documents WHERE doc_id % 4 > 0),"
+    " m AS (SELECT doc_id, avg((contains('sumber ' || source || ' hal.', lower(x.s)) AND x.p IN (13, 15, 16, 17))::INT) AS share FROM n GROUP BY doc_id)"
+    " SELECT d.doc_id AS case_id, coalesce(share, 1.0)::DOUBLE AS score FROM documents d LEFT JOIN m USING (doc_id)",
+)
+def e6_needs(spark, d):
+    answers = _answers(spark, d)
+    def need(s, p):
+        return F.struct(s.alias("source_contains"), p.cast("int").alias("page_number"))
+
+    needs = F.array(need(F.col("source"), F.col("case_id") % 20), need(F.lit("src1"), F.lit(16)), need(F.lit("SRC  2"), F.lit(13)))
+    needs = answers.filter("case_id % 4 > 0").select("case_id", F.explode(needs).alias("x")).select("case_id", "x.*")
+    return A.evidence_score(answers, needs)
+
+
 @query("e7_contract_score", _A + " SELECT case_id, round((2 + 1 + (k <> 2)::INT) / 5.0::DOUBLE, 6) AS contract_score FROM a")
 def e7(spark, d):
     a = _answers(spark, d)

@@ -56,7 +56,7 @@ def a2(spark, d):
 
 @query("a3_duplicate_count", "SELECT count(*) - count(DISTINCT text) AS duplicates FROM documents")
 def a3(spark, d):
-    return chunks(spark, d).agg((F.count("*") - F.count_distinct("text")).alias("duplicates"))
+    return chunks(spark, d).agg((F.count("*") - F.count_distinct(F.md5("text"))).alias("duplicates"))
 
 
 @query("a4_missing_metadata", TAGGED + " SELECT source, count_if(lang <> 'de' AND (title IS NULL OR title = '')) AS missing_title, count_if(lang <> 'de' AND page IS NULL) AS missing_page FROM t GROUP BY source")
