@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -102,26 +103,36 @@ def keyword_score(text: Column, strong: list[str], weak: list[str], whole: list[
     return 2 * _hits(lower, strong, whole) + _hits(lower, weak, whole)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once for each row, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def classify(text: Column, types: dict = fixed.CONTENT_TYPES, whole: list[str] = fixed.WHOLE_WORDS, guards: bool = True) -> Column:
     """The types of a text in order of priority, or the one that says none.
 
     A type needs two points, and two weak keywords if it has no strong one. The guards: a preface needs
     concrete hints to be about criteria; an amount label needs money; a form needs three weak words.
     """
-    lower = F.lower(text)
-    found = []
-    for name, (strong, weak) in types.items():
-        s, w = _hits(lower, strong, whole), _hits(lower, weak, whole)
-        ok = (2 * s + w >= 2) & ((s > 0) | (w >= 2))
-        if guards and name == "kriteria_penerima":
-            ok &= ~contains_any(lower, fixed.INTRO_HINTS) | (s > 0) | contains_any(lower, fixed.CONCRETE_HINTS)
-        elif guards and name == "nominal_bantuan":
-            ok &= matches_any(text, fixed.MONEY_PATTERNS)
-        elif guards and name == "lampiran_formulir":
-            ok &= (s > 0) | (w >= 3)
-        found.append(F.when(ok, F.lit(name)))
-    labels = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit(fixed.NO_TYPE)))
+    def labels(low: Column, hits: Column) -> Column:
+        found = []
+        for i, name in enumerate(types):
+            s, w = hits[2 * i], hits[2 * i + 1]
+            ok = (2 * s + w >= 2) & ((s > 0) | (w >= 2))
+            if guards and name == "kriteria_penerima":
+                ok &= (s > 0) | ~contains_any(low, fixed.INTRO_HINTS) | contains_any(low, fixed.CONCRETE_HINTS)
+            elif guards and name == "nominal_bantuan":
+                ok &= matches_any(text, fixed.MONEY_PATTERNS)
+            elif guards and name == "lampiran_formulir":
+                ok &= (s > 0) | (w >= 3)
+            found.append(F.when(ok, F.lit(name)))
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    def hits(low: Column) -> Column:
+        return F.array(*[_hits(low, words, whole) for pair in types.values() for words in pair])
+
+    found = bound(F.lower(text), lambda low: bound(hits(low), lambda h: labels(low, h)))
+    return bound(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(fixed.NO_TYPE))))
 
 
 def classify_plain(text: Column, types: dict = fixed.CONTENT_TYPES) -> Column:

@@ -305,10 +305,14 @@ def t20(spark, d):
 
 def clean(df, types=TYPES, policy=POLICY, size: int = 2000, overlap: int = 500):
     """Rows (doc_id, text, source, page, title) to clean chunks, in the pipeline's order."""
-    raw = df.filter(~X.is_error_row(F.col("text"), F.col("title"))).withColumn("text", X.strip_fences(F.col("text"))).withColumn("title", X.clean_title(F.col("title")))
+    # explode_outer() over one struct: what is below is computed once, and no filter is pushed through it.
+    tidy = F.explode_outer(F.array(F.struct(X.strip_fences(F.col("text")).alias("text"), X.clean_title(F.col("title")).alias("title"))))
+    raw = df.filter(~X.is_error_row(F.col("text"), F.col("title"))).select(*[c for c in df.columns if c not in ("text", "title")], tidy.alias("_tidy")).select("*", "_tidy.*").drop("_tidy")
     raw = raw.filter(F.length(X.strip(F.col("text"))) >= 20)
-    parts = F.when(F.length("text") > size, C.recursive_split(F.col("text"), size, overlap)).otherwise(F.array("text"))
-    subs = raw.withColumn("_parts", parts).withColumn("_parts", C.merge_small(F.col("_parts"))).select("*", F.posexplode("_parts").alias("idx", "sub")).drop("_parts", "text")
+    long = F.when(F.length("text") > size, F.col("text"))  # only long texts go to Python
+    raw = raw.withColumn("_long", C.recursive_split(long, size, overlap))
+    parts = F.when(F.length("text") > size, F.col("_long")).otherwise(F.array("text"))
+    subs = raw.select("*", F.posexplode_outer(C.merge_small(parts)).alias("idx", "sub")).drop("_long", "text").filter("sub is not null")
     subs = subs.filter(~X.skip_subchunk(F.col("sub"), policy)).withColumn("text", X.context_prefix(F.col("sub"), F.col("source"), F.col("page"), F.col("title")))
     first = F.row_number().over(Window.partitionBy(X.content_hash(F.col("text"))).orderBy("doc_id", "idx"))
     kept = subs.withColumn("_r", first).filter("_r = 1").drop("_r").withColumn("types", X.classify(F.col("sub"), types, []))
