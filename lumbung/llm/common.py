@@ -117,6 +117,7 @@ class KeyRanges:
             return F.coalesce(F.when(key.isNotNull(), part), F.lit(0)).cast("int")
         widths = F.lit([max(1, -(-(b - a) // self.inner)) for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True)])
         within = F.floor((key.cast("decimal(38,0)") - F.get(bounds, part)) / F.get(widths, part))
+        within = F.least(within, F.lit(self.inner - 1))  # the quotient is rounded
         return F.coalesce(part * self.inner + within, F.lit(0)).cast("int")
 
 
