@@ -123,9 +123,21 @@ def upsert(target: DataFrame, updates: DataFrame, key: str, order: str) -> DataF
     return both.withColumn("_r", last).filter("_r = 1").drop("_r", "_turn")
 
 
-def numbered(chunks: DataFrame, order: str, priority: str = "priority") -> DataFrame:
-    """V2: rows that are not of low priority, numbered from 0."""
-    return chunks.filter(F.col(priority) != "low").withColumn("id", F.row_number().over(Window.orderBy(order)) - 1)
+def numbered(chunks: DataFrame, order: str, priority: str = "priority", parts: int = 256) -> DataFrame:
+    """V2: rows that are not of low priority, numbered from 0 by ``order``, a number.
+
+    No task sorts the whole table: quantiles of ``order`` (one action) cut it into ranges, rows are
+    numbered within theirs, and the rows of the ranges before are added. Null orders come first.
+    """
+    kept = chunks.filter(F.col(priority) != "low")
+    cuts = kept.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 32 * parts)).first()[0] if parts > 1 else None
+    cuts = sorted(set(cuts or []))
+    part = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    placed = kept.withColumn("_part", F.when(F.col(order).isNull(), 0).otherwise(part))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = sizes.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    within = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    return within.join(F.broadcast(before), "_part").withColumn("id", F.col("_before") + F.col("_at") - 1).drop("_part", "_at", "_before")
 
 
 def ingest_gate(chunks: DataFrame, required: list[str]) -> DataFrame:
