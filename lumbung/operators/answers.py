@@ -403,17 +403,39 @@ def line_classes(ordinals: list[str] = fixed.ORDINALS):
 
 
 def hierarchy(lines: DataFrame) -> DataFrame:
-    """H4: units of documents from lines (document, page, line_no, line). One document is one group, read
-    in order by one task: its state feeds back through the text held."""
+    """H4: units of documents from lines (document, page, line_no, line, and part where lines were cut).
+
+    One document is one group, read in order by one task: its state feeds back through the text held.
+    """
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["page", "line_no"])
+        group = group.sort_values([c for c in ("page", "line_no", "part") if c in group])
         units = parse_document(zip(group["page"], group["line"], strict=True), line_classes())
         return pd.DataFrame([(key[0], i + 1, *u) for i, u in enumerate(units)], columns=["document", "row", "text", "chapter", "article", "clause", "page"])
 
     return lines.groupBy("document").applyInPandas(run, _HIERARCHY)
 
 
+def document_units(lines: DataFrame, ordinals: list[str] = fixed.ORDINALS) -> DataFrame:
+    """H2, H4, H9, H5, T2, T1 and H6 in this order: the rows of whole documents, as they are stored.
+
+    ``lines`` has document, page, line_no and line. Lines are cut before embedded ordinals, units are
+    parsed, chapters get their capitals, texts are flushed, and those of fewer than three characters go.
+    Rows are numbered from 1 in each document; ``content`` is the text with abbreviations written out
+    behind ``[document | context]``. Null lines count as empty; an empty table gives no rows.
+    """
+    names = "|".join(sorted(ordinals, key=len, reverse=True))
+    cut = embedded_ordinals(F.coalesce("line", F.lit("")), ordinals)
+    # A part cut off starts with its bare ordinal; the line's own start stays as it is.
+    marked = F.transform(cut, lambda x, i: F.when(i > 0, F.regexp_replace(x, rf"(?i)^(?:DIKTUM|Pasal)?\s*({names})\s*:\s*", "$1 : ")).otherwise(x))
+    units = hierarchy(lines.select("document", "page", "line_no", F.posexplode(marked).alias("part", "line")))
+    units = units.withColumn("text", flushed(F.col("text"))).withColumn("chapter", chapter_title(F.col("chapter"))).filter(F.length("text") >= 3)
+    units = units.withColumn("row", F.row_number().over(Window.partitionBy("document").orderBy("row")))
+    path = X.context_path(F.col("chapter"), F.col("article"), F.col("clause"))
+    prefix = F.concat(F.lit("["), "document", F.lit(" | "), path, F.lit("] "))
+    return units.withColumn("content", F.concat(prefix, X.collapse(X.expand_abbreviations(F.col("text")))))
+
+
 def expected_statuses(cases: DataFrame) -> DataFrame:
     """(case_id, program, status) from a map of status to programs; a later status overrides."""
     order = F.array(*map(F.lit, ("eligible", "mungkin_eligible", "tidak_eligible")))

@@ -193,6 +193,25 @@ def h4b(spark, d):
     return A.hierarchy(_legal(spark, d))
 
 
+@query("h4_document_units", """WITH d AS (SELECT doc_id, doc_id % 3 AS k, coalesce(source, '-') AS s, 'BAB II – Hak dan ' || upper(substr(coalesce(lang, 'umum'), 1, 1)) || lower(substr(coalesce(lang, 'umum'), 2)) AS chapter FROM documents), u AS (
+SELECT *, 1 AS row, 1 AS page, '1' AS article, '' AS clause, s || ' wajib.' AS text FROM d
+UNION ALL SELECT *, 2, 1, '1', '2', 'Keluarga Penerima Manfaat (KPM) isi dua.' FROM d
+UNION ALL SELECT *, 3, 2, 'KESATU', '', 'mulai.' FROM d
+UNION ALL SELECT *, 4, 2, 'KEDUA', '', 'isi ' || s || '.' || CASE WHEN k = 2 THEN ' (1) tetap akhir kata' ELSE '' END FROM d
+UNION ALL SELECT *, 5, 2, '9', '', 'akhir kata' FROM d WHERE k = 1)
+SELECT doc_id::VARCHAR AS document, row, page::BIGINT AS page, chapter, article, clause, '[' || doc_id || ' | Bab ' || chapter || ' | Pasal/Diktum ' || article || CASE WHEN clause <> '' THEN ' | Ayat ' || clause ELSE '' END || '] ' || text AS content FROM u""")
+def h4c(spark, d):
+    k, source, lang = F.col("doc_id") % 3, F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("umum"))
+    last = F.when(k == 0, "Ditetapkan di Surabaya").when(k == 1, "Pasal 9").otherwise("(1) tetap")
+    lines = [
+        (1, F.lit("BAB II")), (1, F.concat(F.lit("HAK DAN "), F.upper(lang))), (1, F.lit("Pasal 1")), (1, F.concat(source, F.lit("  wajib."))), (1, F.lit("(2) KPM isi . . . dua.")),
+        (2, F.concat(F.lit("Pasal KESATU : mulai. Diktum KEDUA: isi "), source, F.lit("."))), (2, last), (2, F.lit("akhir kata")),
+    ]
+    each = F.array(*[F.struct(F.lit(p).cast("long").alias("page"), F.lit(i).alias("line_no"), x.alias("line")) for i, (p, x) in enumerate(lines)])
+    rows = chunks(spark, d).select(F.col("doc_id").cast("string").alias("document"), F.inline(each))
+    return A.document_units(rows).select("document", "row", "page", "chapter", "article", "clause", "content")
+
+
 @query("h5_flush", "SELECT doc_id, source || ' isi' AS text FROM documents")
 def h5(spark, d):
     return chunks(spark, d).select("doc_id", A.flushed(F.concat("source", F.lit(" . . . isi.  Ditetapkan di Surabaya tanggal"))).alias("text"))

@@ -142,6 +142,35 @@ def test_lines_and_hierarchy(spark):
     assert values(spark, X.category, "Transaksi", "SOP x", "Laporan", "UU") == ["Pedoman Program (Rencana Kerja & Aksi)", "Juknis (Petunjuk Teknis & SOP)", "Data dan Laporan Analisis", "Regulasi (Aturan Hukum & Payung Kebijakan)"]
 
 
+def test_document_units(spark):
+    pages = {
+        1: ["PERATURAN", "Menimbang : bahwa", "BAB II", "HAK DAN", "KEWAJIBAN", "Pasal 1", "KPM wajib.", "(2) Isi  ayat . . . dua.", "ab"],
+        2: ["Pasal 2", "x", "Pasal KESATU : mulai. KEDUA: lanjut. Pasal KETIGA : akhir", "(1) tetap di sini. memerintahkan pengundangan ini", None, "Ditetapkan di Surabaya", "Pasal 9", "lain"],
+    }
+    rows = [("D", p, n, x) for p, xs in pages.items() for n, x in enumerate(xs)] + [("E", 1, 0, "tanpa pasal")]
+    df = spark.createDataFrame(rows, "document string, page int, line_no int, line string")
+    found = [(r.row, r.page, r.chapter, r.article, r.clause, r.content) for r in A.document_units(df).orderBy("row").collect()]
+    title = "BAB II – Hak dan Kewajiban"
+    assert found == [
+        (1, 1, title, "1", "", f"[D | Bab {title} | Pasal/Diktum 1] Keluarga Penerima Manfaat (KPM) wajib."),
+        (2, 1, title, "1", "2", f"[D | Bab {title} | Pasal/Diktum 1 | Ayat 2] Isi ayat dua. ab"),
+        (3, 2, title, "KESATU", "", f"[D | Bab {title} | Pasal/Diktum KESATU] mulai."),
+        (4, 2, title, "KEDUA", "", f"[D | Bab {title} | Pasal/Diktum KEDUA] lanjut."),
+        (5, 2, title, "KETIGA", "", f"[D | Bab {title} | Pasal/Diktum KETIGA] akhir (1) tetap di sini"),
+    ]
+    assert A.document_units(df.filter("false")).count() == 0
+
+
+def test_numbered(spark):
+    ids = [None, -5, 10**15, *range(0, 900, 3)]
+    df = spark.createDataFrame([(i, "low" if i and i % 2 else "normal") for i in ids], "k long, priority string")
+    kept = sorted((i for i in ids if not i or i % 2 == 0), key=lambda i: (i is not None, i))
+    for parts in (1, 7, 256):
+        assert [r.k for r in J.numbered(df, "k", parts=parts).orderBy("id").collect()] == kept
+    assert [r.id for r in J.numbered(df, "k").orderBy("id").collect()] == list(range(len(kept)))
+    assert J.numbered(df.filter("false"), "k").count() == 0
+
+
 def test_answers(spark):
     answer = "## ASPD — STATUS: ELIGIBLE\na\n## PKH Plus: STATUS: NON-ELIGIBLE\nb\n## aspd - STATUS: ELIGIBLE\nc\n## Bantuan Lain\nd"
     assert [(t, s) for t, s, _ in A.sections_of(answer)] == [("ASPD", "eligible"), ("PKH Plus", "non-eligible"), ("aspd", "eligible")]
