@@ -19,6 +19,9 @@ MODULES = {
     "op8_rendezvous_shards": "op8_sharding",
     "op10_substring_dedup": "op10_substrings",
     "op9_bestfit_packing": "op9_packing",
+    "op11_maxscore_search": "op11_maxscore",
+    "op12_quality_rules": "op12_quality",
+    "op13_periodic_runs": "op13_periodic",
 }
 
 

@@ -31,6 +31,12 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def numbered(words: list[bytes]) -> np.ndarray:
+    """A number for each word, from 0 in order of first occurrence: equal words have equal numbers."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
