@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-#: Query vectors of a block of :func:`checked_queries`; top_k itself does not deal out.
-MOST_QUERIES = 10_000
+from .nearest import nearest
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -16,45 +14,9 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def scored(points: DataFrame, queries: DataFrame, threshold: float | None = 0.8, where: Column | None = None, vector: str = "embedding") -> DataFrame:
-    """Every point that passes the filter with its ``score`` for every query.
-
-    The filter stands below the join, on the points. Scores at the threshold stay. The whole set of
-    queries is broadcast to the points, which are never shuffled here. Nothing bounds that broadcast:
-    the caller keeps the set small, or meets the points with one block of :func:`checked_queries` after
-    another.
-    """
-    rows = points if where is None else points.filter(where)
-    met = rows.crossJoin(F.broadcast(queries)).withColumn("score", cosine(F.col(vector), F.col("query_vector"))).drop("query_vector")
-    return met if threshold is None else met.filter(F.col("score") >= threshold)
-
-
 def top_k(points: DataFrame, queries: DataFrame, k: int, threshold: float | None = 0.8, where: Column | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k points nearest to each query (columns ``query_id``, ``query_vector``) by cosine.
-
-    The filter stands below the join, on the points. Scores at the threshold stay; ties go by key. The
-    whole set of queries is broadcast, without a bound (see :func:`scored`); points are read once and
-    never shuffled before each partition's best k are known (the limit of the window is applied before
-    its exchange).
-    """
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return scored(points, queries, threshold, where, vector).withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def best_of_source(hits: DataFrame, source: str, n: int, key: str) -> DataFrame:
-    """The n best hits of each source for each query, ``rank`` counted within the source."""
-    rank = F.row_number().over(Window.partitionBy("query_id", source).orderBy(F.desc("score"), key))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= n)
-
-
-def checked_queries(queries: DataFrame, most: int = MOST_QUERIES) -> list[DataFrame]:
-    """The query set in blocks of about ``most``, by hash, to run :func:`top_k` over one after another.
-
-    No query of the catalogue calls it: their query set, 2 % of the points, is broadcast whole.
-    """
-    n = queries.count()
-    blocks = max(1, -(-n // most))
-    return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)]
+    """The k points nearest to each query (columns ``query_id``, ``query_vector``) by cosine."""
+    return nearest(points, queries, k, threshold, where, key, vector)
 
 
 def program_filter(text: Column, first: str = "PKH Plus", second: str = "ASPD") -> Column:
@@ -65,10 +27,9 @@ def program_filter(text: Column, first: str = "PKH Plus", second: str = "ASPD")
     return F.when((a == 0) & (b == 0), F.lit(None)).when(a > b, first).otherwise(second)
 
 
-def best_of_type(hits: DataFrame, source: str, types: str, wanted: str, key: str) -> DataFrame:
-    """The best hit of each source among those of the wanted type."""
-    rank = F.row_number().over(Window.partitionBy("query_id", source).orderBy(F.desc("score"), key))
-    return hits.filter(F.array_contains(types, wanted)).withColumn("_r", rank).filter("_r = 1").drop("_r")
+def best_of_type(points: DataFrame, queries: DataFrame, source: str, types: str, wanted: str, threshold: float | None = 0.8, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The best point of each source among those of the wanted type, for each query."""
+    return nearest(points, queries, 1, threshold, F.array_contains(types, wanted), key, vector, group=source, each=True)
 
 
 def append_distinct(first: DataFrame, second: DataFrame, text: str, order: str) -> DataFrame:
@@ -119,10 +80,5 @@ def citations(hits: DataFrame, order: str, most: int = 3) -> DataFrame:
 
 
 def first_by(hits: DataFrame, keys: list[Column], order: str) -> DataFrame:
-    """The first hit of each key."""
+    """The first hit of each key."""
     return hits.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_r = 1").drop("_r")
-
-
-def programs(names: list[tuple[str, str]], spark) -> DataFrame:
-    """The programs in service, a row each."""
-    return spark.createDataFrame(names, "program string, source string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import nearest as N
 from ..operators import retrieval as R
 from ..operators import rules as G
 from .profiles import chunks
@@ -34,11 +35,7 @@ def _queries(spark, d):
 
 
 def _hits(spark, d, k=8, threshold=0.1, where=None):
-    return R.top_k(_points(spark, d), _queries(spark, d), k, threshold, where).drop("embedding")
-
-
-def _scored(spark, d, threshold=0.1, where=None):
-    return R.scored(_points(spark, d), _queries(spark, d), threshold, where).drop("embedding")
+    return R.top_k(_points(spark, d), _queries(spark, d), k, threshold, where)
 
 
 _P = """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e, 's' || label AS source, vec_id % 9 AS page, 't' || (vec_id % 50) AS text, list_filter([CASE WHEN vec_id % 3 = 0 THEN 'nominal_bantuan' END, CASE WHEN vec_id % 4 = 0 THEN 'lampiran_formulir' END], lambda x: x IS NOT NULL) AS types FROM embeddings),
@@ -50,9 +47,11 @@ def _r(df):
     return df.withColumn("score", F.round("score", 6))
 
 
-@query("r1_topk_cosine", _P + " SELECT query_id, vec_id, rank, round(score, 6) AS score FROM h")
+@query("r1_topk_cosine", _P + " SELECT query_id, vec_id, rank, round(score, 6) AS score FROM h WHERE query_id % 150 <> 0")
 def r1(spark, d):
-    return _r(_hits(spark, d)).select("query_id", "vec_id", "rank", "score")
+    """Every third query has a blank text, so no hits."""
+    asked = _queries(spark, d).withColumn("query_text", F.when(F.col("query_id") % 150 != 0, F.concat(F.lit("query "), "query_id")).when(F.col("query_id") % 300 == 0, " \t\n"))
+    return _r(R.top_k(_points(spark, d), asked, 8, 0.1)).select("query_id", "vec_id", "rank", "score")
 
 
 @query("r2_topk_source_filter", _P + " SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM m WHERE source IN ('s1', 's2') AND score >= 0.1 QUALIFY rank <= 8")
@@ -68,8 +67,7 @@ def r3(spark, d):
 
 @query("r4_nominal_guarantee", _P + " SELECT query_id, source, vec_id FROM m WHERE list_contains(types, 'nominal_bantuan') AND score >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, vec_id) = 1")
 def r4(spark, d):
-    hits = _scored(spark, d, where=F.array_contains("types", "nominal_bantuan"))
-    return R.best_of_type(hits, "source", "types", "nominal_bantuan", "vec_id").select("query_id", "source", "vec_id")
+    return R.best_of_type(_points(spark, d), _queries(spark, d), "source", "types", "nominal_bantuan", 0.1).select("query_id", "source", "vec_id")
 
 
 @query("r5_first_n_of_k", _P + " SELECT query_id, vec_id FROM h WHERE rank <= 3")
@@ -83,10 +81,22 @@ def r6(spark, d):
     return R.append_distinct(hits, hits.filter(F.array_contains("types", "nominal_bantuan")), "text", "rank").select("query_id", "vec_id", "place")
 
 
-@query("r7_multi_query_pool", _P + " SELECT query_id // 50 % 2 AS profile, text, vec_id FROM h QUALIFY row_number() OVER (PARTITION BY query_id // 50 % 2, text ORDER BY round(score, 9) DESC, vec_id) = 1")
+@query("r7_multi_query_pool", _P + """, a AS (SELECT query_id AS profile, CASE WHEN query_id % 150 = 0 THEN '  ' WHEN query_id % 150 = 50 THEN 'shared 1' ELSE 'own ' || query_id END AS own FROM q),
+t AS (SELECT profile, list_filter([own, 'shared 1', 'shared 2'], lambda x, i: trim(x) <> '' AND list_position([own, 'shared 1', 'shared 2'], x) = i) AS texts FROM a),
+u AS (SELECT profile, unnest(texts) AS query_text, generate_subscripts(texts, 1) - 1 AS turn FROM t),
+v AS (SELECT CASE vec_id WHEN 1 THEN 'shared 1' WHEN 2 THEN 'shared 2' ELSE 'own ' || vec_id END AS query_text, e AS q FROM p WHERE vec_id % 50 = 0 OR vec_id IN (1, 2)),
+n AS (SELECT query_text, vec_id, text, list_cosine_similarity(e, q) AS score FROM v, p QUALIFY row_number() OVER (PARTITION BY query_text ORDER BY score DESC, vec_id) <= 12),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_text ORDER BY score DESC, vec_id) AS rank FROM n)
+SELECT profile, text, vec_id, turn::INT AS turn, rank::INT AS rank FROM u JOIN k USING (query_text) QUALIFY row_number() OVER (PARTITION BY profile, text ORDER BY score DESC, turn, rank) = 1""")
 def r7(spark, d):
-    hits = _hits(spark, d).withColumn("profile", (F.col("query_id") / 50).cast("long") % 2).withColumn("score", F.round("score", 9))
-    return R.pool(hits, "profile", "text", "vec_id").select("profile", "text", "vec_id")
+    """Profiles ask up to three queries: their own (some blank, some like a shared one) and two shared."""
+    points = _points(spark, d)
+    i = F.col("query_id")
+    profiles = _queries(spark, d).select(i.alias("profile"), F.when(i % 150 == 0, "  ").when(i % 150 == 50, "shared 1").otherwise(F.concat(F.lit("own "), i)).alias("own"))
+    name = F.when(F.col("vec_id") == 1, "shared 1").when(F.col("vec_id") == 2, "shared 2").otherwise(F.concat(F.lit("own "), "vec_id"))
+    vectors = points.filter("vec_id % 50 = 0 or vec_id in (1, 2)").select(name.alias("query_text"), F.col("embedding").alias("query_vector"))
+    asked = N.profile_queries(profiles, F.col("own"), ["shared 1", "shared 2"])
+    return N.pooled(points, asked, vectors, 12, "text").select("profile", "text", "vec_id", "turn", "rank")
 
 
 @query("r8_rerank", _P + " SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY page DESC, vec_id) AS rank FROM (SELECT * EXCLUDE (rank) FROM h) QUALIFY rank <= 4")
@@ -121,9 +131,27 @@ def r13(spark, d):
     return R.first_by(_hits(spark, d), [F.col("source"), F.col("page"), F.substring("text", 1, 160)], "vec_id").select("source", "page", "text", "vec_id")
 
 
-@query("r14_per_program_retrieval", _P + " SELECT query_id, source, vec_id, rank FROM (SELECT query_id, source, vec_id, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, vec_id) AS rank FROM m) WHERE rank <= 2")
+@query("r14_per_program_retrieval", _P + """, w AS (SELECT *, list_position(['s7', 's1', 's4'], source) AS turn FROM p WHERE source IN ('s7', 's1', 's4')),
+o AS (SELECT query_id, vec_id, text, turn, row_number() OVER (PARTITION BY query_id, source ORDER BY list_cosine_similarity(e, q) DESC, vec_id) AS rank FROM w, q QUALIFY rank <= 5),
+g AS (SELECT w.vec_id, w.text, 4 AS turn, row_number() OVER (ORDER BY list_cosine_similarity(w.e, n.e) DESC, w.vec_id) AS rank FROM w, p n WHERE n.vec_id = 3 QUALIFY rank <= 5),
+b AS (SELECT * FROM o UNION ALL SELECT query_id, g.* FROM q, g),
+f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id, substr(text, 1, 100) ORDER BY turn, rank) = 1)
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY turn, rank)::INT AS place FROM f""")
 def r14(spark, d):
-    return R.best_of_source(_scored(spark, d, threshold=None), "source", 2, "vec_id").select("query_id", "source", "vec_id", "rank")
+    points = _points(spark, d)
+    general = points.filter("vec_id = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return N.by_program(points, _queries(spark, d), general, 5, ["s7", "s1", "s4"], "text").select("query_id", "vec_id", "place")
+
+
+@query("r3_filtered_by_program", _P + """, a AS (SELECT *, query_id // 50 AS n FROM q), b AS (SELECT *, CASE WHEN n % 4 = 0 THEN ['s2', 's5'] WHEN n % 3 = 0 AND n % 5 = 0 THEN NULL WHEN n % 3 > n % 5 THEN ['s1', 's2'] ELSE ['s3'] END AS allowed FROM a)
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(e, q) DESC, vec_id)::INT AS rank FROM b, p WHERE allowed IS NULL OR list_contains(allowed, source) QUALIFY rank <= 4""")
+def r3_filtered(spark, d):
+    """Every fourth query has a source list; for the others the scores in their text name a program, or none."""
+    n = F.floor(F.col("query_id") / 50)
+    text = F.concat(F.lit("- Umur : 70\n- Skor PKH Plus : "), n % 3, F.lit(" | Skor ASPD : "), n % 5)
+    sources = F.when(n % 4 == 0, F.array(F.lit("s2"), F.lit("s5")))
+    allowed = N.allowed_sources(sources, text, R.program_filter(text), {"PKH Plus": ["s1", "s2"], "ASPD": ["s3"]})
+    return N.nearest(_points(spark, d), _queries(spark, d).withColumn("allowed", allowed), 4, None, group="source").select("query_id", "vec_id", "rank")
 
 
 @query("r15_unfiltered_search", _P + " SELECT query_id, vec_id, rank FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM m) WHERE rank <= 3")
