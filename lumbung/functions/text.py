@@ -159,6 +159,16 @@ def priority(flags: Column) -> Column:
     return F.when(F.size(flags) > 0, "low").otherwise("normal")
 
 
+def whole_json(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else; null otherwise.
+
+    ``try_parse_json`` alone stops after the first value and takes ``{} }`` or ``{} x``. Only the end of
+    the text closes both a list and an object around it.
+    """
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull(), F.try_variant_get(held, "$.v", "variant"))
+
+
 def context_prefix(text: Column, label: Column, page: Column, title: Column, dull: list[str] = fixed.UNPREFIXED_TITLES) -> Column:
     """``[Sumber: label | Hal. page | title]`` and a line end, unless the text starts like that."""
     t = strip(F.coalesce(title, F.lit("")))

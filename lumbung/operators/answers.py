@@ -174,12 +174,12 @@ def json_block(raw: Column) -> Column:
     """The JSON of an answer: the whole without fences, else from the first to the last brace, else null."""
     body = X.strip(F.regexp_replace(strip_thinking(raw), r"```(?:json)?\s*|`+\s*\z", ""))
     block = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    return F.when(F.try_parse_json(body).isNotNull(), body).when(F.try_parse_json(block).isNotNull(), block)
+    return F.when(X.whole_json(body).isNotNull(), body).when(X.whole_json(block).isNotNull(), block)
 
 
 def chat_content(response: Column) -> Column:
     """The text of the first choice of a chat response, null if it has none."""
-    v = F.try_parse_json(response)
+    v = X.whole_json(response)
     here = F.schema_of_variant(F.try_variant_get(v, "$.choices[0].message.content", "variant")) == "STRING"
     return F.when(here, F.try_variant_get(v, "$.choices[0].message.content", "string"))
 

@@ -1,12 +1,9 @@
-"""Titles, prompts, templates, judge inputs, browsing, and the life of a point table."""
+"""Titles, prompts, templates, judge inputs and browsing."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import fixed
 from ..functions import text as X
@@ -70,7 +67,7 @@ def template_parts(text: Column) -> Column:
 
 def lifted(payload: Column, keys: list[str], inside: str = "laporan_evaluasi") -> Column:
     """Struct of JSON texts: each key at the root, else inside the named object."""
-    v = F.try_parse_json(payload)
+    v = X.whole_json(payload)
     return F.struct(*[F.coalesce(F.to_json(F.try_variant_get(v, f"$.{k}", "variant")), F.to_json(F.try_variant_get(v, f"$.{inside}.{k}", "variant"))).alias(k) for k in keys])
 
 
@@ -117,46 +114,3 @@ def page_of(chunks: DataFrame, page: int, file: str | None = None) -> DataFrame:
 def nth(chunks: DataFrame, order: str, n: int) -> DataFrame:
     """Browsing: the n-th chunk, counted from 1."""
     return chunks.orderBy(order).offset(n - 1).limit(1)
-
-
-class PointTable:
-    """A Parquet table of points at a path that only Spark's file systems know."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        self._p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def exists(self) -> bool:
-        return self._fs.exists(self._p(self.path))
-
-    def ensure(self, schema: StructType) -> int:
-        """Make the table if it is not there; the number of points."""
-        if not self.exists():
-            self.spark.createDataFrame([], schema).write.parquet(self.path)
-        return self.read().count()
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
-
-    def drop(self) -> None:
-        """V6."""
-        self._fs.delete(self._p(self.path), True)
-
-    def replace(self, rows: DataFrame) -> None:
-        """Write beside the table, then swap; the old table stays as it is until then."""
-        fresh = f"{self.path}.{uuid.uuid4().hex}"
-        rows.write.parquet(fresh)
-        self.drop()
-        if not self._fs.rename(self._p(fresh), self._p(self.path)):
-            raise OSError(f"could not move {fresh} to {self.path}")
-
-    def fill_if_empty(self, rows: DataFrame) -> bool:
-        """I8: write the rows unless the table holds any; whether it was written."""
-        if self.exists() and not self.read().isEmpty():
-            return False
-        self.replace(rows)
-        return True
-
-
-PROGRAM_SOURCES = {fixed.ELDERLY_PROGRAM: fixed.ELDERLY_SOURCE, fixed.DISABILITY_PROGRAM: fixed.DISABILITY_SOURCE}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions import text as X
 from ..functions.text import any_of, contains_any, is_active_status, is_severe, program_label, strip
 
 
@@ -16,7 +17,7 @@ def _text(v: Column, *paths: str) -> Column:
 def unwrap(payload: Column) -> Column:
     """The content of a JSON payload, else its first user message that is not blank, else the payload."""
     raw = strip(F.coalesce(payload, F.lit("")))
-    v = F.try_parse_json(raw)
+    v = X.whole_json(raw)
     messages = F.from_json(F.to_json(F.try_variant_get(v, "$.messages", "variant")), "array<struct<role string, content string, query string>>")
     said = F.filter(F.transform(F.filter(messages, lambda m: m["role"] == "user"), lambda m: strip(F.coalesce(F.nullif(m["content"], F.lit("")), m["query"]))), lambda t: t != "")
     content = F.when(F.schema_of_variant(F.try_variant_get(v, "$.content", "variant")) == "STRING", strip(F.try_variant_get(v, "$.content", "string")))
@@ -42,7 +43,7 @@ def chat_parts(turns: DataFrame) -> DataFrame:
     marked = F.filter(lines, lambda x: F.contains(x, F.lit("NIK")))
     stop = F.transform(lines, lambda x: strip(x).rlike("^(Skor Prioritas|Tolong)"))
     at = F.array_position(stop, F.lit(True))
-    v = F.try_parse_json(F.col("answer"))
+    v = X.whole_json(F.col("answer"))
     return last.select(
         "conv_id", strip(F.array_join(F.when(at > 0, F.slice(lines, 1, (at - 1).cast("int"))).otherwise(lines), "\n")).alias("profile"),
         F.when(F.contains(F.get(marked, F.lit(0)), F.lit(":")), strip(F.regexp_extract(F.get(marked, F.lit(0)), r"^[^:]*:(.*)$", 1))).otherwise("").alias("nik"),
@@ -57,7 +58,7 @@ def signals(profile: Column) -> Column:
     The lambdas bind the unwrapped text and its JSON, so that both are made once for each row, however
     many fields of the struct are used.
     """
-    parsed = F.transform(F.array(unwrap(profile)), lambda t: F.struct(t.alias("t"), F.try_parse_json(t).alias("v")))
+    parsed = F.transform(F.array(unwrap(profile)), lambda t: F.struct(t.alias("t"), X.whole_json(t).alias("v")))
     return F.transform(parsed, lambda x: _signals(x["t"], x["v"]))[0]
 
 

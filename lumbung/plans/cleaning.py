@@ -129,18 +129,6 @@ def i4(spark, d):
     return J.without_known(rows, rows.filter("doc_id % 2 = 0").select("h"), "h").select("doc_id")
 
 
-@query("i5_error_cleanup", "SELECT doc_id FROM documents WHERE lang <> 'es' OR doc_id NOT IN (SELECT doc_id FROM labels)")
-def i5(spark, d):
-    done = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", F.lit("es").alias("lang"))
-    return chunks(spark, d).join(done, ["doc_id", "lang"], "left_anti").select("doc_id")
-
-
-@query("i6_page_reset", "SELECT doc_id, source FROM documents WHERE NOT (source = 'src3' AND doc_id % 7 IN (2, 4))")
-def i6(spark, d):
-    gone = spark.createDataFrame([("src3", 2), ("src3", 4)], "source string, page long")
-    return chunks(spark, d).withColumn("page", F.col("doc_id") % 7).join(F.broadcast(gone), ["source", "page"], "left_anti").select("doc_id", "source")
-
-
 _UUID = "substr(h,1,8)||'-'||substr(h,9,4)||'-5'||substr(h,14,3)||'-'||substr('89ab', 1 + (('0x'||substr(h,17,1))::INT & 3), 1)||substr(h,18,3)||'-'||substr(h,21,12)"
 
 
@@ -149,13 +137,6 @@ def t18(spark, d):
     return chunks(spark, d).select("doc_id", X.uuid5(F.col("text")).alias("id"))
 
 
-@query("v1_upsert_last_wins", "SELECT h AS id, max(doc_id) AS doc_id FROM (SELECT md5(text) AS h, doc_id FROM documents) GROUP BY h")
-def v1(spark, d):
-    rows = chunks(spark, d).select(F.md5("text").alias("id"), "doc_id")
-    # Updates are the larger ids of each text, so last wins is the largest.
-    return J.upsert(rows.filter("false"), rows, "id", "doc_id")
-
-
 @query("v2_numbered_ingest", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS id FROM documents WHERE length(text) >= 220")
 def v2(spark, d):
     rows = chunks(spark, d).select("doc_id", F.when(F.length("text") < 220, "low").otherwise("normal").alias("priority"))
@@ -167,11 +148,6 @@ def v4(spark, d):
     return J.ingest_gate(chunks(spark, d).withColumn("title", F.when(F.col("doc_id") % 5 != 0, "t")), ["title", "lang"])
 
 
-@query("v5_delete_by_filter", "SELECT doc_id FROM documents WHERE NOT (source = 'src1' AND lang = 'en')")
-def v5(spark, d):
-    return chunks(spark, d).filter(~((F.col("source") == "src1") & (F.col("lang") == "en"))).select("doc_id")
-
-
 @query("v7_collection_info", "SELECT count(*) AS points, min(len(embedding)) AS dimension FROM embeddings")
 def v7(spark, d):
     return spark.read.parquet(f"{d}/embeddings.parquet").agg(F.count("*").alias("points"), F.min(F.size("embedding")).alias("dimension"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import strip, whole_json
 
 
 def line_outcome(line: Column) -> Column:
     """Blank, invalid_json, invalid_schema or row: an object with a string text and an object metadata."""
-    v = F.try_parse_json(strip(line))
+    v = whole_json(strip(line))
 
     def kind(path: str) -> Column:
         return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("none"))
@@ -25,7 +25,7 @@ def line_outcome(line: Column) -> Column:
 
 def scan_strict(lines: DataFrame) -> DataFrame:
     """The lines (column ``value``) with their outcome, text and metadata as JSON text."""
-    v = F.try_parse_json(strip(F.col("value")))
+    v = whole_json(strip(F.col("value")))
     ok = F.col("outcome") == "row"
     return lines.withColumn("outcome", line_outcome(F.col("value"))).filter("outcome != 'blank'").select(
         *lines.columns, "outcome", F.when(ok, F.try_variant_get(v, "$.text", "string")).alias("text"), F.when(ok, F.to_json(F.try_variant_get(v, "$.metadata", "variant"))).alias("metadata")
@@ -34,20 +34,20 @@ def scan_strict(lines: DataFrame) -> DataFrame:
 
 def scan_lenient(lines: DataFrame) -> DataFrame:
     """Lines that are objects with the keys text and metadata, of whatever type; the rest is skipped."""
-    v = F.try_parse_json(strip(F.col("value")))
+    v = whole_json(strip(F.col("value")))
     here = [F.try_variant_get(v, f"$.{k}", "variant").isNotNull() for k in ("text", "metadata")]
     return lines.filter(v.isNotNull() & here[0] & here[1]).withColumn("text", F.to_json(F.try_variant_get(v, "$.text", "variant")))
 
 
 def scan_silent(lines: DataFrame) -> DataFrame:
     """S3: every line that parses, as compact JSON; the rest is dropped without a word."""
-    v = F.try_parse_json(strip(F.col("value")))
+    v = whole_json(strip(F.col("value")))
     return lines.filter(v.isNotNull()).withColumn("json", F.to_json(v))
 
 
 def scan_fail_fast(lines: DataFrame, path: Column, number: Column) -> DataFrame:
     """The first line that does not parse ends the query, its place named."""
-    v = F.try_parse_json(strip(F.col("value")))
+    v = whole_json(strip(F.col("value")))
     json = F.when(v.isNotNull(), F.to_json(v)).otherwise(F.raise_error(F.concat(path, F.lit(":"), number.cast("string"), F.lit(": invalid JSON"))))
     return lines.filter(strip(F.col("value")) != "").withColumn("json", json)
 
@@ -116,13 +116,6 @@ def without_known(chunks: DataFrame, known: DataFrame, key: str) -> DataFrame:
 # Point tables
 
 
-def upsert(target: DataFrame, updates: DataFrame, key: str, order: str) -> DataFrame:
-    """V1: the last row of each key by ``order``, updates after the target."""
-    both = target.withColumn("_turn", F.lit(0)).unionByName(updates.withColumn("_turn", F.lit(1)))
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_turn"), F.desc(order)))
-    return both.withColumn("_r", last).filter("_r = 1").drop("_r", "_turn")
-
-
 def numbered(chunks: DataFrame, order: str, priority: str = "priority", parts: int = 256) -> DataFrame:
     """V2: rows that are not of low priority, numbered from 0 by ``order``, a number.
 

@@ -104,16 +104,6 @@ def test_scans(spark, tmp_path):
         (folder / "b.jsonl").write_text('{"text": "b", "metadata": {}}')
 
 
-def test_point_table(spark, tmp_path):
-    table = E.PointTable(spark, f"file://{tmp_path}/points")
-    rows = spark.createDataFrame([(1, "a")], "id int, t string")
-    assert table.ensure(rows.schema) == 0 and table.fill_if_empty(rows) and not table.fill_if_empty(rows)
-    table.replace(rows.unionByName(rows))
-    assert table.ensure(rows.schema) == 2
-    table.drop()
-    assert not table.exists()
-
-
 def test_chunks():
     text = "\n\n".join(f"Kalimat {i}. " + "kata " * 30 for i in range(40))
     parts = C.split_text(text, 800, 150)
