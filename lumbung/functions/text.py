@@ -214,9 +214,14 @@ def amount_display(digits: Column) -> Column:
     return F.translate(F.format_number(digits.cast("decimal(38,0)"), 0), ",", ".")
 
 
+def is_aid_context(text: Column) -> Column:
+    """A word of the context of aid."""
+    return text.rlike(fixed.AID_CONTEXT)
+
+
 def is_aid_amount(text: Column) -> Column:
     """An amount in the context of aid, and no stamp duty near it."""
-    return text.rlike(fixed.AMOUNT) & text.rlike(fixed.AID_CONTEXT) & ~text.rlike(fixed.STAMP_DUTY)
+    return text.rlike(fixed.AMOUNT) & is_aid_context(text) & ~text.rlike(fixed.STAMP_DUTY)
 
 
 def amount_units(text: Column) -> Column:
@@ -233,15 +238,79 @@ def tag_set(tags: Column, primary: Column) -> Column:
     return F.array_union(F.coalesce(tags, F.array().cast("array<string>")), F.when(primary.isNotNull() & (primary != ""), F.array(primary)).otherwise(F.array().cast("array<string>")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def age_requirements(text: Column) -> Column:
-    """Ages asked for: ranges, then minima, as structs (kind, low, high)."""
-    t = F.regexp_replace(F.lower(text), f"{WS}+", " ")
+    """Ages asked for: ranges, then minima, as structs (kind, low, high, phrase).
+
+    Ranges that fall are left out. Null texts give null."""
     span = r"(?:usia|umur|berusia)[^.;]{0,60}?(\d+)\s*(?:tahun|bulan)?\s*(?:s/d|sd|sampai(?:\s+dengan)?|hingga|-)\s*(?:maksimal\s*)?(\d+)\s*tahun"
     least = r"(?:usia|umur|berusia|lanjut usia)[^.;]{0,40}?(\d+)\s*tahun\s+ke\s+atas"
-    lows, highs = (F.regexp_extract_all(t, F.lit(span), F.lit(i)) for i in (1, 2))
-    ranges = F.filter(F.zip_with(lows, highs, lambda a, b: F.struct(F.lit("range").alias("kind"), a.cast("int").alias("low"), b.cast("int").alias("high"))), lambda r: r["high"] >= r["low"])
-    minima = F.transform(F.regexp_extract_all(t, F.lit(least), F.lit(1)), lambda a: F.struct(F.lit("min").alias("kind"), a.cast("int").alias("low"), F.lit(None).cast("int").alias("high")))
-    return F.concat(ranges, minima)
+
+    def told(kind: str, pattern: str, at_high: int | None) -> Callable[[Column], Column]:
+        def one(m: Column) -> Column:
+            high = F.lit(None) if at_high is None else F.regexp_extract(m, pattern, at_high)
+            low = F.regexp_extract(m, pattern, 1).try_cast("int")
+            return F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.try_cast("int").alias("high"), F.regexp_replace(m, r"^[ ,.;]+|[ ,.;]+$", "").alias("phrase"))
+
+        return one
+
+    def both(t: Column) -> Column:
+        ranges = F.transform(F.regexp_extract_all(t, F.lit(span), F.lit(0)), told("range", span, 2))
+        minima = F.transform(F.regexp_extract_all(t, F.lit(least), F.lit(0)), told("min", least, None))
+        return F.concat(F.filter(ranges, lambda r: r["high"] >= r["low"]), minima)
+
+    return let(F.regexp_replace(F.lower(text), f"{WS}+", " "), both)
+
+
+def decile_requirements(text: Column) -> Column:
+    """Structs (phrase, deciles): ranges first, then lists, pairs and single ones, each in order.
+
+    One scan from left to right, so mentions never overlap. A range that falls or ends beyond 10 is read
+    as its two numbers; of other kinds the numbers from 1 to 10 count; mentions without any are left out.
+    """
+    to = rf"\s*{fixed.DECILE_TO}\s*\d+"
+    pattern = rf"\bdesil\s+\d+(?:{to}\b|(?:\s*,\s*\d+)+(?:\s*(?:dan|&)\s*\d+)?\b|\s*(?:dan|&)\s*\d+\b|\b)"
+
+    def told(m: Column, at: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(m, F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast("int"))
+        first, last = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
+        ranged = m.rlike(rf"^desil\s+\d+{to}$")
+        kind = F.when(ranged, 0).when(m.contains(","), 1).when(m.rlike("dan|&"), 2).otherwise(3)
+        listed = F.array_sort(F.array_distinct(F.filter(numbers, lambda n: (n >= 1) & (n <= 10))))
+        values = F.when(ranged & (first <= last) & (last <= 10), F.sequence(first, F.greatest(first, last))).otherwise(listed)
+        return F.struct(kind.alias("kind"), at.alias("at"), collapse(m).alias("phrase"), values.alias("deciles"))
+
+    mentions = F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), told)
+    kept = F.array_sort(F.filter(mentions, lambda x: F.size(x["deciles"]) > 0))
+    return F.transform(kept, lambda x: F.struct(x["phrase"].alias("phrase"), x["deciles"].alias("deciles")))
+
+
+def amount_mentions(text: Column, before: int = 140, after: int = 180) -> Column:
+    """Structs (amount, context) of the amounts in a text: digits, and what stands around, white space
+    collapsed. What matches and what stands between gives each match its place."""
+
+    def placed(parts: Column) -> Column:
+        first = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+
+        def step(s: Column, p: Column) -> Column:
+            start = s["end"] + F.length(p["gap"])
+            end = start + F.length(p["found"])
+            return F.struct(end.alias("end"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["found"].alias("found")))).alias("out"))
+
+        return F.aggregate(parts, first, step, lambda s: s["out"])
+
+    def told(m: Column) -> Column:
+        start = F.greatest(m["start"] - before, F.lit(0))
+        digits = F.regexp_replace(F.regexp_extract(m["found"], fixed.AMOUNT, 1), r"\D", "")
+        return F.struct(digits.alias("amount"), collapse(F.substring(text, start + 1, m["end"] + after - start)).alias("context"))
+
+    gaps, found = F.split(text, fixed.AMOUNT, -1), F.regexp_extract_all(text, F.lit(fixed.AMOUNT), F.lit(0))
+    parts = F.filter(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("found"))), lambda p: p["found"].isNotNull())
+    return F.filter(F.transform(placed(parts), told), lambda m: m["amount"] != "")
 
 
 def is_noise_line(line: Column) -> Column:

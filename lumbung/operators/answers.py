@@ -15,44 +15,9 @@ from ..functions import fixed
 from ..functions import text as X
 
 HEADING = re.compile(r"(?im)^#{2,4}\s*(?P<title>.+?)\s*(?:—|–|-|:)\s*STATUS\s*:\s*(?P<status>TIDAK\s+ELIGIBLE|NON[-\s]+ELIGIBLE|MUNGKIN\s+ELIGIBLE|ELIGIBLE)\b.*$")
-_MENTION = T.ArrayType(T.StructType([T.StructField("amount", T.StringType()), T.StructField("context", T.StringType())]))
-_DECILE = T.ArrayType(T.StructType([T.StructField("phrase", T.StringType()), T.StructField("deciles", T.ArrayType(T.IntegerType()))]))
 _SECTION = T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("status", T.StringType()), T.StructField("body", T.StringType())]))
 
 
-def mentions_of(text: str, before: int = 140, after: int = 180) -> list[tuple[str, str]]:
-    """N3 for one text: each amount's digits and its surroundings, white space collapsed."""
-    out = []
-    for m in re.finditer(fixed.AMOUNT, text):
-        if digits := re.sub(r"\D", "", m[1]):
-            out.append((digits, " ".join(text[max(0, m.start() - before) : m.end() + after].split())))
-    return out
-
-
-#: One mention of deciles: what follows the first number tells its kind, tried in this order.
-_DECILES = re.compile(
-    rf"\bdesil\s+(?P<first>\d+)(?:(?P<range>\s*{fixed.DECILE_TO}\s*(?P<last>\d+)\b)|(?P<list>(?:\s*,\s*\d+)+(?:\s*(?:dan|&)\s*\d+)?\b)|(?P<pair>\s*(?:dan|&)\s*\d+\b)|(?P<one>\b))"
-)
-
-
-def deciles_of(text: str) -> list[tuple[str, list[int]]]:
-    """N10 for one text: phrases of deciles and the deciles from 1 to 10 that each names.
-
-    One scan from left to right: mentions start at the word and never overlap. Ranges are told first,
-    then lists, pairs and single ones. A range that falls or ends beyond 10 is read as its two numbers.
-    """
-    told: dict[str, list] = {"range": [], "list": [], "pair": [], "one": []}
-    for m in _DECILES.finditer(text.lower()):
-        kind = next(k for k in told if m[k] is not None)
-        if kind == "range" and int(m["first"]) <= int(m["last"]) <= 10:
-            values = [*range(int(m["first"]), int(m["last"]) + 1)]
-        else:
-            values = sorted({n for n in map(int, re.findall(r"\d+", m[0])) if 0 < n < 11})
-        if values:
-            told[kind].append((" ".join(m[0].split()), values))
-    return [x for mentions in told.values() for x in mentions]
-
-
 def sections_of(answer: str) -> list[tuple[str, str, str]]:
     """E2 for one answer: title, status and text of each section that a status heading opens."""
     found = list(HEADING.finditer(answer))
@@ -77,16 +42,6 @@ def cleaned(answer: str, program_of) -> str:
     return (kept + answer[at:].lstrip() if at else answer).strip()
 
 
-def amount_mentions(text: Column) -> Column:
-    """N3."""
-    return F.udf(lambda t: mentions_of(t) if t else [], _MENTION, useArrow=True)(text)
-
-
-def decile_requirements(text: Column) -> Column:
-    """N10."""
-    return F.udf(lambda t: deciles_of(t) if t else [], _DECILE, useArrow=True)(text)
-
-
 def status_sections(answer: Column) -> Column:
     """E2."""
     return F.udf(lambda t: sections_of(t) if t else [], _SECTION, useArrow=True)(answer)
@@ -104,22 +59,13 @@ def clean_answer(answer: Column, aliases: dict[str, list[str]] = fixed.PROGRAM_A
 
 
 def amount_catalog(chunks: DataFrame, program: str, order: str, most: int = 5) -> DataFrame:
-    """Each program's distinct amounts, with the first chunks that show them, at most ``most``."""
+    """Each program's distinct amounts, with the first chunks that show them, at most ``most``."""
     rows = chunks.select(program, order, F.explode(F.array_distinct(X.amounts(F.col("text")))).alias("amount"))
     rank = F.row_number().over(Window.partitionBy(program, "amount").orderBy(order))
     kept = rows.withColumn("_r", rank).filter(F.col("_r") <= most)
     return kept.groupBy(program, "amount").agg(F.sort_array(F.collect_list(order)).alias("evidence")).withColumn("display", X.amount_display(F.col("amount")))
 
 
-def best_summary(chunks: DataFrame, program: str, order: str) -> DataFrame:
-    """Each program's chunk with the most distinct amounts; the first on a tie, one that is not an
-    appendix before one that is."""
-    n = F.size(F.array_distinct(X.amounts(F.col("text"))))
-    rows = chunks.withColumn("n", n).filter("n > 0")
-    rank = F.row_number().over(Window.partitionBy(program).orderBy(F.desc("n"), "appendix", order))
-    return rows.withColumn("_r", rank).filter("_r = 1").drop("_r")
-
-
 def facts(chunks: DataFrame, program: str, order: str, each: int = 4, total: int = 18, length: int = 420) -> DataFrame:
     """At most ``each`` amount facts a program and ``total`` in all of each query, equal ones once."""
     rows = chunks.filter(X.is_aid_amount(F.col("text"))).withColumn("excerpt", F.substring(X.collapse(F.col("text")), 1, length))
@@ -129,12 +75,6 @@ def facts(chunks: DataFrame, program: str, order: str, each: int = 4, total: int
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(order))).filter(F.col("place") <= total).drop("_o", "_e")
 
 
-def requirement_checks(profiles: DataFrame, needs: DataFrame) -> DataFrame:
-    """Whether each profile's age meets each requirement (kind, low, high) of the same group."""
-    ok = F.when(F.col("kind") == "range", F.col("age").between(F.col("low"), F.col("high"))).otherwise(F.col("age") >= F.col("low"))
-    return profiles.join(needs, "group_id").withColumn("passes", ok)
-
-
 def grouped_context(programs: DataFrame, hits: DataFrame, order: str, none: str = "(tidak ada)") -> DataFrame:
     """For each program, in the table's order, its hits' texts in order of rank, or a placeholder."""
     texts = hits.groupBy("program").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]), "\n").alias("context"))

@@ -47,11 +47,6 @@ def n2(spark, d):
     return chunks(spark, d).select("doc_id", X.amount_display(_n(0)).alias("display"))
 
 
-@query("n3_amount_mentions", _M + " SELECT doc_id, a AS amount FROM m UNION ALL SELECT doc_id, '10000' FROM m WHERE duty")
-def n3(spark, d):
-    return _money(spark, d).select("doc_id", F.explode(A.amount_mentions(F.col("text"))).alias("x")).select("doc_id", "x.amount")
-
-
 @query("n4_aid_amount", _M + " SELECT doc_id, NOT duty AS aid FROM m")
 def n4(spark, d):
     return _money(spark, d).select("doc_id", X.is_aid_amount(F.col("text")).alias("aid"))
@@ -62,11 +57,6 @@ def n5(spark, d):
     return _money(spark, d).select("doc_id", X.amount_units(F.col("text")).alias("units"))
 
 
-@query("n6_amount_summary", _M + " SELECT program, doc_id FROM m QUALIFY row_number() OVER (PARTITION BY program ORDER BY duty DESC, appendix, doc_id) = 1")
-def n6(spark, d):
-    return A.best_summary(_money(spark, d), "program", "doc_id").select("program", "doc_id")
-
-
 @query("n7_amount_catalog", _M + ", x AS (SELECT program, doc_id, a AS amount FROM m UNION ALL SELECT program, doc_id, '10000' FROM m WHERE duty), y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY program, amount ORDER BY doc_id) <= 5) SELECT program, amount, list(doc_id ORDER BY doc_id) AS evidence FROM y GROUP BY ALL")
 def n7(spark, d):
     return A.amount_catalog(_money(spark, d), "program", "doc_id").select("program", "amount", "evidence")
@@ -82,33 +72,6 @@ def n9(spark, d):
     return chunks(spark, d).select("doc_id", X.tag_set(F.array(F.lit("en"), F.lit("x")), F.col("lang")).alias("tags"))
 
 
-@query("n10_decile_requirements", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN [1, 2, 3, 4] ELSE [2, 5] END AS deciles FROM documents")
-def n10(spark, d):
-    t = F.when(F.col("doc_id") % 2 == 0, "Desil 1 sampai dengan 4").otherwise("desil 2 dan 5 saja")
-    return chunks(spark, d).select("doc_id", F.explode(A.decile_requirements(t)).alias("x")).select("doc_id", "x.deciles")
-
-
-def _needs(spark, d):
-    i = F.col("doc_id") % 50
-    t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("usia "), i, F.lit(" sampai "), i + 9, F.lit(" tahun"))).otherwise(F.concat(F.lit("Berusia "), i, F.lit(" tahun ke atas")))
-    return chunks(spark, d).select("doc_id", F.explode(X.age_requirements(t)).alias("x")).select("doc_id", "x.*")
-
-
-_N = "WITH n AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'range' ELSE 'min' END AS kind, (doc_id % 50)::INT AS low, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 50 + 9)::INT END AS high FROM documents)"
-
-
-@query("n11_age_requirements", _N + " SELECT * FROM n")
-def n11(spark, d):
-    return _needs(spark, d)
-
-
-@query("n12_requirement_checks", _N + " SELECT doc_id, CASE WHEN kind = 'range' THEN 20 BETWEEN low AND high ELSE 20 >= low END AS passes FROM n")
-def n12(spark, d):
-    needs = _needs(spark, d).withColumnRenamed("doc_id", "group_id")
-    people = chunks(spark, d).select(F.col("doc_id").alias("group_id"), F.lit(20).alias("age"))
-    return A.requirement_checks(people, needs).select(F.col("group_id").alias("doc_id"), "passes")
-
-
 @query("x1_grouped_context", "SELECT program, coalesce(c, '(tidak ada)') AS context FROM (SELECT DISTINCT source AS program FROM documents) p LEFT JOIN (SELECT source, string_agg(lang || doc_id, chr(10) ORDER BY doc_id) AS c FROM documents GROUP BY source) h ON h.source = p.program")
 def x1(spark, d):
     docs = chunks(spark, d)

@@ -54,8 +54,10 @@ def test_amounts(spark):
     assert values(spark, X.amounts, "Rp 500.000", "Rp. 2.000.000,-", "Rp 500.000,00", "Rp 500.000 4 tahap", "Rp x", "harp 5") == [["500000"], ["2000000"], ["50000000"], ["5000004"], [], []]
     assert values(spark, X.amount_display, "5000000", "12") == ["5.000.000", "12"]
     assert values(spark, X.is_aid_amount, "bantuan Rp 5.000", "bantuan, materai Rp 10.000", "harga Rp 5") == [True, False, False]
-    assert A.deciles_of("Desil 1 sampai dengan 4, desil 2, 3 dan 5; desil 11") == [("desil 1 sampai dengan 4", [1, 2, 3, 4]), ("desil 2, 3 dan 5", [2, 3, 5])]
-    assert values(spark, lambda t: F.to_json(X.age_requirements(t)), "Usia 60 s/d 70 tahun", "lanjut usia 70 tahun ke atas", "usia 9 - 5 tahun") == ['[{"kind":"range","low":60,"high":70}]', '[{"kind":"min","low":70}]', "[]"]
+    assert values(spark, lambda t: F.to_json(X.decile_requirements(t)), "Desil 1 sampai dengan 4, desil 2, 3 dan 5; desil 11", "desil 4  - 2; desil 5 & 7; desil 99999999999") == [
+        '[{"phrase":"desil 1 sampai dengan 4","deciles":[1,2,3,4]},{"phrase":"desil 2, 3 dan 5","deciles":[2,3,5]}]', '[{"phrase":"desil 4 - 2","deciles":[2,4]},{"phrase":"desil 5 & 7","deciles":[5,7]}]']
+    assert values(spark, lambda t: F.to_json(X.age_requirements(t)), "Usia 60 s/d 70 tahun", "lanjut usia 70 tahun ke atas", "usia 9 - 5 tahun") == [
+        '[{"kind":"range","low":60,"high":70,"phrase":"usia 60 s/d 70 tahun"}]', '[{"kind":"min","low":70,"phrase":"lanjut usia 70 tahun ke atas"}]', "[]"]
 
 
 PROFILE = "- Nama : X | Umur : {age} tahun\n- Desil Nasional : {decile}\n- Status DTSEN : {status}\n- Berjalan : {ability}"
