@@ -136,3 +136,6 @@ DECILE_TO = r"(?:-|s/d|sd|sampai(?:\s+dengan)?)"
 STATUS_HEADING = r"(?im)^#{2,4}\s*(.+?)\s*(?:â€”|—|–|-|:)\s*STATUS\s*:\s*(TIDAK\s+ELIGIBLE|NON[-\s]+ELIGIBLE|MUNGKIN\s+ELIGIBLE|ELIGIBLE)\b.*$"
 PLAIN_HEADING = r"(?im)^##(?!#)\s*(.+?)\s*$"
 DECISION = r"\b(?:status|keputusan)\s*:?\s*\**\s*(tidak\s+eligible|non[-\s]+eligible|mungkin\s+eligible|eligible)\b"
+
+#: Where a text's lines end.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import re
 from collections.abc import Iterable, Iterator
 
@@ -90,24 +89,92 @@ def strip_thinking(raw: Column) -> Column:
     return X.strip(F.regexp_replace(F.regexp_replace(raw, r"(?is)<think>.*?</think>", ""), r"(?is)<think>.*$", ""))
 
 
+#: A field with what stands before it: in quotes (to the end if they stay open) with what follows, or plain.
+_CELL = r'(,|\n)("[^"]*+(?:""[^"]*+)*+(?:"[^,\n]*|\z)|(?!")[^,\n]*)'
+
+
+def csv_rows(text: Column) -> Column:
+    """Rows of cells of comma-separated lines: quoted cells may hold commas, line ends and doubled quotes."""
+    def cell(raw: Column) -> Column:
+        closed = F.regexp_replace(F.regexp_replace(raw, r'^"([^"]*+(?:""[^"]*+)*+)"(.*)$', "$1\u0000$2"), r'^"(?=[^\u0000]*$)', "")
+        body, more = F.get(F.split(closed, "\u0000"), F.lit(0)), F.coalesce(F.get(F.split(closed, "\u0000"), F.lit(1)), F.lit(""))
+        return F.when(F.startswith(raw, F.lit('"')), F.concat(F.regexp_replace(body, '""', '"'), more)).otherwise(raw)
+
+    text = F.concat(F.lit("\n"), text)  # so that no match is empty, even of an empty first cell
+    before, cells = F.regexp_extract_all(text, F.lit(_CELL), F.lit(1)), F.regexp_extract_all(text, F.lit(_CELL), F.lit(2))
+    parts = F.zip_with(before, cells, lambda b, c: F.struct(b.alias("before"), cell(c).alias("cell")))
+
+    def put(rows: Column, p: Column) -> Column:
+        at = F.size(rows)
+        longer = F.concat(F.slice(rows, 1, at - 1), F.array(F.concat(F.element_at(rows, -1), F.array(p["cell"]))))
+        return F.when((p["before"] == ",") & (at > 0), longer).otherwise(F.concat(rows, F.array(F.array(p["cell"]))))
+
+    return F.aggregate(parts, F.array().cast("array<array<string>>"), put)
+
+
+def _answer_lines(raw: Column) -> Column:
+    body = X.strip(F.regexp_replace(X.strip(F.regexp_replace(strip_thinking(raw), r"```(?:toon)?\s*", "")), r"`+\z", ""))
+    fits = lambda x: (F.length(F.regexp_replace(x, "[^,]", "")) >= 3) & ~x.rlike(r"^(Hasil\[|Hasil \{|#)|Kategori,Nilai/Program")
+    return F.filter(F.transform(F.split(body, fixed.LINE_ENDS), X.strip), fits)
+
+
 def answer_rows(answers: DataFrame, key: str, raw: str = "raw") -> DataFrame:
     """Rows of a tabular answer: category, value, status, detail and, of recommendations, rank, basis
-    and reason. Lines that are headings or have fewer than three commas are skipped."""
-    body = F.regexp_replace(strip_thinking(F.col(raw)), r"```(?:toon)?\s*", "")
-    lines = F.filter(F.transform(F.split(body, r"\r?\n"), X.strip), lambda x: (F.length(F.regexp_replace(x, "[^,]", "")) >= 3) & ~x.rlike(r"^(Hasil\[|Hasil \{|#)|Kategori,Nilai/Program"))
+    and reason. Lines that are headings or have fewer than three commas are skipped; a quoted cell goes
+    over several lines where each has the commas."""
+    rows = F.filter(csv_rows(F.array_join(_answer_lines(F.col(raw)), "\n")), lambda r: F.size(r) >= 4)
+    out = answers.select(key, F.posexplode(rows).alias("row", "cells")).select(key, "row", *[X.strip(F.get("cells", F.lit(i))).alias(c) for i, c in enumerate(("category", "value", "status", "detail"))])
+    return out.withColumns(_recommended(F.col("detail")))
+
+
+def _recommended(detail: Column) -> dict[str, Column]:
+    ranks = F.filter(F.transform(F.split(detail, r"\|"), X.strip), lambda p: F.startswith(F.lower(p), F.lit("rank:")) & p.rlike(r"\d"))
+    rank = F.coalesce(F.regexp_extract(F.try_element_at(ranks, F.lit(-1)), r"(\d+)", 1).try_cast("int"), F.lit(1))
+    return {"rank": rank, "basis": F.coalesce(_part(detail, "dasar hukum:"), F.lit("")), "reason": F.coalesce(_part(detail, "alasan:"), detail)}
 
-    def parse(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [[c.strip() for c in r[:4]] for r in csv.reader((t or "").split("\n")) if len(r) >= 4])
 
-    rows = F.pandas_udf(parse, T.ArrayType(T.ArrayType(T.StringType())))(F.array_join(lines, "\n"))
-    out = answers.select(key, F.posexplode(rows).alias("row", "cells")).select(key, "row", *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(("category", "value", "status", "detail"))])
-    parts = F.transform(F.split("detail", r"\|"), X.strip)
+def _part(detail: Column, name: str) -> Column:
+    parts = F.filter(F.transform(F.split(detail, r"\|"), X.strip), lambda p: F.startswith(F.lower(p), F.lit(name)))
+    return F.when(F.size(parts) > 0, X.strip(F.regexp_extract(F.try_element_at(parts, F.lit(-1)), r"(?s)^[^:]*:(.*)$", 1)))
 
-    def part(name: str) -> Column:
-        found = F.filter(parts, lambda p: F.startswith(F.lower(p), F.lit(name)))
-        return X.strip(F.regexp_extract(F.get(found, F.lit(-1) + F.size(found)), r"(?s)^[^:]*:(.*)$", 1))
 
-    return out.withColumns({"rank": F.coalesce(F.regexp_extract(part("rank:"), r"(\d+)", 1).try_cast("int"), F.lit(1)), "basis": F.coalesce(part("dasar hukum:"), F.lit("")), "reason": F.coalesce(F.nullif(part("alasan:"), F.lit("")), "detail")})
+def parsed_answers(answers: DataFrame, key: str, raw: str = "raw") -> DataFrame:
+    """X3 with X4: each answer as one row: summary, recommended and unsuitable (arrays of structs, in the
+    answer's order), technical, json, parse_error.
+
+    A tabular answer is routed by category: of summaries and technical advice the last stands, technical
+    advice of ``null`` or ``-`` is null. An answer without any summary, recommendation or unsuitable
+    program, or that does not look tabular, is read as JSON (``json``); if that fails, ``parse_error``.
+    Null answers fail. No rows are shuffled: an answer is parsed where it is read.
+    """
+    text = strip_thinking(F.col(raw))
+    tabular = text.contains("Hasil[") | text.contains("ringkasan_profil,") | (text.contains("rekomendasi,") & text.contains("program_tidak_sesuai,"))
+    cells = F.transform(csv_rows(F.array_join(_answer_lines(F.col(raw)), "\n")), lambda r: F.transform(r, X.strip))
+    read = answers.select(key, raw, F.when(F.coalesce(tabular, F.lit(False)), F.filter(cells, lambda r: F.size(r) >= 4)).alias("_rows"))
+
+    def of(category: str) -> Column:
+        return F.filter("_rows", lambda r: r[0] == category)
+
+    def last(category: str) -> Column:
+        return F.get(F.try_element_at(of(category), F.lit(-1)), F.lit(3))
+
+    def recommended(r: Column) -> Column:
+        c = _recommended(r[3])
+        return F.struct(c["rank"].alias("rank"), r[1].alias("program"), r[2].alias("status"), c["basis"].alias("basis"), c["reason"].alias("reason"))
+
+    def unsuitable(r: Column) -> Column:
+        why = F.when(F.lower(r[3]).startswith("alasan:"), X.strip(F.regexp_extract(r[3], r"(?s)^[^:]*:(.*)$", 1))).otherwise(r[3])
+        return F.struct(r[1].alias("program"), r[2].alias("status"), why.alias("reason"))
+
+    technical = last("rekomendasi_teknis_bansos")
+    routed = read.select(
+        key, raw, F.coalesce(last("ringkasan_profil"), F.lit("")).alias("summary"), F.coalesce(F.transform(of("rekomendasi"), recommended), F.array()).alias("recommended"),
+        F.when(~F.lower(technical).isin("", "null", "-"), technical).alias("technical"), F.coalesce(F.transform(of("program_tidak_sesuai"), unsuitable), F.array()).alias("unsuitable"),
+    )
+    filled = (F.col("summary") != "") | (F.size("recommended") > 0) | (F.size("unsuitable") > 0)
+    routed = routed.withColumn("_filled", filled).withColumn("json", F.when(~F.col("_filled"), json_block(F.col(raw))))
+    kept = [F.when(F.col("_filled"), F.col(c)).alias(c) for c in ("summary", "recommended", "technical", "unsuitable")]
+    return routed.select(key, *kept, "json", (~F.col("_filled") & F.col("json").isNull()).alias("parse_error"))
 
 
 def json_block(raw: Column) -> Column:
@@ -206,6 +273,34 @@ def nominal_score(found: Column, allowed: Column, denied: Column) -> Column:
     return F.when(extra, 0.0).when(F.size(allowed) == 0, 1.0).when(denied, 0.0).otherwise(share)
 
 
+def nominal_scores(answers: DataFrame, catalog: DataFrame, aliases: dict[str, list[str]] = fixed.PROGRAM_ALIASES) -> DataFrame:
+    """case_id, score, checks and failed of each answer (case_id, answer), from a catalog (program, amount).
+
+    The sections that :func:`program_statuses` finds meet the catalog by program. Only sections of
+    programs said to be eligible, or perhaps so, are scored; an answer's score is their mean, 1 without
+    any. ``failed`` lists unsupported and missing amounts and denials, by program. A program that the
+    catalog lacks allows no amount; with an empty catalog every answer scores 1.
+    """
+    sections = program_statuses(answers, aliases).filter(F.col("section").isNotNull() & F.col("status").isin("eligible", "mungkin_eligible"))
+    allowed = catalog.groupBy("program").agg(F.sort_array(F.collect_set("amount")).alias("allowed"))
+    denied = F.lit(False)
+    for words in ("nominal tidak tersebut", "nominal tidak disebut", "nominal tidak ditemukan"):
+        denied |= X.evaluator_text(F.col("section")).contains(words)
+    met = sections.withColumn("found", F.array_distinct(X.amounts(F.col("section")))).withColumn("denied", denied).join(allowed, "program", "left")
+    met = met.withColumn("allowed", F.coalesce("allowed", F.array().cast("array<string>")))
+
+    def told(amounts: Column, what: str) -> Column:
+        return F.transform(F.array_sort(amounts), lambda a: F.concat(F.lit("nominal:"), F.col("program"), F.lit(f":{what}_"), a))
+
+    contradicts = F.when(F.col("denied") & (F.size("allowed") > 0), F.array(F.concat(F.lit("nominal:"), "program", F.lit(":contradiction")))).otherwise(F.array().cast("array<string>"))
+    failed = F.concat(told(F.array_except("found", "allowed"), "unsupported"), told(F.array_except("allowed", "found"), "missing"), contradicts)
+    met = met.select("case_id", "program", nominal_score(F.col("found"), F.col("allowed"), F.col("denied")).alias("s"), failed.alias("f"))
+    by_case = met.groupBy("case_id").agg(F.avg("s").alias("s"), F.count(F.lit(1)).alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("program", "f"))), lambda x: x["f"])).alias("f"))
+    known = not catalog.isEmpty()
+    out = answers.select("case_id").join(by_case if known else by_case.limit(0), "case_id", "left")
+    return out.select("case_id", F.coalesce("s", F.lit(1.0)).alias("score"), F.coalesce("n", F.lit(0)).alias("checks"), F.coalesce("f", F.array().cast("array<string>")).alias("failed"))
+
+
 def hierarchy_fill(lines: DataFrame, document: str, order: str) -> DataFrame:
     """H-simple: each line's chapter, article and clause by filling forward; a chapter resets the articles
     below it and an article the clauses."""

@@ -92,21 +92,67 @@ def _signals(t: Column, v: Column) -> Column:
     )
 
 
+_LEAD = "syarat kriteria sasaran penerima bantuan sosial"
+#: Words of difficulty in a retrieval query's own test of disability.
+_DIFFICULTY = ["banyak kesulitan", "beberapa kesulitan", "tidak bisa", "tidak mampu"]
+_FEMALE = r"\bperempuan\b|\bistri\b|\bibu\b"
+
+
 def retrieval_query(profile: Column) -> Column:
-    """P9 for text profiles: the tokens found, after a fixed lead; else the lead and the first 300 characters."""
-    t, low = profile, F.lower(profile)
-    age = F.regexp_extract(t, r"(?i)(\d+)\s*tahun", 1)
-    decile = F.regexp_extract(t, r"(?i)desil\s*(?:nasional)?\s*[:\-]?\s*(\d+)", 1)
-    place = F.substring(strip(F.regexp_extract(t, r"(?i)((?:kec\.?|kecamatan|kelurahan|kabupaten|kota)\s+[\w\s,]+)", 1)), 1, 80)
-    parts = F.filter(F.array(
-        F.when(age != "", F.concat(F.lit("usia "), age.try_cast("int").cast("string"), F.lit(" tahun"))), F.when(age.try_cast("int") >= 70, F.lit("lanjut usia 70 tahun ke atas")),
-        F.when(decile != "", F.concat(F.lit("desil "), decile)),
-        F.when(contains_any(low, ["dtsen aktif", "dtks aktif", "terdaftar dtks", "terdaftar dtsen"]), F.lit("terdaftar DTSEN DTKS")).when(contains_any(low, ["dtsen", "dtks"]), F.lit("DTSEN DTKS")),
-        F.when(contains_any(low, ["banyak kesulitan", "beberapa kesulitan", "tidak bisa", "tidak mampu"]), F.lit("penyandang disabilitas")),
-        F.when(low.rlike(r"\bperempuan\b|\bistri\b|\bibu\b"), F.lit("perempuan")), F.when(place != "", place),
-    ), lambda p: p.isNotNull())
-    lead = "syarat kriteria sasaran penerima bantuan sosial"
-    return F.when(F.size(parts) > 0, F.concat(F.lit(lead + ": "), F.array_join(parts, " "))).otherwise(F.concat(F.lit(lead + " "), strip(F.substring(t, 1, 300))))
+    """A query of the tokens found in a profile, after a fixed lead; without any, the lead and the
+    profile's first 300 characters.
+
+    A profile that is a JSON object, once unwrapped, is read by its fields: those of the report first,
+    then of the parameters and the root, where empty, zero and false values count as absent. Any other
+    text is read by patterns. A field of an unfitting kind counts as absent. Null profiles are empty.
+    """
+    def built(x: Column) -> Column:
+        parts = F.when(F.coalesce(F.startswith(F.schema_of_variant(x["v"]), F.lit("OBJECT<")), F.lit(False)), _json_tokens(x["v"])).otherwise(_text_tokens(x["t"]))
+        parts = F.filter(parts, lambda p: p.isNotNull())
+        rest = F.concat(F.lit(_LEAD + " "), strip(F.substring(x["t"], 1, 300)))
+        return X.let(parts, lambda p: F.when(F.size(p) > 0, F.concat(F.lit(_LEAD + ": "), F.array_join(p, " "))).otherwise(rest))
+
+    return X.let(unwrap(profile), lambda t: X.let(F.struct(t.alias("t"), X.whole_json(t).alias("v")), built))
+
+
+def _age_tokens(age: Column) -> list[Column]:
+    return [F.concat(F.lit("usia "), age.cast("string"), F.lit(" tahun")), F.when(age >= 70, F.lit("lanjut usia 70 tahun ke atas"))]
+
+
+def _text_tokens(t: Column) -> Column:
+    low = F.lower(t)
+    age = F.nullif(F.regexp_extract(t, r"(?i)(\d+)\s*tahun", 1), F.lit("")).try_cast("int")
+    decile = F.nullif(F.regexp_extract(t, r"(?i)desil\s*(?:nasional)?\s*[:\-]?\s*(\d+)", 1), F.lit(""))
+    place = F.nullif(F.substring(strip(F.regexp_extract(t, r"(?iU)((?:kec\.?|kecamatan|kelurahan|kabupaten|kota)\s+[\w\s,]+)", 1)), 1, 80), F.lit(""))
+    registry = F.when(contains_any(low, ["dtsen aktif", "dtks aktif", "terdaftar dtks", "terdaftar dtsen"]), F.lit("terdaftar DTSEN DTKS")).when(contains_any(low, ["dtsen", "dtks"]), F.lit("DTSEN DTKS"))
+    return F.array(
+        *_age_tokens(age), F.concat(F.lit("desil "), decile), registry, F.when(contains_any(low, _DIFFICULTY), F.lit("penyandang disabilitas")), F.when(low.rlike(_FEMALE), F.lit("perempuan")), place,
+    )
+
+
+def _json_tokens(v: Column) -> Column:
+    report = "$.laporan_evaluasi"
+
+    def first(*paths: str) -> Column:
+        """The first field that is not empty, zero or false, as text."""
+        return F.coalesce(*[F.when(~F.try_variant_get(v, p, "string").isin("", "0", "0.0", "false", "[]", "{}"), F.try_variant_get(v, p, "string")) for p in paths])
+
+    def kind(path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+
+    aged = F.coalesce(*[F.when(first(p).isNotNull(), F.struct(kind(p).alias("kind"), strip(first(p)).alias("text"))) for p in (f"{report}.profil_warga.umur", "$.umur")])
+    age = F.when(aged["text"].rlike(r"^[+-]?\d+$"), aged["text"].try_cast("int")).when(aged["kind"] != "STRING", aged["text"].try_cast("double").cast("int"))
+    registry_text = F.lower(first("$.parameter.status_dtsekolah", "$.status_dtsekolah"))
+    registry = F.when(F.contains(registry_text, F.lit("aktif")), F.lit("terdaftar DTSEN DTKS")).when(contains_any(registry_text, ["dtsen", "dtks"]), F.lit("DTSEN DTKS"))
+    held = lambda p: F.when(~F.coalesce(F.to_json(F.try_variant_get(v, p, "variant")).isin("{}", "[]", '""', "0", "false", "null"), F.lit(True)), F.try_variant_get(v, p, "variant"))
+    fields = F.from_json(F.to_json(F.coalesce(held("$.parameter.disabilitas"), held("$.disabilitas"))), "map<string,string>")
+    hard = F.coalesce(F.exists(F.map_values(fields), lambda x: F.coalesce(contains_any(F.lower(x), _DIFFICULTY), F.lit(False))), F.lit(False))
+    told = F.coalesce(contains_any(F.lower(first(f"{report}.analisis.disabilitas_fungsi")), _DIFFICULTY), F.lit(False))
+    names = F.lower(F.concat_ws(" ", first(f"{report}.profil_warga.nama", "$.nama"), first(f"{report}.profil_warga.hubungan_kepala_keluarga")))
+    return F.array(
+        *_age_tokens(age), F.concat(F.lit("desil "), first("$.parameter.desil_nasional", "$.desil_nasional")), registry, F.when(hard | told, F.lit("penyandang disabilitas")),
+        F.when(names.rlike(_FEMALE), F.lit("perempuan")), F.substring(strip(first("$.parameter.lokasi", "$.lokasi")), 1, 80),
+    )
 
 
 def is_profile(text: Column) -> Column:
@@ -127,13 +173,54 @@ def inferred_sources(s: Column) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
+#: Names of the field of existing aid, and spellings of none.
+_AID_KEYS = ["bansos", "bantuan_sosial", "bantuan sosial"]
+_NO_AID = ["", "-", "[]", "null", "none", "tidak ada", "belum ada", "belum menerima", "belum mendapatkan", "tidak menerima"]
+_TOKEN = r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]:,]|[^\s{}\[\]:,"]+)'
+
+
+def _found_aid(json: Column) -> Column:
+    """What the first field of existing aid in a valid JSON text says: true if there is none, false if
+    there is some, null without such a field.
+
+    Fields are met in the order of the text, each before what it holds, so the first is the first depth
+    first. A null is not found: the object that holds it is then left, and the search goes on behind it.
+    One pass over the tokens; a variant would not do, since it sorts an object's fields.
+    """
+    tokens = F.regexp_extract_all(json, F.lit(_TOKEN), F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("left"), F.lit(None).cast("boolean").alias("none"))
+
+    def met(all_tokens: Column) -> Column:
+        rows = F.transform(all_tokens, lambda t, i: F.struct(t.alias("t"), F.get(all_tokens, i + 1).alias("colon"), F.get(all_tokens, i + 2).alias("value"), F.get(all_tokens, i + 3).alias("more")))
+
+        def text(t: Column) -> Column:
+            return F.lower(strip(F.get_json_object(F.concat(F.lit("["), t, F.lit("]")), "$[0]")))
+
+        def step(s: Column, x: Column) -> Column:
+            t, value = x["t"], x["value"]
+            opens, closes = t.isin("{", "["), t.isin("}", "]")
+            depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+            left = F.when(closes & (s["left"] == s["depth"]), F.lit(None).cast("int")).otherwise(s["left"])
+            key = F.startswith(t, F.lit('"')) & (x["colon"] == ":") & s["left"].isNull() & s["none"].isNull()
+            hit = F.when(key, text(t).isin(_AID_KEYS)).otherwise(False)
+            none = F.when(F.startswith(value, F.lit('"')), text(value).isin(_NO_AID)).otherwise((value == "[") & (x["more"] == "]"))
+            return F.struct(depth.alias("depth"), F.when(hit & (value == "null"), s["depth"]).otherwise(left).alias("left"), F.when(hit & (value != "null"), none).otherwise(s["none"]).alias("none"))
+
+        return F.aggregate(rows, start, step, lambda s: s["none"])
+
+    return X.let(tokens, met)
+
+
 def no_existing_aid(profile: Column) -> Column:
-    """P14 for text profiles: a line of existing aid that says there is none."""
-    said = F.regexp_extract(profile, r"(?im)^\s*-?\s*bansos\s*[:：]\s*([^\r\n]*)", 1)
-    there = profile.rlike(r"(?im)^\s*-?\s*bansos\s*[:：]")
-    # Spellings of none.
-    none = ["", "-", "[]", "null", "none", "tidak ada", "belum ada", "belum menerima", "belum mendapatkan", "tidak menerima"]
-    return F.coalesce(there & F.lower(strip(said)).isin(none), F.lit(False))
+    """Whether a profile says that there is no existing aid: by the first such field of a JSON
+    profile; where that has none, or only nulls, and in other profiles, by the first such line.
+
+    Values that are no text and no list say that there is some. Null profiles say nothing: false.
+    """
+    said = F.regexp_extract(profile, r"(?imU)^\s*-?\s*bansos\s*[:：]\s*([^\r\n]*)", 1)
+    there = profile.rlike(r"(?imU)^\s*-?\s*bansos\s*[:：]")
+    by_line = F.coalesce(there & F.lower(strip(said)).isin(_NO_AID), F.lit(False))
+    return F.coalesce(F.when(X.whole_json(profile).isNotNull(), _found_aid(profile)), by_line)
 
 
 def key_points(profile: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -85,10 +86,63 @@ def x2(spark, d):
     return A.flat_context(hits, "doc_id")
 
 
-@query("x3_answer_rows", "SELECT doc_id, 'rekomendasi' AS category, source AS value, (doc_id % 9)::INT AS rank, 'Juknis' AS basis, 'usia, desil' AS reason FROM documents")
+def _pick(n, *texts):
+    return F.element_at(F.array(*[t if isinstance(t, Column) else F.lit(t) for t in texts]), (F.pmod(n, F.lit(len(texts))) + 1).cast("int"))
+
+
+def _raw_answers(spark, d):
+    """Tabular answers of several shapes: whole texts in quotes, cells over two lines, doubled and open
+    quotes, short lines, headings, fences, open thinking, JSON in prose, and none of these."""
+    i = F.col("doc_id")
+    n = i.cast("string")
+    told = F.concat(F.lit('ringkasan_profil,-,-,"'), F.regexp_replace("text", '"', '""'), F.lit('"\n'))
+    good = F.concat(F.lit('rekomendasi, P'), n, F.lit(', ELIGIBLE,"Rank: '), (i % 9).cast("string"), F.lit(' | Dasar Hukum: a, b, c\n, d, e, f: g | Alasan: x, y: ""z"", w"\n'))
+    poor = F.concat(F.lit("program_tidak_sesuai,Q"), n, F.lit(",TIDAK,"), _pick(i, '"Alasan: usia, desil"', "alasan: kurang", '"tanpa" sebab,more', '"open, Rank: 4\n'), F.lit("\n"))
+    advice = F.concat(F.lit("rekomendasi_teknis_bansos,-,-,"), _pick(i, "null", "-", '"pakai, ""ini"""', ""), F.lit("\n"))
+    head = F.lit("Hasil[4]{Kategori,Nilai/Program,Status,Detail/Alasan}:\n# note, a, b, c\nshort,row\n")
+    table = F.concat(_pick(i, "<think>a,b,c,d</think>", "", "<THINK>x"), F.lit("```toon\n"), head, F.when(i % 3 == 0, told).otherwise(""), good, advice, F.when(i % 5 < 3, poor).otherwise(""), F.lit("```"))
+    other = _pick(i, F.concat(F.lit("So: {"), F.lit('"id": '), n, F.lit("} end")), F.concat(F.lit('```json\n{"id": '), n, F.lit("}}\n```")), F.col("text"), "Hasil[0]{}: nothing")
+    return chunks(spark, d).select("doc_id", F.when(i % 4 < 3, table).otherwise(F.concat(F.when(i % 8 == 3, "<think>never closed</think>").otherwise(""), other)).alias("raw"))
+
+
+_ANSWERS = r'''WITH a AS (SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN concat(['<think>a,b,c,d</think>', '', '<THINK>x'][doc_id % 3 + 1], '```toon', chr(10), 'Hasil[4]{Kategori,Nilai/Program,Status,Detail/Alasan}:', chr(10), '# note, a, b, c', chr(10), 'short,row', chr(10),
+  CASE WHEN doc_id % 3 = 0 THEN 'ringkasan_profil,-,-,"' || replace(text, '"', '""') || '"' || chr(10) ELSE '' END, 'rekomendasi, P', doc_id, ', ELIGIBLE,"Rank: ', doc_id % 9, ' | Dasar Hukum: a, b, c', chr(10), ', d, e, f: g | Alasan: x, y: ""z"", w"', chr(10),
+  'rekomendasi_teknis_bansos,-,-,', ['null', '-', '"pakai, ""ini"""', ''][doc_id % 4 + 1], chr(10), CASE WHEN doc_id % 5 < 3 THEN concat('program_tidak_sesuai,Q', doc_id, ',TIDAK,', ['"Alasan: usia, desil"', 'alasan: kurang', '"tanpa" sebab,more', '"open, Rank: 4' || chr(10)][doc_id % 4 + 1], chr(10)) ELSE '' END, '```')
+ ELSE concat(CASE WHEN doc_id % 8 = 3 THEN '<think>never closed</think>' ELSE '' END, [concat('So: {"id": ', doc_id, '} end'), concat('```json', chr(10), '{"id": ', doc_id, '}}', chr(10), '```'), text, 'Hasil[0]{}: nothing'][doc_id % 4 + 1]) END AS raw FROM documents),
+t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(raw, '(?is)<think>.*?</think>', '', 'g'), '(?is)<think>.*$', '', 'g'), chr(10) || ' ') AS raw FROM a),
+l AS (SELECT doc_id, raw, contains(raw, 'Hasil[') OR contains(raw, 'ringkasan_profil,') OR contains(raw, 'rekomendasi,') AND contains(raw, 'program_tidak_sesuai,') AS tabular,
+ list_filter(list_transform(string_split(trim(regexp_replace(trim(regexp_replace(raw, '```(?:toon)?\s*', '', 'g'), chr(10) || ' '), '`+\z', ''), chr(10) || ' '), chr(10)), lambda x: trim(x)), lambda x: len(regexp_replace(x, '[^,]', '', 'g')) >= 3 AND NOT regexp_matches(x, '^(Hasil\[|Hasil \{|#)|Kategori,Nilai/Program')) AS lines FROM t),
+c AS (SELECT doc_id, unnest(regexp_extract_all(s, p, 1)) AS before, unnest(regexp_extract_all(s, p, 2)) AS cell, generate_subscripts(regexp_extract_all(s, p, 1), 1) AS pos FROM (SELECT doc_id, array_to_string(lines, chr(10)) AS s, '(\A|,|
+)("[^"]*(?:""[^"]*)*(?:"[^,
+]*|\z)|[^",
+][^,
+]*|)' AS p FROM l WHERE len(lines) > 0)),
+u AS (SELECT doc_id, pos, sum(CASE WHEN before = ',' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS r, trim(CASE WHEN NOT starts_with(cell, '"') THEN cell WHEN regexp_matches(cell, '^"[^"]*(?:""[^"]*)*"(?:[^"]|$)') THEN replace(regexp_extract(cell, '^"([^"]*(?:""[^"]*)*)"', 1), '""', '"') || regexp_extract(cell, '^"[^"]*(?:""[^"]*)*"((?s).*)$', 1) ELSE replace(substr(cell, 2), '""', '"') END, chr(10) || ' ') AS cell FROM c),
+k AS (SELECT * FROM (SELECT doc_id, r, list(cell ORDER BY pos) AS cells FROM u GROUP BY doc_id, r) WHERE len(cells) >= 4),
+w AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r) - 1 AS row, cells[1] AS category, cells[2] AS value, cells[3] AS status, cells[4] AS detail, list_transform(string_split(cells[4], '|'), lambda x: trim(x, chr(10) || ' ')) AS parts FROM k),
+x AS (SELECT *, coalesce(regexp_extract(list_filter(parts, lambda p: starts_with(lower(p), 'rank:') AND regexp_matches(p, '\d'))[-1], '(\d+)', 1)::INT, 1) AS rank, coalesce(regexp_extract(list_filter(parts, lambda p: starts_with(lower(p), 'dasar hukum:'))[-1], '(?s)^[^:]*:(.*)$', 1), '') AS b0, regexp_extract(list_filter(parts, lambda p: starts_with(lower(p), 'alasan:'))[-1], '(?s)^[^:]*:(.*)$', 1) AS r0 FROM w),
+z AS (SELECT * EXCLUDE (b0, r0), trim(b0, chr(10) || ' ') AS basis, coalesce(trim(r0, chr(10) || ' '), detail) AS reason FROM x)'''
+
+
+@query("x3_answer_rows", _ANSWERS + " SELECT doc_id, row::INT AS row, category, value, status, md5(detail) AS detail, rank, md5(basis) AS basis, md5(reason) AS reason FROM z")
 def x3(spark, d):
-    raw = F.concat(F.lit("<think>a,b,c,d</think>```toon\nHasil[1]{Kategori,Nilai/Program,Status,Detail/Alasan}:\nrekomendasi, "), "source", F.lit(', ELIGIBLE,"Rank: '), F.col("doc_id") % 9, F.lit(' | Dasar Hukum: Juknis | Alasan: usia, desil"\n```'))
-    return A.answer_rows(chunks(spark, d).select("doc_id", raw.alias("raw")), "doc_id").select("doc_id", "category", "value", "rank", "basis", "reason")
+    rows = A.answer_rows(_raw_answers(spark, d), "doc_id")
+    return rows.select("doc_id", "row", "category", "value", "status", *[F.md5(c).alias(c) for c in ("detail",)], "rank", F.md5("basis").alias("basis"), F.md5("reason").alias("reason"))
+
+
+@query("x3_parsed_answers", _ANSWERS + r""", s AS (SELECT doc_id, arg_max(detail, row) FILTER (category = 'ringkasan_profil') AS summary, arg_max(detail, row) FILTER (category = 'rekomendasi_teknis_bansos') AS technical,
+ string_agg(rank || '|' || value || '|' || status || '|' || basis || '|' || reason, ';' ORDER BY row) FILTER (category = 'rekomendasi') AS recommended,
+ string_agg(value || '|' || status || '|' || CASE WHEN starts_with(lower(detail), 'alasan:') THEN trim(regexp_extract(detail, '(?s)^[^:]*:(.*)$', 1), chr(10) || ' ') ELSE detail END, ';' ORDER BY row) FILTER (category = 'program_tidak_sesuai') AS unsuitable FROM z JOIN l USING (doc_id) WHERE tabular GROUP BY doc_id),
+f AS (SELECT l.doc_id, coalesce(summary, '') AS summary, technical, coalesce(recommended, '') AS recommended, coalesce(unsuitable, '') AS unsuitable, coalesce(summary, '') <> '' OR recommended IS NOT NULL OR unsuitable IS NOT NULL AS filled, trim(regexp_replace(raw, '```(?:json)?\s*|`+\s*\z', '', 'g'), chr(10) || ' ') AS body FROM l LEFT JOIN s USING (doc_id)),
+j AS (SELECT *, CASE WHEN filled THEN NULL WHEN json_valid(body) THEN body WHEN json_valid(regexp_extract(body, '(?s)(\{.*\})', 1)) THEN regexp_extract(body, '(?s)(\{.*\})', 1) END AS json FROM f)
+SELECT doc_id, CASE WHEN filled THEN md5(summary) END AS summary, CASE WHEN filled AND lower(technical) NOT IN ('', 'null', '-') THEN technical END AS technical, CASE WHEN filled THEN md5(recommended) END AS recommended, CASE WHEN filled THEN md5(unsuitable) END AS unsuitable, json, NOT filled AND json IS NULL AS parse_error FROM j""")
+def x3_parsed(spark, d):
+    joined = lambda c, f: F.md5(F.array_join(F.transform(c, f), ";"))
+    p = A.parsed_answers(_raw_answers(spark, d), "doc_id")
+    return p.select(
+        "doc_id", F.md5("summary").alias("summary"), "technical", joined("recommended", lambda r: F.concat_ws("|", r["rank"].cast("string"), r["program"], r["status"], r["basis"], r["reason"])).alias("recommended"),
+        joined("unsuitable", lambda r: F.concat_ws("|", r["program"], r["status"], r["reason"])).alias("unsuitable"), "json", "parse_error",
+    )
 
 
 @query("x4_json_block", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN props END AS json FROM events")
@@ -286,11 +340,29 @@ def e7(spark, d):
     return A.contract_score(heads, expected, a).withColumn("contract_score", F.round("contract_score", 6))
 
 
-@query("e8_nominal_score", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM documents")
+def _scored_answers(spark, d):
+    """Answers with a section for each of two programs, of varying status, amounts and denials, over whole texts."""
+    i = F.col("doc_id")
+    body = lambda n: _pick(n, "bantuan Rp 500.000 dan Rp 250.000", "Rp 500.000", "Rp 1.000 lain", "nominal  tidak tersebut", "Rp 500.000, nominal tidak disebut", "-", "Rp 250.000 Rp 500.000 Rp 9")
+    status = lambda n: _pick(n, "ELIGIBLE", "TIDAK ELIGIBLE", "MUNGKIN ELIGIBLE")
+    half = F.floor(i / 3)
+    answer = F.concat(F.col("text"), F.lit("\n### PKH Plus — STATUS: "), status(i), F.lit("\n"), body(i), F.lit("\n"), F.when(i % 5 != 0, F.concat(F.lit("### ASPD - STATUS: "), status(half), F.lit("\n"), body(half), F.lit("\n"))).otherwise(""))
+    return chunks(spark, d).select(i.alias("case_id"), answer.alias("answer"))
+
+
+@query("e8_nominal_score", r"""WITH b AS (SELECT doc_id AS case_id, ['bantuan Rp 500.000 dan Rp 250.000', 'Rp 500.000', 'Rp 1.000 lain', 'nominal  tidak tersebut', 'Rp 500.000, nominal tidak disebut', '-', 'Rp 250.000 Rp 500.000 Rp 9'] AS o, ['ELIGIBLE', 'TIDAK ELIGIBLE', 'MUNGKIN ELIGIBLE'] AS st, doc_id // 3 AS h, text FROM documents),
+a AS (SELECT case_id, concat(text, chr(10), '### PKH Plus — STATUS: ', st[case_id % 3 + 1], chr(10), o[case_id % 7 + 1], chr(10), CASE WHEN case_id % 5 <> 0 THEN concat('### ASPD - STATUS: ', st[h % 3 + 1], chr(10), o[h % 7 + 1], chr(10)) ELSE '' END) AS answer FROM b),
+s AS (SELECT case_id, unnest(['PKH Plus', 'ASPD']) AS program, unnest([regexp_extract(answer, '(?s)(### PKH Plus .*?)(?:### ASPD|\z)', 1), regexp_extract(answer, '(?s)(### ASPD - STATUS.*)', 1)]) AS section FROM a),
+f AS (SELECT case_id, program, list_distinct(list_transform(regexp_extract_all(section, '(?i)\bRp\.?\s*([0-9][0-9.,\s]*)(?:,-|,00)?', 1), lambda x: regexp_replace(x, '\D', '', 'g'))) AS found, CASE program WHEN 'PKH Plus' THEN ['250000', '500000'] ELSE [] END::VARCHAR[] AS allowed, regexp_matches(lower(section), 'nominal\s+tidak\s+(tersebut|disebut|ditemukan)') AS denied
+ FROM s WHERE regexp_matches(section, 'STATUS: (ELIGIBLE|MUNGKIN)')),
+g AS (SELECT *, list_filter(found, lambda x: NOT list_contains(allowed, x)) AS extra, list_filter(allowed, lambda x: NOT list_contains(found, x)) AS lacking FROM f),
+r AS (SELECT case_id, avg(CASE WHEN len(extra) > 0 THEN 0 WHEN len(allowed) = 0 THEN 1 WHEN denied THEN 0 ELSE 1 - len(lacking)::DOUBLE / len(allowed) END) AS score, count(*) AS checks,
+ string_agg(array_to_string(list_concat(list_transform(list_sort(extra), lambda x: 'nominal:' || program || ':unsupported_' || x), list_transform(list_sort(lacking), lambda x: 'nominal:' || program || ':missing_' || x), CASE WHEN denied AND len(allowed) > 0 THEN ['nominal:' || program || ':contradiction'] ELSE [] END), ' '), ' ' ORDER BY program) AS failed FROM g GROUP BY case_id)
+SELECT a.case_id, coalesce(score, 1)::DOUBLE AS score, coalesce(checks, 0) AS checks, regexp_replace(trim(coalesce(failed, '')), ' +', ' ', 'g') AS failed FROM a LEFT JOIN r USING (case_id)""")
 def e8(spark, d):
-    k = F.col("doc_id") % 3
-    found = X.amounts(F.when(k == 0, "Rp 500.000 dan Rp 250.000").when(k == 1, "Rp 500.000").otherwise("Rp 1"))
-    return chunks(spark, d).select("doc_id", A.nominal_score(found, F.array(F.lit("500000"), F.lit("250000")), F.lit(False)).alias("score"))
+    catalog = spark.createDataFrame([("PKH Plus", "500000"), ("PKH Plus", "250000")], "program string, amount string")
+    scores = A.nominal_scores(_scored_answers(spark, d), catalog, {"PKH Plus": ["pkh plus"], "ASPD": ["aspd"]})
+    return scores.withColumn("failed", F.array_join("failed", " "))
 
 
 @query("e9_overall_score", "SELECT doc_id, round(0.40 * q + 0.30 * (1 - t) + 0.20 * 1 + 0.10 * q, 6)::DOUBLE AS score FROM (SELECT doc_id, quality AS q, toxic AS t FROM labels)")

@@ -42,16 +42,15 @@ def _embedded(text):
 
 
 def _table(spark, d):
-    """A table filled with the even rows, into which every third row is put in two rounds."""
+    """A table filled with the even rows, into which every third row is put."""
     table = S.PointTable(spark, S.shared_folder(spark, "points"), buckets=16)
     points = S.points_of(_chunks(spark, d), _embedded, rules=RULES, tags=TAGS)
     table.upsert(points.filter("doc_id % 2 = 0"), "doc_id")
-    table.upsert(points.filter("doc_id % 3 = 0 and doc_id % 6 <> 0"), "doc_id")
-    table.upsert(points.filter("doc_id % 6 = 0"), "doc_id")
+    table.upsert(points.filter("doc_id % 3 = 0"), "doc_id")
     return table
 
 
-_T = f"""WITH c AS (SELECT doc_id, text, source, coalesce(lang, '') AS lang, CASE WHEN doc_id % 2 = 1 THEN 1 WHEN doc_id % 6 = 0 THEN 2 ELSE 0 END AS round, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(text)) AS h,
+_T = f"""WITH c AS (SELECT doc_id, text, source, coalesce(lang, '') AS lang, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS round, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(text)) AS h,
  list_filter([CASE WHEN regexp_matches(text, '(?i)the|der') THEN '[b]' END, CASE WHEN regexp_matches(text, '(?i)que') THEN '[a]' END, CASE WHEN source = 'src3' THEN '[c]' END], lambda x: x IS NOT NULL) AS t
  FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0),
 a AS (SELECT *, {_UUID} AS id, md5(text || CASE WHEN len(t) > 0 THEN chr(10) || array_to_string(list_sort(t), ' ') ELSE '' END) AS v FROM c),

@@ -220,9 +220,43 @@ def p8(spark, d):
     return chunks(spark, d).select("doc_id", X.is_severe(F.when(F.col("doc_id") % 2 == 0, "Sama sekali tidak bisa").otherwise("tidak membutuhkan bantuan")).alias("severe"))
 
 
-@query("p9_retrieval_query", _S + " SELECT profile_id, 'syarat kriteria sasaran penerima bantuan sosial: usia ' || age || ' tahun' || CASE WHEN age >= 70 THEN ' lanjut usia 70 tahun ke atas' ELSE '' END || ' desil ' || decile || ' DTSEN DTKS' || CASE WHEN disability THEN ' penyandang disabilitas' ELSE '' END AS query FROM s")
+def _pick(n, *texts):
+    return F.element_at(F.array(*map(F.lit, texts)), (F.pmod(n, F.lit(len(texts))) + 1).cast("int"))
+
+
+def _mixed_profiles(spark, d):
+    """Profiles as JSON, nested and flat, with empty and zero fields; as lines; and whole texts."""
+    i = F.col("doc_id")
+    n = lambda c: c.cast("string")
+    age, name, hard = _pick(i, "0", "null", '"71"', "65", '"tua"', "72.5"), _pick(i, "Budi", "Ibu Siti", "Nibung"), _pick(i, "", "banyak kesulitan", "mandiri")
+    nested = F.concat(
+        F.lit('{"laporan_evaluasi": {"profil_warga": {"umur": '), age, F.lit(', "nama": "'), name, F.lit('", "hubungan_kepala_keluarga": "'), _pick(i, "Istri", "Anak"), F.lit('"}, "analisis": {"disabilitas_fungsi": "'), hard,
+        F.lit('"}}, "parameter": {"desil_nasional": '), _pick(i, "0", "3", '"5"', "null"), F.lit(', "status_dtsekolah": "'), _pick(i, "DTSEN Aktif", "", "dtks lama"), F.lit('", "lokasi": "'), _pick(i, "", " Kec. Genteng, Surabaya "),
+        F.lit('"}, "umur": '), n(i % 90), F.lit(', "desil_nasional": '), n(i % 11), F.lit("}"),
+    )
+    flat = F.concat(F.lit('{"umur": '), n(i % 80), F.lit(', "disabilitas": {"jalan": "'), _pick(i, "tidak bisa jalan", "bisa"), F.lit('", "lihat": null}, "nama": "'), name, F.lit('"}'), F.when(i % 13 == 0, "}").otherwise(""))
+    lines = F.concat(F.lit("- Umur : "), n(i % 100), F.lit(" tahun | Desil Nasional : "), n(i % 9), F.lit("\n- "), _pick(i, "Status : terdaftar DTKS", "Status : DTSEN", "Alamat Kelurahan Ngagel, Kota Surabaya 5; x", "sama sekali tidak bisa"))
+    return chunks(spark, d).select("doc_id", F.when(i % 4 == 0, nested).when(i % 4 == 1, flat).when(i % 4 == 2, lines).otherwise(F.col("text")).alias("profile"))
+
+
+_MIXED = r"""WITH m AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('{"laporan_evaluasi": {"profil_warga": {"umur": ', ['0', 'null', '"71"', '65', '"tua"', '72.5'][doc_id % 6 + 1], ', "nama": "', ['Budi', 'Ibu Siti', 'Nibung'][doc_id % 3 + 1], '", "hubungan_kepala_keluarga": "', ['Istri', 'Anak'][doc_id % 2 + 1], '"}, "analisis": {"disabilitas_fungsi": "', ['', 'banyak kesulitan', 'mandiri'][doc_id % 3 + 1],
+ '"}}, "parameter": {"desil_nasional": ', ['0', '3', '"5"', 'null'][doc_id % 4 + 1], ', "status_dtsekolah": "', ['DTSEN Aktif', '', 'dtks lama'][doc_id % 3 + 1], '", "lokasi": "', ['', ' Kec. Genteng, Surabaya '][doc_id % 2 + 1], '"}, "umur": ', doc_id % 90, ', "desil_nasional": ', doc_id % 11, '}')
+ WHEN 1 THEN concat('{"umur": ', doc_id % 80, ', "disabilitas": {"jalan": "', ['tidak bisa jalan', 'bisa'][doc_id % 2 + 1], '", "lihat": null}, "nama": "', ['Budi', 'Ibu Siti', 'Nibung'][doc_id % 3 + 1], '"}', CASE WHEN doc_id % 13 = 0 THEN '}' ELSE '' END)
+ WHEN 2 THEN concat('- Umur : ', doc_id % 100, ' tahun | Desil Nasional : ', doc_id % 9, chr(10), '- ', ['Status : terdaftar DTKS', 'Status : DTSEN', 'Alamat Kelurahan Ngagel, Kota Surabaya 5; x', 'sama sekali tidak bisa'][doc_id % 4 + 1]) ELSE text END AS profile FROM documents),
+j AS (SELECT *, CASE WHEN json_valid(profile) THEN profile::JSON END AS j FROM m),
+f AS (SELECT *, list_filter([j->'$.laporan_evaluasi.profil_warga.umur', j->'$.umur'], lambda x: x IS NOT NULL AND x::VARCHAR NOT IN ('null', '0', '0.0', '""', 'false'))[1] AS age, list_filter([j->>'$.parameter.desil_nasional', j->>'$.desil_nasional'], lambda x: x IS NOT NULL AND x NOT IN ('0', ''))[1] AS decile,
+ lower(coalesce(j->>'$.parameter.status_dtsekolah', '')) AS registry, lower(concat_ws(' ', coalesce(nullif(j->>'$.laporan_evaluasi.profil_warga.nama', ''), j->>'$.nama'), j->>'$.laporan_evaluasi.profil_warga.hubungan_kepala_keluarga')) AS names,
+ lower(concat_ws(' ', j->>'$.disabilitas.jalan', j->>'$.laporan_evaluasi.analisis.disabilitas_fungsi')) AS hard, substr(trim(coalesce(j->>'$.parameter.lokasi', '')), 1, 80) AS place, lower(profile) AS low FROM j),
+a AS (SELECT *, CASE WHEN j IS NULL THEN nullif(regexp_extract(low, '(\d+)\s*tahun', 1), '')::INT WHEN age::VARCHAR LIKE '"%' THEN TRY_CAST(age->>'$' AS INT) ELSE trunc(TRY_CAST(age::VARCHAR AS DOUBLE))::INT END AS years, CASE WHEN j IS NULL THEN low ELSE hard END AS hard_in, CASE WHEN j IS NULL THEN low ELSE names END AS names_in FROM f),
+t AS (SELECT *, list_filter(['usia ' || years || ' tahun', CASE WHEN years >= 70 THEN 'lanjut usia 70 tahun ke atas' END, 'desil ' || CASE WHEN j IS NULL THEN nullif(regexp_extract(low, 'desil\s*(?:nasional)?\s*[:\-]?\s*(\d+)', 1), '') ELSE decile END,
+ CASE WHEN j IS NULL AND regexp_matches(low, 'dtsen aktif|dtks aktif|terdaftar dtks|terdaftar dtsen') OR j IS NOT NULL AND contains(registry, 'aktif') THEN 'terdaftar DTSEN DTKS' WHEN regexp_matches(CASE WHEN j IS NULL THEN low ELSE registry END, 'dtsen|dtks') THEN 'DTSEN DTKS' END,
+ CASE WHEN regexp_matches(hard_in, 'banyak kesulitan|beberapa kesulitan|tidak bisa|tidak mampu') THEN 'penyandang disabilitas' END, CASE WHEN regexp_matches(names_in, '\bperempuan\b|\bistri\b|\bibu\b') THEN 'perempuan' END,
+ nullif(CASE WHEN j IS NULL THEN substr(trim(regexp_extract(profile, '(?i)(?:kec\.?|kecamatan|kelurahan|kabupaten|kota)\s+[\w\s,]+')), 1, 80) ELSE place END, '')], lambda x: x IS NOT NULL) AS parts FROM a)"""
+
+
+@query("p9_retrieval_query", _MIXED + " SELECT doc_id, 'syarat kriteria sasaran penerima bantuan sosial' || CASE WHEN len(parts) > 0 THEN ': ' || array_to_string(parts, ' ') ELSE ' ' || trim(substr(profile, 1, 300), ' ' || chr(10)) END AS query FROM t")
 def p9(spark, d):
-    return _profiles(spark, d, 0).select("profile_id", G.retrieval_query(F.col("profile")).alias("query"))
+    return _mixed_profiles(spark, d).select("doc_id", G.retrieval_query(F.col("profile")).alias("query"))
 
 
 @query("p10_is_profile", "SELECT doc_id AS profile_id, doc_id % 2 = 0 AS is_profile FROM documents")
@@ -236,10 +270,39 @@ def p11(spark, d):
     return _profiles(spark, d).select("profile_id", F.coalesce(F.size(G.inferred_sources(G.signals(F.col("profile")))), F.lit(0)).alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
 
 
-@query("p14_no_existing_aid", "SELECT doc_id, doc_id % 3 <> 1 AS none FROM documents")
+_AID = (chr(34) + "-" + chr(34), '" Tidak ADA "', '"PKH"', "[]", '["x"]', "null", '""', "7", "{}", '"belum\\u0020menerima"')
+
+
+def _aided(spark, d):
+    """Profiles whose field of existing aid stands at several depths, in objects and lists, behind nulls, or in a line."""
+    i = F.col("doc_id")
+    a, b = _pick(i, *_AID), _pick(F.floor(i / 7), *_AID)
+    text = F.to_json(F.struct("text"))
+    t = (
+        F.when(i % 6 == 0, F.concat(F.lit('{"a": {"Bansos": '), a, F.lit(', "x": {"bansos": "-"}}, "b": [1, {"bantuan_sosial": '), b, F.lit("}]}")))
+        .when(i % 6 == 1, F.concat(F.lit('{"p": [{"n": "bansos"}, {" BANSOS ": '), a, F.lit('}], "bansos": '), b, F.lit("}")))
+        .when(i % 6 == 2, F.concat(F.lit('[{"q": '), text, F.lit('}, {"bantuan sosial": '), a, F.lit("}]")))
+        .when(i % 6 == 3, F.concat(F.lit("Nama: x\n  - Bansos : "), F.regexp_replace(a, '"', "")))
+        .when(i % 6 == 4, F.concat(F.lit('{"bansos": '), a, F.lit("}}\nbansos: -")))
+        .otherwise(text)
+    )
+    return chunks(spark, d).select("doc_id", t.alias("profile"))
+
+
+_AIDS = "[" + ", ".join("'" + x + "'" for x in _AID) + "]"
+
+
+@query("p14_no_existing_aid", rf"""WITH p AS (SELECT doc_id, {_AIDS}[doc_id % 10 + 1] AS a, {_AIDS}[doc_id // 7 % 10 + 1] AS b, json_object('text', text)::VARCHAR AS t FROM documents),
+m AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{{"a": {{"Bansos": ' || a || ', "x": {{"bansos": "-"}}}}, "b": [1, {{"bantuan_sosial": ' || b || '}}]}}' WHEN 1 THEN '{{"p": [{{"n": "bansos"}}, {{" BANSOS ": ' || a || '}}], "bansos": ' || b || '}}'
+ WHEN 2 THEN '[{{"q": ' || t || '}}, {{"bantuan sosial": ' || a || '}}]' WHEN 3 THEN 'Nama: x' || chr(10) || '  - Bansos : ' || replace(a, '"', '') WHEN 4 THEN '{{"bansos": ' || a || '}}}}' || chr(10) || 'bansos: -' ELSE t END AS profile FROM p),
+j AS (SELECT doc_id, profile, CASE WHEN json_valid(profile) THEN profile::JSON END AS j FROM m),
+k AS (SELECT doc_id, x.id, x.path, x.type, x.value, x.atom FROM j, json_tree(j) x WHERE lower(trim(x.key)) IN ('bansos', 'bantuan_sosial', 'bantuan sosial') AND x.path NOT LIKE '%]' OR lower(trim(x.key)) IN ('bansos', 'bantuan_sosial', 'bantuan sosial')),
+h AS (SELECT doc_id, arg_min(CASE WHEN type = 'VARCHAR' THEN lower(trim(value->>'$')) IN ('', '-', '[]', 'null', 'none', 'tidak ada', 'belum ada', 'belum menerima', 'belum mendapatkan', 'tidak menerima') ELSE type = 'ARRAY' AND json_array_length(value) = 0 END, id) AS none
+ FROM k WHERE type <> 'NULL' AND NOT EXISTS (SELECT 1 FROM k n WHERE n.doc_id = k.doc_id AND n.type = 'NULL' AND n.id < k.id AND starts_with(k.path || '.', n.path || '.')) GROUP BY doc_id),
+l AS (SELECT doc_id, regexp_matches(profile, '(?im)^\s*-?\s*bansos\s*:') AND lower(trim(regexp_extract(profile, '(?im)^\s*-?\s*bansos\s*:\s*([^\r\n]*)', 1))) IN ('', '-', '[]', 'null', 'none', 'tidak ada', 'belum ada', 'belum menerima', 'belum mendapatkan', 'tidak menerima') AS none FROM m)
+SELECT l.doc_id, coalesce(h.none, l.none) AS none FROM l LEFT JOIN h USING (doc_id)""")
 def p14(spark, d):
-    t = F.when(F.col("doc_id") % 3 == 0, "- Nama : x\n- Bansos : -").when(F.col("doc_id") % 3 == 1, "- Bansos : BPNT").otherwise("Bansos: belum menerima")
-    return chunks(spark, d).select("doc_id", G.no_existing_aid(t).alias("none"))
+    return _aided(spark, d).select("doc_id", G.no_existing_aid(F.col("profile")).alias("none"))
 
 
 @query("p15_key_points", _S + " SELECT profile_id, age >= 70 AS elderly FROM s")

@@ -14,6 +14,8 @@ from ..functions import fixed
 from ..functions import text as X
 
 BUCKETS = 64
+#: Updates from which a key may be hot, and the most hot keys.
+HOT_ROWS, MOST_HOT = 1_000, 10_000
 #: The title of a page whose extraction failed: a fixed value.
 FAILED_TITLE = "Ekstraksi Gagal"
 
@@ -63,9 +65,12 @@ class PointTable:
     def _bucketed(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("_bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
 
-    def _write(self, rows: DataFrame, path: str) -> None:
-        writer = rows.repartition(self.buckets, "_bucket").write.partitionBy("_bucket").mode("overwrite")
-        writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    def _write(self, dealt: DataFrame, path: str) -> None:
+        """Rows that are dealt by bucket already."""
+        dealt.write.partitionBy("_bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return self._bucketed(rows).repartition(self.buckets, "_bucket")
 
     def _stored(self) -> DataFrame:
         return self.spark.read.option("basePath", self.path).parquet(self.path)
@@ -90,7 +95,7 @@ class PointTable:
     def replace(self, rows: DataFrame) -> None:
         """Write beside the table, then swap; the old table stays as it is until then."""
         fresh = f"{self.path}.{uuid.uuid4().hex}"
-        self._write(self._bucketed(rows), fresh)
+        self._write(self._dealt(rows), fresh)
         self._declare(rows.schema, fresh)
         self.drop()
         if not self._fs.rename(self._p(fresh), self._p(self.path)):
@@ -103,49 +108,53 @@ class PointTable:
         self.replace(rows)
         return True
 
-    def _rewrite(self, touched: list[int], rows: DataFrame) -> None:
-        """``rows`` take the place of all rows of the touched buckets."""
-        rows = self._bucketed(rows)
-        full = {r[0] for r in rows.select("_bucket").distinct().collect()} if touched else set()  # at most `buckets` numbers
-        if full:
-            self._write(rows, self.path)
-        for b in touched:  # an overwrite leaves folders alone that get no row
-            if b not in full:
-                self._fs.delete(self._p(f"{self.path}/_bucket={b}"), True)
+    def _buckets_of(self, keys: DataFrame) -> list[int]:
+        return sorted(r[0] for r in self._bucketed(keys.select(self.key)).select("_bucket").distinct().collect())  # at most `buckets`
 
-    def _touched(self, keys: DataFrame) -> list[int]:
-        return sorted(r[0] for r in self._bucketed(keys.select(self.key)).select("_bucket").distinct().collect())
+    def _settled(self, ranked: DataFrame) -> DataFrame:
+        """Updates (with ``_rank``) without those of hot keys that others overwrite, so that no bucket gets
+        them. A key is hot from a ten-thousandth of all updates on; so at most ten thousand are, and their
+        last ranks, found by a partial aggregation over keys and ranks, are broadcast."""
+        sizes = ranked.groupBy(F.col(self.key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"), F.max("_rank").alias("_last"))
+        rows = ranked.count()
+        hot = sizes.filter(F.col("_n") >= max(HOT_ROWS, rows // MOST_HOT)).select("_hot", "_last")
+        met = ranked.join(F.broadcast(hot), F.col(self.key) == F.col("_hot"), "left")
+        return met.filter(F.col("_last").isNull() | (F.col("_rank") == F.col("_last"))).drop("_hot", "_last")
 
     def upsert(self, updates: DataFrame, order: str) -> list[int]:
         """V1: of each key the last update by ``order`` takes the place of what the table holds.
 
-        Equal orders go by a hash of the row. Updates of one key are combined before they are shuffled,
-        so a key with very many updates is no hot task. Rows with a null key are left out. A table that
-        is not there is made. Returns the numbers of the buckets rewritten.
+        Equal orders go by a hash of the row. Whole rows move once: what the touched buckets hold and the
+        updates are dealt by bucket, and the last row of each key is found and written where it lands.
+        Rows with a null key are left out. A table that is not there is made. Returns the numbers of the
+        buckets rewritten.
         """
         columns = updates.columns
-        everything = F.struct(*[F.col(c) for c in columns])
-        hashed = F.xxhash64(*[F.map_entries(c).alias(c) if t.startswith("map") else F.col(c) for c, t in updates.dtypes])
-        rank = F.struct(F.col(order), hashed)
-        last = updates.filter(F.col(self.key).isNotNull()).groupBy(F.col(self.key).alias("_key")).agg(F.max_by(everything, rank).alias("_row")).select("_row.*")
         if not self.exists():
             self.ensure(updates.schema)
-        touched = self._touched(last)
+        sound = updates.filter(F.col(self.key).isNotNull())
+        touched = self._buckets_of(sound)
         if touched:
-            self._rewrite(touched, self._merged(touched, last).select(*columns))
+            hashed = F.xxhash64(*[F.map_entries(c) if t.startswith("map") else F.col(c) for c, t in updates.dtypes])
+            ranked = self._settled(sound.withColumn("_rank", F.struct(F.lit(1).alias("turn"), F.col(order).alias("order"), hashed.alias("hash"))))
+            old = self._stored().filter(F.col("_bucket").isin(touched)).drop("_bucket")
+            stored = old.withColumn("_rank", F.struct(F.lit(0).alias("turn"), F.lit(None).cast(updates.schema[order].dataType).alias("order"), F.lit(0).cast("long").alias("hash")))
+            both = self._dealt(stored.unionByName(ranked, allowMissingColumns=True))
+            last = both.groupBy("_bucket", F.col(self.key).alias("_key")).agg(F.max_by(F.struct(*columns), F.col("_rank")).alias("_row"))
+            self._write(last.select("_row.*", "_bucket"), self.path)
         return touched
 
-    def _merged(self, touched: list[int], last: DataFrame) -> DataFrame:
-        old = self._stored().filter(F.col("_bucket").isin(touched)).drop("_bucket")
-        return old.join(last.select(self.key), self.key, "left_anti").unionByName(last, allowMissingColumns=True)
-
     def delete(self, where: Column) -> list[int]:
         """V5: rows that meet the condition go; those for which it is null stay."""
-        stored = self._stored()
-        hit = F.coalesce(where, F.lit(False))
-        touched = sorted(r[0] for r in stored.filter(hit).select("_bucket").distinct().collect())
-        self._rewrite(touched, stored.filter(F.col("_bucket").isin(touched) & ~hit).drop("_bucket"))
-        return touched
+        stored, hit = self._stored(), F.coalesce(where, F.lit(False))
+        sizes = stored.groupBy("_bucket").agg(F.count_if(hit).alias("gone"), F.count_if(~hit).alias("left"))
+        touched = {r["_bucket"]: r["left"] for r in sizes.filter("gone > 0").collect()}  # at most `buckets` rows
+        full, empty = [b for b, n in touched.items() if n], [b for b, n in touched.items() if not n]
+        if full:
+            self._write(stored.filter(F.col("_bucket").isin(full) & ~hit).repartition(self.buckets, "_bucket"), self.path)
+        for b in empty:  # an overwrite leaves folders alone that get no row
+            self._fs.delete(self._p(f"{self.path}/_bucket={b}"), True)
+        return sorted(touched)
 
 
 def _field(v: Column, path: str, kind: str) -> Column:

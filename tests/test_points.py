@@ -43,6 +43,15 @@ def test_upsert_rewrites_touched_buckets_only(spark, table, tmp_path):
     assert table.upsert(spark.createDataFrame([], SCHEMA), "n") == [] and stored(table) == sorted(want.values())
 
 
+def test_hot_keys_are_settled_first(spark, table, monkeypatch):
+    monkeypatch.setattr(S, "HOT_ROWS", 10)
+    rows = [("hot", k % 50, f"t{k}") for k in range(300)] + [(f"k{k}", k, "x") for k in range(40)] + [("hot", 99, "last")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("_rank", F.struct("n", "t"))
+    assert table._settled(df).count() == 41
+    table.upsert(df.drop("_rank"), "n")
+    assert stored(table) == sorted([("hot", 99, "last"), *[(f"k{k}", k, "x") for k in range(40)]])
+
+
 def test_delete_empties_buckets(spark, table, tmp_path):
     table.upsert(spark.createDataFrame([(f"k{k}", k, None if k % 3 else "t") for k in range(60)], SCHEMA), "n")
     before = files(tmp_path)
