@@ -125,12 +125,20 @@ def test_columns_of_chunks(spark):
 def test_lines_and_hierarchy(spark):
     kinds = values(spark, lambda t: F.concat_ws("/", X.line_class(t)["level"], X.line_class(t)["label"], X.line_class(t)["rest"]), "BAB II - UMUM", "Pasal 3.", "Pasal KESATU : isi", "KEDUA BELAS", "2.000 orang", "(4) isi", "b. isi", "isi", "Bagian Kesatu")
     assert kinds == ["bab/BAB II/UMUM", "pasal/Pasal 3/", "diktum/Diktum KESATU/isi", "diktum/Diktum KEDUA BELAS/", "ayat/2/000 orang", "ayat/4/isi", "huruf/b/isi", "none//isi", "bagian/Bagian Kesatu/"]
-    own = A.line_classes()
-    assert [own(t) for t in ("BAB II - UMUM", "Pasal KESATU : isi", "2.000 orang", "(4) isi", "b. isi")] == [("bab", "BAB II", "UMUM"), ("diktum", "Diktum KESATU", "isi"), ("ayat", "2", "000 orang"), ("ayat", "4", "isi"), ("huruf", "b", "isi")]
+    def units_of(*pages):
+        rows = [("D", p + 1, n, x) for p, xs in enumerate(pages) for n, x in enumerate(xs)]
+        df = spark.createDataFrame(rows, "document string, page int, line_no int, line string").repartition(3)
+        return [(r.text, r.chapter, r.article, r.clause, r.page) for r in A.hierarchy(df).orderBy("row").collect()]
+
     doc = ["judul", "Menimbang : x", "BAB I", "KETENTUAN", "UMUM", "Pasal 1", "Isi satu", "(1) masih isi.", "(2) ayat dua.", "PRESIDEN", "Pasal 2", "Sesuai dengan pasal", "Pasal 9", "akhir.", "Ditetapkan di Surabaya", "lain"]
-    units = list(A.parse_document([(1, x) for x in doc], own))
-    assert [(u[0], u[2], u[3]) for u in units] == [("Isi satu (1) masih isi.", "1", ""), ("ayat dua.", "1", "2"), ("Sesuai dengan pasal Pasal 9 akhir.", "2", "")]
-    assert units[0][1] == "BAB I – KETENTUAN UMUM"
+    title = "BAB I – KETENTUAN UMUM"
+    assert units_of(doc) == [("Isi satu (1) masih isi.", title, "1", "", 1), ("ayat dua.", title, "1", "2", 1), ("Sesuai dengan pasal Pasal 9 akhir.", title, "2", "", 1)]
+    # A part passes its next line over; decrees must rise; clauses under a decree stay; a preamble stops all until a heading.
+    doc = ["(1) x.", "KEDUA : dua.", "KESATU : bukan.", "(2) tetap.", "a. huruf;", "Bagian Kesatu", "Ketentuan", ".: KETIGA", "KETIGA : tiga.", "Mengingat : y", "hilang.", "BAB II – PENUTUP", "isi bab.", "KESATU : ulang"]
+    assert units_of(doc[:6], doc[6:]) == [
+        ("dua. KESATU : bukan. (2) tetap. a. huruf; KETIGA", "", "KEDUA", "", 1), ("tiga.", "", "KETIGA", "", 2), ("isi bab.", "BAB II – PENUTUP", "", "", 2), ("ulang", "BAB II – PENUTUP", "KESATU", "", 2)]
+    assert units_of(["BAB I", "Bagian Kesatu", "lewat", "(1) satu.", "2) bukan", "(31 tiga.", "", None, "- 5 -"]) == [("satu. 2) bukan (3) tiga.", "BAB I", "", "1", 1)]
+    assert units_of(["tanpa", "(1) judul."]) == []
     assert values(spark, X.category, "Transaksi", "SOP x", "Laporan", "UU") == ["Pedoman Program (Rencana Kerja & Aksi)", "Juknis (Petunjuk Teknis & SOP)", "Data dan Laporan Analisis", "Regulasi (Aturan Hukum & Payung Kebijakan)"]
 
 
