@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking as C
+from ..operators import cleaning as K
 from ..sources import jsonl as J
 from .profiles import chunks
 
@@ -279,27 +279,48 @@ def t20(spark, d):
     return chunks(spark, d).select("doc_id", F.md5(X.evaluator_text(F.col("text"))).alias("h"))
 
 
-def clean(df, types=TYPES, policy=POLICY, size: int = 2000, overlap: int = 500):
-    """Rows (doc_id, text, source, page, title) to clean chunks, in the pipeline's order."""
-    # explode_outer() over one struct: what is below is computed once, and no filter is pushed through it.
-    tidy = F.explode_outer(F.array(F.struct(X.strip_fences(F.col("text")).alias("text"), X.clean_title(F.col("title")).alias("title"))))
-    raw = df.filter(~X.is_error_row(F.col("text"), F.col("title"))).select(*[c for c in df.columns if c not in ("text", "title")], tidy.alias("_tidy")).select("*", "_tidy.*").drop("_tidy")
-    raw = raw.filter(F.length(X.strip(F.col("text"))) >= 20)
-    long = F.when(F.length("text") > size, F.col("text"))  # only long texts go to Python
-    raw = raw.withColumn("_long", C.recursive_split(long, size, overlap))
-    parts = F.when(F.length("text") > size, F.col("_long")).otherwise(F.array("text"))
-    subs = raw.select("*", F.posexplode_outer(C.merge_small(parts)).alias("idx", "sub")).drop("_long", "text").filter("sub is not null")
-    subs = subs.filter(~X.skip_subchunk(F.col("sub"), policy)).withColumn("text", X.context_prefix(F.col("sub"), F.col("source"), F.col("page"), F.col("title")))
-    first = F.row_number().over(Window.partitionBy(X.content_hash(F.col("text"))).orderBy("doc_id", "idx"))
-    kept = subs.withColumn("_r", first).filter("_r = 1").drop("_r").withColumn("types", X.classify(F.col("sub"), types, []))
-    kept = kept.withColumn("flags", X.quality_flags(F.col("sub"), F.col("types"), policy))
-    return kept.withColumn("primary_type", F.col("types")[0]).withColumn("priority", X.priority(F.col("flags"))).drop("sub")
-
-
 @query("t16_clean_pipeline")
 def t16(spark, d):
     rows = chunks(spark, d).select("doc_id", "text", "source", (F.col("doc_id") % 7 + 1).alias("page"), F.lit("").alias("title"))
-    return clean(rows).select("doc_id", "idx", F.md5("text").alias("h"), "types", "flags", "primary_type", "priority")
+    return K.clean(rows, types=TYPES, policy=POLICY, whole=[]).select("doc_id", "idx", F.md5("text").alias("h"), "types", "flags", "primary_type", "priority")
+
+
+def _unclean(spark, d):
+    """Whole texts, some fenced, failed or short, with sources and pages that equal texts share."""
+    i, t = F.col("doc_id"), F.col("text")
+    text = F.when(i % 13 == 0, F.concat(F.lit("```markdown\n"), t, F.lit("\n```"))).when(i % 19 == 0, F.concat(t, F.lit(" Gagal memuat menggunakan Vision LLM"))).when(i % 23 == 0, F.substring(t, 1, 12)).when(i % 29 == 0, "1.234,50 / 2.000 - (30) : 4.000").otherwise(t)
+    title = F.when(i % 17 == 0, "Ekstraksi Gagal").when(F.length("text") % 2 == 0, " ## 12 ").otherwise(F.concat(F.lit("## T"), "lang", F.lit(" *")))
+    return chunks(spark, d).select("doc_id", text.alias("text"), F.concat(F.lit("s"), F.length("text") % 5).alias("source"), (F.length("text") % 3).alias("page"), title.alias("title"))
+
+
+_CLEAN = rf"""WITH r AS (SELECT doc_id, doc_id % 19 = 0 AND doc_id % 13 <> 0 OR doc_id % 17 = 0 AS failed, doc_id % 13 = 0 AS fenced, CASE WHEN doc_id % 13 = 0 THEN text WHEN doc_id % 23 = 0 THEN trim(substr(text, 1, 12), ' ' || chr(10)) WHEN doc_id % 29 = 0 THEN '1.234,50 / 2.000 - (30) : 4.000' ELSE text END AS text,
+ concat('s', length(text) % 5) AS source, concat('[Sumber: s', length(text) % 5, ' | Hal. ', length(text) % 3, CASE WHEN length(text) % 2 = 0 THEN '' ELSE ' | T' || lang END, ']', chr(10)) AS prefix, doc_id % 23 = 0 AND doc_id % 13 <> 0 AND doc_id % 19 <> 0 AND length(trim(substr(text, 1, 12))) <> length(substr(text, 1, 12)) AS trimmed FROM documents),
+s AS (SELECT *, length(text) < 20 AS short, CASE WHEN NOT failed AND length(text) >= 20 THEN list_transform(generate_series(0, greatest(length(text) - 501, 0), 1500), lambda i: trim(substr(text, (i + 1)::BIGINT, 2000), ' ' || chr(10))) END AS parts FROM r),
+p AS (SELECT doc_id, fenced OR trimmed AS fenced, source, prefix, len(parts) AS total, unnest(parts) AS text, generate_subscripts(parts, 1) - 1 AS idx FROM s WHERE parts IS NOT NULL),
+c AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM p),
+k AS (SELECT *, length(c) < 20 OR regexp_full_match(c, '[\d\s.,:/()\-]+') OR length(c) < 80 AND NOT regexp_matches(c, '(?i)of the|und der|que de') AS tiny FROM c),
+h AS (SELECT *, CASE WHEN tiny THEN 'tiny' WHEN row_number() OVER (PARTITION BY tiny, trim(regexp_replace(lower(prefix || text), '\s+', ' ', 'g')) ORDER BY doc_id, idx) > 1 THEN 'duplicate' ELSE 'kept' END AS stage, {_LABELS} AS l FROM k),
+g AS (SELECT *, CASE WHEN len(l) > 0 THEN l ELSE ['lainnya'] END AS types, list_filter([CASE WHEN length(c) < 220 THEN 'pendek' END, CASE WHEN c = '' OR len(string_split(c, ' ')) < 20 THEN 'fragmen' END, CASE WHEN len(l) = 0 THEN 'tipe_tidak_terdeteksi' END, CASE WHEN NOT regexp_matches(c, '(?i)of the|und der|que de') THEN 'sinyal_kebijakan_lemah' END], lambda x: x IS NOT NULL) AS flags FROM h)"""
+
+_PROGRAMS = {"s1": "One", "s2": "Two"}
+
+
+def _fixed(text):
+    return C.fixed_split(text, 2000, 500)
+
+
+@query("t16_clean_fixed_split", _CLEAN + " SELECT doc_id, idx::INT AS idx, md5(prefix || text) AS h, types, flags, types[1] AS primary_type, CASE WHEN len(flags) > 0 THEN 'low' ELSE 'normal' END AS priority, CASE source WHEN 's1' THEN 'One' WHEN 's2' THEN 'Two' END AS program, CASE WHEN total > 1 THEN total::INT END AS total_chunks FROM g WHERE stage = 'kept'")
+def t16_fixed(spark, d):
+    """All of T16 over splits that SQL can make."""
+    found = K.clean(_unclean(spark, d), _fixed, types=TYPES, policy=POLICY, whole=[], programs=_PROGRAMS)
+    return found.select("doc_id", "idx", F.md5("text").alias("h"), "types", "flags", "primary_type", "priority", "program", "total_chunks")
+
+
+@query("a19_cleaning_counters", _CLEAN + """ SELECT (SELECT count(*) FROM s WHERE failed) AS error_removed, (SELECT count(*) FROM s WHERE NOT failed AND (fenced OR trimmed)) AS fence_cleaned, (SELECT count(*) FROM s WHERE NOT failed AND short) AS short_removed,
+ count_if(idx = 0 AND total > 1) AS resplit, coalesce(sum(total) FILTER (idx = 0 AND total > 1), 0)::BIGINT AS resplit_new_chunks, count_if(stage = 'tiny') AS tiny_skipped, count_if(stage <> 'tiny') AS prefix_added, count_if(stage = 'duplicate') AS dupes_removed,
+ count_if(stage = 'kept' AND len(flags) > 0) AS low_priority, count_if(stage = 'kept' AND types[1] = 'lainnya') AS tipe_lainnya, count_if(stage = 'kept' AND source IN ('s1', 's2')) AS program_tagged, count_if(stage = 'kept') AS final FROM g""")
+def a19(spark, d):
+    return K.counters(K.staged(_unclean(spark, d), _fixed, TYPES, POLICY, [], _PROGRAMS))
 
 
 @query("c1_recursive_split")

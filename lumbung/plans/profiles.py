@@ -144,15 +144,6 @@ def a18(spark, d):
     return P.label_distribution(tagged(spark, d), "types", ["fr_article", "en_article"])
 
 
-@query("a19_cleaning_counters", "SELECT stage, count(*) AS n FROM (SELECT CASE WHEN length(text) < 20 THEN 'tiny' WHEN r > 1 THEN 'duplicate' WHEN length(text) > 2000 THEN 'resplit' ELSE 'kept' END AS stage FROM (SELECT text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents)) GROUP BY stage")
-def a19(spark, d):
-    from pyspark.sql import Window
-
-    n, r = F.length("text"), F.row_number().over(Window.partitionBy("text").orderBy("doc_id"))
-    staged = chunks(spark, d).withColumn("r", r).select(F.when(n < 20, "tiny").when(F.col("r") > 1, "duplicate").when(n > 2000, "resplit").otherwise("kept").alias("stage"))
-    return staged.groupBy("stage").agg(F.count("*").alias("n"))
-
-
 @query("a20_length_histogram", "SELECT least(floor((n - lo) * 40 / greatest(hi - lo, 1)), 39)::INT AS bin, count(*) AS n FROM (SELECT length(text) AS n, min(length(text)) OVER () AS lo, max(length(text)) OVER () AS hi FROM documents) GROUP BY bin")
 def a20(spark, d):
     return P.length_histogram(chunks(spark, d))
