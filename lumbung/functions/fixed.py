@@ -139,3 +139,16 @@ DECISION = r"\b(?:status|keputusan)\s*:?\s*\**\s*(tidak\s+eligible|non[-\s]+elig
 
 #: Where a text's lines end.
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+#: Metadata that every chunk must have, that chunks of main sources must have, those sources, and the priorities.
+CORE_FIELDS = ("sumber", "page_number")
+CLEAN_FIELDS = ("nama_bansos", "tipe_konten", "tipe_konten_primer", "retrieval_priority")
+MAIN_SOURCES = (
+    "Juklak ASPD Tahun 202620260225_12303533_01.pdf",
+    "JUKNIS KEMISKINAN EKSTREM (13-1-2025)-1 (1) (2).pdf",
+    "JUKNIS PKH PLUS 2026.pdf",
+    "PETUNJUK TEKNIS KIP KPM JAWARA.pdf",
+    "Petunjuk Teknis KIP PPKS Jawara 2026.pdf",
+    "PETUNJUK TEKNIS KIP PUTRI JAWARA.pdf",
+)
+PRIORITIES = ("normal", "low")

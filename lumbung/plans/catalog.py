@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that hold QUERIES and ORACLES.
-MODULES = ["profiles", "cleaning", "points", "serving", "answering", "requirements", "extras"]
+MODULES = ["profiles", "reports", "cleaning", "points", "serving", "answering", "requirements", "extras"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}

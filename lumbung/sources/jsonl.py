@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, whole_json
+from ..functions.text import let, strip, whole_json
 
 
-def line_outcome(line: Column) -> Column:
-    """Blank, invalid_json, invalid_schema or row: an object with a string text and an object metadata."""
-    v = whole_json(strip(line))
+def _parsed(lines: DataFrame) -> DataFrame:
+    """The lines with ``_line``, stripped, and ``_v``, its JSON, each made once a row however often it is
+    used: no projection is merged through the explode of one struct."""
+    own = lines.withColumn("_s", F.explode_outer(F.array(F.struct(strip(F.col("value")).alias("line"))))).withColumn("_line", F.col("_s.line")).drop("_s")
+    return own.withColumn("_s", F.explode_outer(F.array(F.struct(whole_json(F.col("_line")).alias("v"))))).withColumn("_v", F.col("_s.v")).drop("_s")
+
+
+def line_outcome(line: Column, v: Column | None = None) -> Column:
+    """Blank, invalid_json, invalid_schema or row: an object with a string text and an object metadata.
+    ``v`` is the stripped line's JSON, if that is there already."""
+    if v is None:
+        return let(strip(line), lambda x: let(whole_json(x), lambda j: line_outcome(x, j)))
 
     def kind(path: str) -> Column:
         return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("none"))
 
     return (
-        F.when(strip(line) == "", "blank")
+        F.when(line == "", "blank")
         .when(v.isNull(), "invalid_json")
         .when(~F.startswith(F.schema_of_variant(v), F.lit("OBJECT<")) | (kind("$.text") != "STRING") | ~F.startswith(kind("$.metadata"), F.lit("OBJECT<")), "invalid_schema")
         .otherwise("row")
@@ -25,11 +34,9 @@ def line_outcome(line: Column) -> Column:
 
 def scan_strict(lines: DataFrame) -> DataFrame:
     """The lines (column ``value``) with their outcome, text and metadata as JSON text."""
-    v = whole_json(strip(F.col("value")))
-    ok = F.col("outcome") == "row"
-    return lines.withColumn("outcome", line_outcome(F.col("value"))).filter("outcome != 'blank'").select(
-        *lines.columns, "outcome", F.when(ok, F.try_variant_get(v, "$.text", "string")).alias("text"), F.when(ok, F.to_json(F.try_variant_get(v, "$.metadata", "variant"))).alias("metadata")
-    )
+    v, ok = F.col("_v"), F.col("outcome") == "row"
+    found = _parsed(lines).withColumn("outcome", line_outcome(F.col("_line"), v)).filter("outcome != 'blank'")
+    return found.select(*lines.columns, "outcome", F.when(ok, F.try_variant_get(v, "$.text", "string")).alias("text"), F.when(ok, F.to_json(F.try_variant_get(v, "$.metadata", "variant"))).alias("metadata"))
 
 
 def scan_lenient(lines: DataFrame) -> DataFrame:
