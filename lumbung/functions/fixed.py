@@ -152,3 +152,35 @@ MAIN_SOURCES = (
     "PETUNJUK TEKNIS KIP PUTRI JAWARA.pdf",
 )
 PRIORITIES = ("normal", "low")
+
+#: Titles of pages without one, read in two halves, and read natively after all.
+UNTITLED, SPLIT_TITLE, NATIVE_TITLE = "Tabel/Diagram", "Halaman Split", "Fallback Digital"
+
+#: Sentences of an answer that is made without a model, with {age} and {decile} to be filled in.
+ELDERLY_FITS = (
+    "Warga berusia {age} tahun memenuhi syarat minimum lansia 70 tahun ke atas sesuai Juknis PKH Plus 2026 Pasal Sasaran Penerima. "
+    "Desil nasional {decile} masuk klaster prioritas 1–4 dan status DTSEN tercatat aktif."
+)
+ELDERLY_FAILS = {
+    "lead": "Tidak memenuhi kriteria PKH Plus: ",
+    "young": "usia warga {age} tahun belum memenuhi syarat minimum 70 tahun yang ditetapkan Juknis PKH Plus 2026",
+    "no_age": "data usia warga tidak terdeteksi dari profil",
+    "decile": "desil nasional {decile} berada di luar klaster prioritas 1–4 PKH Plus",
+    "status": "status DTSEN tidak aktif atau tidak terdeteksi",
+    "none": "Profil warga tidak memenuhi kriteria sasaran PKH Plus (Lanjut Usia 70+).",
+}
+DISABILITY_FITS = (
+    "Warga memiliki indikasi hambatan fungsi/disabilitas yang tercatat pada profil, usia {age} tahun masuk rentang sasaran ASPD (hingga 60 tahun), "
+    "dan desil nasional {decile} masuk klaster prioritas sesuai Juklak ASPD 2026."
+)
+DISABILITY_FAILS = {
+    "lead": "Tidak memenuhi kriteria ASPD: ",
+    "able": "tidak ditemukan indikasi hambatan fungsi/disabilitas pada profil warga (semua dimensi fungsional: 'Tidak mengalami kesulitan')",
+    "old": "usia warga {age} tahun melebihi batas atas sasaran ASPD",
+    "decile": "desil nasional {decile} berada di luar klaster prioritas ASPD",
+    "none": "Profil warga tidak memenuhi kriteria sasaran ASPD berdasarkan data yang tersedia.",
+}
+FIELD_PLAN = (
+    "Rencana aksi operasional dan pendampingan di lapangan untuk program {programs}. Penyaluran bantuan akan dikoordinasikan oleh Dinas Sosial Provinsi Jawa Timur "
+    "bersama pihak kelurahan/kecamatan setempat, serta dilakukan monitoring dan evaluasi berkala untuk memastikan bantuan tepat sasaran."
+)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -262,6 +264,60 @@ def fallback(s: Column) -> Column:
     )
 
 
+def _filled(template: str, **values: Column) -> Column:
+    """A sentence with its named gaps filled; null if a value is."""
+    out = []
+    for i, part in enumerate(re.split(r"\{(\w+)\}", template)):
+        out.append(values[part].cast("string") if i % 2 else F.lit(part))
+    return F.concat(*out)
+
+
+def fallback_answers(profiles: DataFrame, citations: DataFrame | None = None) -> DataFrame:
+    """An answer without a model, as rows: profile_id, program, list, rank, status, source, reason,
+    summary, plan.
+
+    ``profiles``: profile_id and profile; score_elderly and score_disabled, where there, end the reasons.
+    Each profile has a row for either program: recommended in the fixed order with the citation of its
+    source (``citations``: profile_id, source, citation; else the source itself), or unsuitable with every
+    condition that fails. ``summary`` names the signals, or repeats the first 500 characters without any;
+    ``plan`` names the recommended programs, null without one. Null profiles have no signals.
+    """
+    scores = [F.col(c).cast("string") if c in profiles.columns else F.lit(None).cast("string") for c in ("score_elderly", "score_disabled")]
+    # explode_outer() over one struct: signals are found once a row, however many fields are used.
+    once = F.struct(F.coalesce("profile", F.lit("")).alias("profile"), scores[0].alias("_s0"), scores[1].alias("_s1"), signals(F.col("profile")).alias("s"))
+    own = profiles.select("profile_id", F.explode_outer(F.array(once)).alias("_o")).select("profile_id", "_o.*")
+    s, age, decile = F.col("s"), F.col("s.age"), F.col("s.decile")
+    values = {"age": age, "decile": decile}
+    ok = fallback(s)
+    active = F.coalesce(F.contains(F.lower(s["status"]), F.lit("aktif")), F.lit(False))
+    told = F.concat_ws("; ", F.concat(F.lit("umur "), age.cast("string"), F.lit(" tahun")), F.concat(F.lit("desil nasional "), decile.cast("string")), F.nullif(s["status"], F.lit("")), F.nullif(s["place"], F.lit("")))
+    summary = F.when(told != "", F.concat(F.lit("Profil warga: "), told)).otherwise(F.substring("profile", 1, 500))
+
+    def failing(texts: dict[str, str], **conditions: Column) -> Column:
+        said = F.concat_ws("; ", *[F.when(c, _filled(texts[k], **values)) for k, c in conditions.items()])
+        return F.when(said != "", F.concat(F.lit(texts["lead"]), said, F.lit("."))).otherwise(F.lit(texts["none"]))
+
+    elder = failing(fixed.ELDERLY_FAILS, young=F.coalesce(age < 70, F.lit(False)), no_age=age.isNull(), decile=F.coalesce(decile > 4, F.lit(False)), status=~active)
+    disabled = failing(fixed.DISABILITY_FAILS, able=~F.coalesce(s["disability"], F.lit(False)), old=F.coalesce(age > 60, F.lit(False)), decile=F.coalesce(decile > 5, F.lit(False)))
+    rows = [
+        (fixed.ELDERLY_PROGRAM, fixed.ELDERLY_SOURCE, ok["elderly"], F.when(ok["elderly"], _filled(fixed.ELDERLY_FITS, **values)).otherwise(elder), F.col("_s0")),
+        (fixed.DISABILITY_PROGRAM, fixed.DISABILITY_SOURCE, ok["disabled"], F.when(ok["disabled"], _filled(fixed.DISABILITY_FITS, **values)).otherwise(disabled), F.col("_s1")),
+    ]
+    each = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(p).alias("program"), F.lit(src).alias("source"), fits.alias("fits"), F.concat(why, F.coalesce(F.concat(F.lit(" Skor Tim 1: "), score, F.lit(".")), F.lit(""))).alias("reason")) for i, (p, src, fits, why, score) in enumerate(rows)])
+    fitting = F.transform(F.filter(each, lambda x: x["fits"]), lambda x: x["program"])
+    head, tail = fixed.FIELD_PLAN.split("{programs}")
+    plan = F.when(F.size(fitting) > 0, F.concat(F.lit(head), F.array_join(fitting, ", "), F.lit(tail)))
+    flat = own.select("profile_id", summary.alias("summary"), plan.alias("plan"), fitting.alias("_fit"), F.explode(each).alias("x")).select("profile_id", "summary", "plan", "_fit", "x.*")
+    if citations is not None:
+        flat = flat.join(citations.select("profile_id", "source", "citation"), ["profile_id", "source"], "left")
+    cited = F.coalesce("citation", "source") if citations is not None else F.col("source")
+    fits = F.col("fits")
+    return flat.select(
+        "profile_id", "program", F.when(fits, "recommended").otherwise("unsuitable").alias("list"), F.when(fits, F.array_position("_fit", F.col("program")).cast("int")).alias("rank"), F.when(fits, "ELIGIBLE").otherwise("TIDAK_ELIGIBLE").alias("status"),
+        F.when(fits, cited).alias("source"), "reason", "summary", "plan",
+    )
+
+
 def enforce(answers: DataFrame, rules: DataFrame, key: str = "profile_id") -> DataFrame:
     """A model's lists (key, list, program, place) under the rules: programs unknown to the rules go;
     an eligible program is recommended, another is not, whatever the model said. Recommended programs

@@ -71,7 +71,14 @@ _FILES = "WITH f AS (SELECT DISTINCT source || '.jsonl' AS name FROM documents U
 def s5(spark, d):
     s = chunks(spark, d).select("source").distinct()
     files = s.select(F.concat("source", F.lit(".jsonl")).alias("name")).unionByName(s.filter("source like '%1%'").select(F.concat("source", F.lit("_normalized.jsonl")).alias("name")))
-    return J.ingest_files(files)
+    return J.ingest_files(files).select("name")
+
+
+@query("s5_all_files", _FILES + " SELECT name, row_number() OVER (ORDER BY name)::INT AS place FROM (SELECT DISTINCT name FROM f)")
+def s5_all(spark, d):
+    s = chunks(spark, d).select("source").distinct()
+    files = s.select(F.concat("source", F.lit(".jsonl")).alias("name")).unionByName(s.filter("source like '%1%'").select(F.concat("source", F.lit("_normalized.jsonl")).alias("name")))
+    return J.ingest_files(files.unionByName(files), mode="all")
 
 
 @query("s6_document_explode", "SELECT source, count(*) AS items FROM documents WHERE doc_id % 3 <> 0 GROUP BY source")
@@ -98,6 +105,33 @@ def s11(spark, d):
     return chunks(spark, d).select("doc_id", J.first_success([a, b], F.col("text")).alias("won")).withColumn("won", F.when(F.length("won") > 6, "native").otherwise(F.col("won")))
 
 
+def _failing(spark, d):
+    """Pages that are whole texts, with attempts that fail at each rung by several hashes, and pages known to fail."""
+    i = F.col("doc_id")
+    pages = chunks(spark, d).select(i, F.col("source").alias("document"), i.alias("page"), F.when(i % 3 == 0, F.substring("text", 1, 49)).otherwise(F.col("text")).alias("native"))
+    rungs = [("2.0", i % 2 == 0), ("1.5", i % 5 == 0), ("1.0", i % 7 == 0), ("half-1", i % 4 == 0), ("half-2", i % 11 < 6)]
+    each = F.array(*[F.struct(F.lit(r).alias("rung"), F.when(ok, F.concat(F.lit("[JUDUL]: J"), i % 9, F.lit(f"\n[KONTEN]: {r} "), F.col("native"))).alias("raw"), F.when(~ok, F.lit(f"e{r}")).alias("error")) for r, ok in rungs])
+    tried = pages.filter(i % 13 != 0).select("document", "page", F.explode(each).alias("a")).select("document", "page", "a.rung", J.titled_response(F.col("a.raw"), F.col("page"), F.col("a.error")).alias("r"))
+    return pages, tried.select("document", "page", "rung", "r.title", "r.content"), pages.filter(i % 6 == 0).select("document", "page")
+
+
+@query("s11_retry_ladder", r"""WITH p AS (SELECT doc_id AS i, source AS document, trim(CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 49) ELSE text END, ' ' || chr(10)) AS native FROM documents),
+w AS (SELECT *, CASE WHEN i % 13 = 0 THEN CASE WHEN length(native) >= 50 THEN 'native' ELSE 'none' END WHEN i % 2 = 0 AND i % 6 <> 0 THEN '2.0' WHEN i % 5 = 0 THEN '1.5' WHEN i % 7 = 0 THEN '1.0' WHEN i % 4 = 0 AND i % 11 < 6 THEN 'halves' WHEN length(native) >= 50 THEN 'native' ELSE 'none' END AS rung FROM p)
+SELECT document, i AS page, rung, rung <> 'none' AS ok, CASE rung WHEN 'none' THEN 'Ekstraksi Gagal' WHEN 'native' THEN 'Fallback Digital' WHEN 'halves' THEN 'Halaman Split' ELSE 'J' || (i % 9) END AS title,
+ md5(CASE rung WHEN 'none' THEN CASE WHEN i % 13 = 0 THEN '' ELSE '[Halaman ' || i || '] Gagal memuat menggunakan Vision LLM: e1.0' END WHEN 'native' THEN native WHEN 'halves' THEN '[BAGIAN-1]' || chr(10) || 'half-1 ' || native || chr(10) || chr(10) || '[BAGIAN-2]' || chr(10) || 'half-2 ' || native ELSE rung || ' ' || native END) AS content FROM w""")
+def s11_ladder(spark, d):
+    pages, tried, failed = _failing(spark, d)
+    return J.resolved_pages(pages, tried, failed).select("document", "page", "rung", "ok", "title", F.md5("content").alias("content"))
+
+
+@query("s9_route_with_failures", "SELECT coalesce(a.source, b.source) AS document, round(m, 6) AS mean_length, CASE WHEN (coalesce(u, false) OR m IS NULL OR m < 2200) AND NOT coalesce(o, false) THEN 'ocr' ELSE 'native' END AS route FROM (SELECT source, avg(length(trim(text, chr(10) || ' '))) AS m FROM documents GROUP BY source) a FULL JOIN (SELECT DISTINCT source, doc_id % 2 = 0 AS u, doc_id % 3 = 0 AS o FROM documents WHERE doc_id BETWEEN 3 AND 9 UNION ALL SELECT 'void', true, false) b ON a.source = b.source")
+def s9_failures(spark, d):
+    docs = chunks(spark, d)
+    problems = docs.filter("doc_id between 3 and 9").select(F.col("source").alias("document"), (F.col("doc_id") % 2 == 0).alias("unreadable"), (F.col("doc_id") % 3 == 0).alias("ocr_failed")).distinct()
+    problems = problems.unionByName(spark.createDataFrame([("void", True, False)], problems.schema))
+    return J.page_route(docs.withColumnRenamed("source", "document"), "document", 2200.0, problems).withColumn("mean_length", F.round("mean_length", 6))
+
+
 @query("s12_cached_pages", "SELECT source, doc_id % 7 AS page, arg_max(md5(text), doc_id) AS hash FROM documents WHERE lang = 'en' GROUP BY ALL")
 def s12(spark, d):
     rows = chunks(spark, d).select("source", (F.col("doc_id") % 7).alias("page"), F.col("lang").alias("method"), "text", "doc_id")

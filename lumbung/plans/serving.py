@@ -352,6 +352,18 @@ def g4(spark, d):
     return _profiles(spark, d).select("profile_id", G.fallback(G.signals(F.col("profile"))).alias("f")).select("profile_id", "f.elderly", "f.disabled")
 
 
+@query("g4_fallback_answers", _S + """, f AS (SELECT *, age >= 70 AND decile <= 4 AND contains(lower(status), 'aktif') AS elderly, disability AND age <= 60 AND decile <= 5 AS disabled FROM s),
+r AS (SELECT profile_id, 'PKH Plus (Lanjut Usia 70+)' AS program, elderly AS fits, CASE WHEN elderly THEN concat('Warga berusia ', age, ' tahun memenuhi syarat minimum lansia 70 tahun ke atas sesuai Juknis PKH Plus 2026 Pasal Sasaran Penerima. Desil nasional ', decile, ' masuk klaster prioritas 1–4 dan status DTSEN tercatat aktif.')
+  ELSE concat('Tidak memenuhi kriteria PKH Plus: ', concat_ws('; ', CASE WHEN age < 70 THEN concat('usia warga ', age, ' tahun belum memenuhi syarat minimum 70 tahun yang ditetapkan Juknis PKH Plus 2026') END, CASE WHEN decile > 4 THEN concat('desil nasional ', decile, ' berada di luar klaster prioritas 1–4 PKH Plus') END, CASE WHEN NOT contains(lower(status), 'aktif') THEN 'status DTSEN tidak aktif atau tidak terdeteksi' END), '.') END AS reason FROM f
+ UNION ALL SELECT profile_id, 'Asistensi Sosial Penyandang Disabilitas (ASPD)', disabled, CASE WHEN disabled THEN concat('Warga memiliki indikasi hambatan fungsi/disabilitas yang tercatat pada profil, usia ', age, ' tahun masuk rentang sasaran ASPD (hingga 60 tahun), dan desil nasional ', decile, ' masuk klaster prioritas sesuai Juklak ASPD 2026.')
+  ELSE concat('Tidak memenuhi kriteria ASPD: ', concat_ws('; ', CASE WHEN NOT disability THEN 'tidak ditemukan indikasi hambatan fungsi/disabilitas pada profil warga (semua dimensi fungsional: ''Tidak mengalami kesulitan'')' END, CASE WHEN age > 60 THEN concat('usia warga ', age, ' tahun melebihi batas atas sasaran ASPD') END, CASE WHEN decile > 5 THEN concat('desil nasional ', decile, ' berada di luar klaster prioritas ASPD') END), '.') END FROM f)
+SELECT profile_id, program, CASE WHEN fits THEN 'recommended' ELSE 'unsuitable' END AS list, CASE WHEN fits THEN 1 END AS rank, md5(reason) AS reason, bool_or(fits) OVER (PARTITION BY profile_id) AS planned FROM r""")
+def g4_answers(spark, d):
+    """The two programs exclude each other by age, so a recommended one is the first."""
+    rows = G.fallback_answers(_profiles(spark, d))
+    return rows.select("profile_id", "program", "list", "rank", F.md5("reason").alias("reason"), F.col("plan").isNotNull().alias("planned"))
+
+
 @query("g5_upstream_flag", "SELECT doc_id, doc_id % 4 = 0 OR doc_id % 4 = 3 AS eligible FROM documents")
 def g5(spark, d):
     k = F.col("doc_id") % 4

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.text import let, strip, whole_json
 
 
@@ -59,10 +60,16 @@ def scan_fail_fast(lines: DataFrame, path: Column, number: Column) -> DataFrame:
     return lines.filter(strip(F.col("value")) != "").withColumn("json", json)
 
 
-def ingest_files(files: DataFrame, suffix: str = "_normalized", extension: str = ".jsonl") -> DataFrame:
-    """Files (column ``name``) less those that have a normalised twin."""
-    twin = F.concat(F.regexp_replace("name", r"\.jsonl$", ""), F.lit(suffix + extension))
-    return files.withColumn("_twin", twin).join(files.select(F.col("name").alias("_twin")), "_twin", "left_anti").select(*files.columns)
+def ingest_files(files: DataFrame, suffix: str = "_normalized", extension: str = ".jsonl", mode: str = "auto") -> DataFrame:
+    """Files (column ``name``) with the extension, with their ``place`` in order of name: in mode ``all``
+    every one, else less those that have a normalised twin. Names that come twice count once."""
+    found = files.filter(F.endswith("name", F.lit(extension))).dropDuplicates(["name"])
+    if mode != "all":
+        stem = F.substr("name", F.lit(1), F.length("name") - len(extension))
+        twins = found.select(F.col("name").alias("_twin"))
+        found = found.withColumn("_twin", F.concat(stem, F.lit(suffix + extension))).join(twins, "_twin", "left_anti").select(*files.columns)
+    # A file set is one row a file; its order is wanted as a whole.
+    return found.withColumn("place", F.row_number().over(Window.orderBy("name")))
 
 
 def explode_documents(documents: DataFrame) -> DataFrame:
@@ -74,22 +81,67 @@ def explode_documents(documents: DataFrame) -> DataFrame:
     return item.select(text.alias("text"), F.map_concat(own, "metadata").alias("metadata")).filter("text is not null and text != ''")
 
 
-def page_route(lines: DataFrame, document: str, threshold: float = 50.0) -> DataFrame:
-    """Documents with fewer than ``threshold`` characters a page are scans and go to OCR."""
-    return lines.groupBy(document).agg(F.avg(F.length(strip(F.col("text")))).alias("mean_length")).withColumn("route", F.when(F.col("mean_length") < threshold, "ocr").otherwise("native"))
+def page_route(lines: DataFrame, document: str, threshold: float = 50.0, problems: DataFrame | None = None) -> DataFrame:
+    """Documents with fewer than ``threshold`` characters a page are scans and go to OCR.
+
+    ``problems`` (document, unreadable, ocr_failed) adds documents that could not be opened or have no
+    pages: they go to OCR, too; where OCR itself fails, the native text is taken.
+    """
+    own = lines.groupBy(document).agg(F.avg(F.length(strip(F.coalesce("text", F.lit(""))))).alias("mean_length"))
+    if problems is None:
+        return own.withColumn("route", F.when(F.col("mean_length") < threshold, "ocr").otherwise("native"))
+    met = own.join(problems.select(document, "unreadable", "ocr_failed"), document, "full")
+    scan = F.coalesce("unreadable", F.lit(False)) | F.col("mean_length").isNull() | (F.col("mean_length") < threshold)
+    return met.select(document, "mean_length", F.when(scan & ~F.coalesce("ocr_failed", F.lit(False)), "ocr").otherwise("native").alias("route"))
 
 
-def titled_response(raw: Column) -> Column:
-    """Struct (title, content) of a page reader's answer with its two labels."""
+def titled_response(raw: Column, page: Column | None = None, error: Column | None = None) -> Column:
+    """Struct (title, content) of a page reader's answer with its two labels. Without a title label a
+    stated one stands. With ``error``, a reader's failure gives the failure's title and a sentence."""
     title = F.regexp_extract(raw, r"\[JUDUL\]:?\s*([^\n]*)", 1)
-    return F.struct(strip(title).alias("title"), strip(F.element_at(F.split(raw, r"\[KONTEN\]:?"), -1)).alias("content"))
+    titled = F.when(F.coalesce(raw, F.lit("")).rlike(r"\[JUDUL\]:"), strip(title)).otherwise(F.lit(fixed.UNTITLED))
+    content = strip(F.element_at(F.split(raw, r"\[KONTEN\]:?"), -1))
+    if error is None:
+        return F.struct((strip(title) if page is None else titled).alias("title"), content.alias("content"))
+    told = F.concat(F.lit("[Halaman "), page.cast("string"), F.lit("] "), F.lit(fixed.FAILED_TEXT), F.lit(": "), error)
+    return F.struct(F.when(error.isNotNull(), F.lit(fixed.FAILED_TITLE)).otherwise(titled).alias("title"), F.when(error.isNotNull(), told).otherwise(F.coalesce(content, F.lit(""))).alias("content"))
 
 
 def first_success(attempts: list[Column], native: Column, least: int = 50) -> Column:
-    """The first attempt that gave text, else the native text if long enough, else null."""
+    """S11 for attempts in columns: the first that gave text, else the native text if long enough, else null."""
     return F.coalesce(*[F.nullif(strip(a), F.lit("")) for a in attempts], F.when(F.length(strip(native)) >= least, native))
 
 
+#: The rungs of the retry ladder in order: scales of the page's image, and its two halves.
+SCALES, HALVES = ("2.0", "1.5", "1.0"), ("half-1", "half-2")
+
+
+def resolved_pages(pages: DataFrame, attempts: DataFrame, failed: DataFrame, least: int = 50) -> DataFrame:
+    """What each page (document, page, native) comes to, by the first rung of the ladder that holds.
+
+    ``attempts``: document, page, rung (of SCALES and HALVES), title, content; an attempt with the
+    failure's title has failed. Pages of ``failed`` (document, page), the checkpoint's failed ones, skip the
+    first scale. Then each scale in turn; both halves, joined under their names; the native text if it has
+    at least ``least`` characters; else the page fails, and says what the last scale said. A rung that was
+    tried more than once counts by its greatest content. Columns: document, page, title, content, rung, ok.
+    """
+    key = ["document", "page"]
+    ok = F.col("title") != fixed.FAILED_TITLE
+    said = F.struct(ok.alias("ok"), "title", "content")
+    tried = attempts.groupBy(*key).agg(*[F.max(F.when(F.col("rung") == r, said)).alias(r) for r in (*SCALES, *HALVES)])
+    known = failed.select(*key).distinct().withColumn("_known", F.lit(True))
+    met = pages.select(*key, "native").join(tried, key, "left").join(known, key, "left")
+    at = lambda r: F.col(f"`{r}`")
+    use = {r: F.when(at(r)["ok"] & (F.lit(r != SCALES[0]) | F.col("_known").isNull()), F.struct(at(r)["title"].alias("title"), at(r)["content"].alias("content"), F.lit(r).alias("rung"))) for r in SCALES}
+    halves = F.concat_ws("\n\n", *[F.concat(F.lit(f"[BAGIAN-{i + 1}]\n"), at(h)["content"]) for i, h in enumerate(HALVES)])
+    split = F.when(at(HALVES[0])["ok"] & at(HALVES[1])["ok"], F.struct(F.lit(fixed.SPLIT_TITLE).alias("title"), halves.alias("content"), F.lit("halves").alias("rung")))
+    native = strip(F.coalesce("native", F.lit("")))
+    digital = F.when(F.length(native) >= least, F.struct(F.lit(fixed.NATIVE_TITLE).alias("title"), native.alias("content"), F.lit("native").alias("rung")))
+    last = F.coalesce(*[at(r)["content"] for r in reversed(SCALES[1:])], F.when(F.col("_known").isNull(), at(SCALES[0])["content"]), F.lit(""))
+    lost = F.struct(F.lit(fixed.FAILED_TITLE).alias("title"), last.alias("content"), F.lit("none").alias("rung"))
+    return met.withColumn("_w", F.coalesce(*use.values(), split, digital, lost)).select(*key, "_w.*", (F.col("_w.rung") != "none").alias("ok"))
+
+
 def cached_pages(chunks: DataFrame, method: str, order: str, keys: list[str]) -> DataFrame:
     """The last row of each page that the given method read."""
     return chunks.filter(F.col("method") == method).groupBy(*keys).agg(F.max_by("text", order).alias("text"))
