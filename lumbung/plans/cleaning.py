@@ -367,7 +367,12 @@ def c2(spark, d):
     return chunks(spark, d).select("doc_id", F.posexplode(C.fixed_split(F.col("text"), 800, 150)).alias("idx", "c")).select("doc_id", F.col("idx").cast("long").alias("idx"), F.md5("c").alias("h"))
 
 
-@query("c3_hard_cap")
+_CAP = r"""WITH RECURSIVE c AS (SELECT doc_id, 0 AS idx, NULL::VARCHAR AS part, text AS rest FROM documents
+ UNION ALL SELECT doc_id, idx + 1, CASE WHEN length(rest) > 2000 THEN trim(substr(rest, 1, cut), ' ' || chr(10)) ELSE rest END, CASE WHEN length(rest) > 2000 THEN trim(substr(rest, cut + 1), ' ' || chr(10)) ELSE '' END
+ FROM (SELECT *, CASE WHEN n > 1 THEN n - 1 WHEN b > 1 THEN b - 1 ELSE 2000 END AS cut FROM (SELECT *, CASE WHEN contains(head, chr(10)) THEN 2001 - position(chr(10) IN reverse(head)) ELSE 0 END AS n, CASE WHEN contains(head, ' ') THEN 2001 - position(' ' IN reverse(head)) ELSE 0 END AS b FROM (SELECT *, substr(rest, 1, 2000) AS head FROM c WHERE rest <> ''))))"""
+
+
+@query("c3_hard_cap", _CAP + " SELECT doc_id, (idx - 1)::INT AS idx, part FROM c WHERE idx > 0")
 def c3(spark, d):
     return chunks(spark, d).select("doc_id", F.posexplode(C.hard_cap(F.col("text"))).alias("idx", "part"))
 
@@ -378,15 +383,20 @@ def c4(spark, d):
     return chunks(spark, d).select("doc_id", C.merge_small(parts).alias("parts"))
 
 
-@query("c5_page_tail")
+_TAIL = r"""WITH p AS (SELECT doc_id, source, text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(substr(text, greatest(length(text) - 399, 1)::BIGINT), '([.!?])\s+', '\1' || chr(1), 'g'), '\n', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents),
+w AS (SELECT doc_id, x, k, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY k DESC) AS total, max(k) OVER (PARTITION BY doc_id) AS last FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS k FROM p WHERE length(text) > 200)),
+t AS (SELECT p.doc_id, p.source, p.text, CASE WHEN length(p.text) <= 200 THEN p.text ELSE coalesce(j.tail, o.x) END AS tail FROM p LEFT JOIN (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS tail FROM w WHERE total <= 200 GROUP BY doc_id) j USING (doc_id) LEFT JOIN (SELECT doc_id, x FROM w WHERE k = last) o USING (doc_id))"""
+
+
+@query("c5_page_tail", _TAIL + " SELECT doc_id, tail FROM t")
 def c5(spark, d):
     return chunks(spark, d).select("doc_id", C.page_tail(F.col("text")).alias("tail"))
 
 
-@query("c6_page_carry")
+@query("c6_page_carry", _TAIL + ", b AS (SELECT *, lag(CASE WHEN doc_id % 4 <> 0 THEN tail END) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM t) SELECT source, doc_id AS page, md5(CASE WHEN doc_id % 4 <> 0 AND before IS NOT NULL AND before <> '' THEN before || chr(10) || text ELSE text END) AS carried FROM b")
 def c6(spark, d):
     pages = chunks(spark, d).select("source", F.col("doc_id").alias("page"), "text", (F.col("doc_id") % 4 == 0).alias("complex"))
-    return C.carry_tails(pages, "source", "page").select("source", "page", F.length("carried").alias("n"))
+    return C.carry_tails(pages, "source", "page").select("source", "page", F.md5("carried").alias("carried"))
 
 
 @query("c7_complex_pages", "SELECT page_id, list_filter([CASE WHEN t > 0 THEN t || ' Tabel' END, CASE WHEN n < 200 THEN 'Teks minim (' || n || ' char)' END, CASE WHEN n < 800 AND i > 0 THEN 'Gambar + Teks Sedikit' END], lambda x: x IS NOT NULL) AS reasons FROM (SELECT page_id, length(html) AS n, len(regexp_extract_all(html, '<table')) AS t, len(regexp_extract_all(html, '<img')) AS i FROM pages)")
