@@ -356,7 +356,7 @@ def test_sql_of_queries(spark):
 
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     queries = registry.queries()
     for name, sql in registry.oracle_sql().items():
