@@ -60,7 +60,8 @@ def strip_fences(text: Column) -> Column:
     out = strip(text)
     for step in steps:
         out = strip(out) if step is None else F.regexp_replace(out, *step)
-    return strip(out)
+    marked = text.contains("```") | text.contains("**") | text.contains("[JUDUL]") | text.contains("[KONTEN]")
+    return F.when(marked, strip(out)).otherwise(strip(text))  # without these no step finds anything
 
 
 def strip_backticks(text: Column) -> Column:
@@ -81,8 +82,7 @@ def is_error_row(text: Column, title: Column, failed_text: str = fixed.FAILED_TE
 
 def skip_subchunk(text: Column, policy: list[str] = fixed.POLICY_PATTERNS) -> Column:
     """Under 20 characters, only digits and marks, or under 80 without a policy signal."""
-    t = collapse(text)
-    return (F.length(t) < 20) | t.rlike(r"^[\d\s.,:/()\-]+$") | ((F.length(t) < 80) & ~matches_any(t, policy))
+    return let(collapse(text), lambda t: (F.length(t) < 20) | t.rlike(r"^[\d\s.,:/()\-]+$") | ((F.length(t) < 80) & ~matches_any(t, policy)))
 
 
 def keyword_hit(lower: Column, keyword: str, whole: list[str] = fixed.WHOLE_WORDS) -> Column:
@@ -145,13 +145,14 @@ def classify_plain(text: Column, types: dict = fixed.CONTENT_TYPES) -> Column:
 
 def quality_flags(text: Column, labels: Column, policy: list[str] = fixed.POLICY_PATTERNS) -> Column:
     """Short, fragment, type unknown, weak policy signal."""
-    t = collapse(text)
-    words = F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
-    flags = F.array(
-        F.when(F.length(t) < 220, "pendek"), F.when(words < 20, "fragmen"),
-        F.when((F.size(labels) == 1) & (labels[0] == fixed.NO_TYPE), "tipe_tidak_terdeteksi"), F.when(~matches_any(t, policy), "sinyal_kebijakan_lemah"),
-    )
-    return F.filter(flags, lambda x: x.isNotNull())
+    def told(t: Column) -> Column:
+        words = F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
+        return F.array(
+            F.when(F.length(t) < 220, "pendek"), F.when(words < 20, "fragmen"),
+            F.when((F.size(labels) == 1) & (labels[0] == fixed.NO_TYPE), "tipe_tidak_terdeteksi"), F.when(~matches_any(t, policy), "sinyal_kebijakan_lemah"),
+        )
+
+    return F.filter(let(collapse(text), told), lambda x: x.isNotNull())
 
 
 def priority(flags: Column) -> Column:
