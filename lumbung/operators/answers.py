@@ -217,14 +217,10 @@ def headed_parts(answer: Column, heading: str) -> Column:
     return F.transform(parts, lambda x: F.struct(F.array(*[F.regexp_extract(x, heading, i) for i in range(1, re.compile(heading).groups + 1)]).alias("head"), x.alias("body")))
 
 
-def program_statuses(answers: DataFrame, aliases: dict[str, list[str]] = fixed.PROGRAM_ALIASES) -> DataFrame:
-    """(case_id, program, status, section) for every program of each answer (case_id, answer).
-
-    A program's status is that of its last heading with a status; else of its first plain heading whose
-    text states a decision or speaks of a status; else the worst status spoken of around its aliases;
-    ``missing`` if it is not named at all. ``section`` is the heading's part of the answer, null without
-    one. An answer is never compared with another: all that moves is a row for each heading.
-    """
+def stated_sections(answers: DataFrame, aliases: dict[str, list[str]] = fixed.PROGRAM_ALIASES) -> DataFrame:
+    """(case_id, program, status, section) for the programs that headings of each answer (case_id,
+    answer) name: the last heading with a status; else the first plain heading whose text states a decision
+    or speaks of a status. ``section`` is the heading's part of the answer."""
     def found(heading: str) -> DataFrame:
         rows = answers.select("case_id", F.posexplode(headed_parts(F.col("answer"), heading)).alias("at", "part"))
         return rows.select("case_id", "at", X.program_name(F.col("part.head")[0], aliases).alias("program"), "part").filter("program is not null")
@@ -235,10 +231,21 @@ def program_statuses(answers: DataFrame, aliases: dict[str, list[str]] = fixed.P
     said = F.regexp_extract("text", fixed.DECISION, 1)
     plain = plain.withColumn("status", F.when(said != "", X.canonical_status(said)).otherwise(X.window_status(F.col("text")))).filter("status != 'unknown'")
     plain = plain.groupBy("case_id", "program").agg(F.min_by("status", "at").alias("plain"), F.min_by("part.body", "at").alias("plain_section"))
+    both = headed.join(plain, ["case_id", "program"], "full")
+    return both.select("case_id", "program", F.coalesce("headed", "plain").alias("status"), F.coalesce("headed_section", "plain_section").alias("section"))
+
+
+def program_statuses(answers: DataFrame, aliases: dict[str, list[str]] = fixed.PROGRAM_ALIASES) -> DataFrame:
+    """(case_id, program, status, section) for every program of each answer (case_id, answer).
+
+    A program's status is that of :func:`stated_sections`; without one, the worst status spoken of around
+    its aliases; ``missing`` if it is not named at all. ``section`` is null without a heading. An answer is
+    never compared with another: all that moves is a row for each heading.
+    """
     text = X.evaluator_text(F.col("answer"))
     spoken = F.array(*[F.struct(F.lit(name).alias("program"), detected_status(text, names).alias("spoken")) for name, names in aliases.items()])
-    out = answers.select("case_id", F.explode_outer(spoken).alias("x")).select("case_id", "x.*").join(headed, ["case_id", "program"], "left").join(plain, ["case_id", "program"], "left")
-    return out.select("case_id", "program", F.coalesce("headed", "plain", "spoken").alias("status"), F.coalesce("headed_section", "plain_section").alias("section"))
+    out = answers.select("case_id", F.explode_outer(spoken).alias("x")).select("case_id", "x.*").join(stated_sections(answers, aliases), ["case_id", "program"], "left")
+    return out.select("case_id", "program", F.coalesce("status", "spoken").alias("status"), "section")
 
 
 def evidence_score(answers: DataFrame, needs: DataFrame) -> DataFrame:
@@ -277,12 +284,12 @@ def nominal_score(found: Column, allowed: Column, denied: Column) -> Column:
 def nominal_scores(answers: DataFrame, catalog: DataFrame, aliases: dict[str, list[str]] = fixed.PROGRAM_ALIASES) -> DataFrame:
     """case_id, score, checks and failed of each answer (case_id, answer), from a catalog (program, amount).
 
-    The sections that :func:`program_statuses` finds meet the catalog by program. Only sections of
+    The sections that :func:`stated_sections` finds meet the catalog by program. Only sections of
     programs said to be eligible, or perhaps so, are scored; an answer's score is their mean, 1 without
     any. ``failed`` lists unsupported and missing amounts and denials, by program. A program that the
     catalog lacks allows no amount; with an empty catalog every answer scores 1.
     """
-    sections = program_statuses(answers, aliases).filter(F.col("section").isNotNull() & F.col("status").isin("eligible", "mungkin_eligible"))
+    sections = stated_sections(answers, aliases).filter(F.col("status").isin("eligible", "mungkin_eligible"))
     allowed = catalog.groupBy("program").agg(F.sort_array(F.collect_set("amount")).alias("allowed"))
     denied = F.lit(False)
     for words in ("nominal tidak tersebut", "nominal tidak disebut", "nominal tidak ditemukan"):
