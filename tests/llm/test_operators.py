@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumbung.llm import op1_imatch, op2_bpe_count, op3_covertree, op4_jaccard, op5_records, op6_langid, op7_mixing, op8_sharding, op9_packing, op10_substrings
@@ -170,6 +171,14 @@ def test_components_by_rounds(spark):
         assert {r.node: r.label for r in components(df, one_task=limit).collect() if r.node in nodes} == expected
 
 
+def test_rounds_of_components_keep_size_estimates_small(spark):
+    """The driver's estimate of a plan's size is about that of its rows, however many rounds of joins made them."""
+    links = spark.range(1, 400).select(F.expr("pmod(id * 7919, 1009)").alias("a"), F.expr("pmod((id - 1) * 7919, 1009)").alias("b"))
+    found = components(links, one_task=0)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1_000_000
+    assert {(r.node, r.label) for r in found.collect()} == {(r.node, r.label) for r in components(links).collect()}
+
+
 def test_op5(spark, docs, none, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
