@@ -14,16 +14,20 @@ from . import fixed
 
 #: White space as Python has it, for Java's regular expressions.
 WS = r"(?U)[\s\x1c-\x1f]"
-_EDGE = rf"{WS}+\z|\A{WS}+".replace(r"|\A(?U)", r"|\A")
+#: The same characters one by one, for trimming, and as classes that need no look at each one's kind.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_ODD = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space other than one blank.
+_RUN = rf"[{_ODD}][ {_ODD}]*| [ {_ODD}]+"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGE, "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def collapse(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"{WS}+", " "), "^ | $", "")
+    return F.btrim(F.regexp_replace(text, _RUN, " "), F.lit(" "))
 
 
 def content_hash(text: Column) -> Column:
@@ -228,10 +232,12 @@ def is_aid_amount(text: Column) -> Column:
 def amount_units(text: Column) -> Column:
     """The lines that are aid amounts; else the sentences; else the whole text."""
     def units(parts: Column) -> Column:
-        return F.filter(F.transform(parts, collapse), is_aid_amount)
+        # Collapsing moves no letter, so a part without these two has no amount after it, either.
+        return F.filter(F.transform(F.filter(parts, lambda x: x.rlike("(?i)rp")), collapse), is_aid_amount)
 
     lines, sentences = units(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")), units(F.split(text, r"(?U)(?<=[.;])\s+"))
-    return F.when(F.size(lines) > 0, lines).when(F.size(sentences) > 0, sentences).when(is_aid_amount(text), F.array(collapse(text))).otherwise(F.array().cast("array<string>"))
+    whole = F.when(is_aid_amount(text), F.array(collapse(text))).otherwise(F.array().cast("array<string>"))
+    return let(lines, lambda x: F.when(F.size(x) > 0, x).otherwise(let(sentences, lambda y: F.when(F.size(y) > 0, y).otherwise(whole))))
 
 
 def tag_set(tags: Column, primary: Column) -> Column:
@@ -321,7 +327,6 @@ def is_noise_line(line: Column) -> Column:
 
 def line_class(line: Column, ordinals: list[str] = fixed.ORDINALS) -> Column:
     """H3: struct (level, label, rest) of a line, the first pattern that matches."""
-    t = strip(line)
     names = "|".join(sorted(ordinals, key=len, reverse=True))
     chapter, part, article, clause, letter = fixed.CHAPTER_LINE, fixed.PART_LINE, fixed.ARTICLE_LINE, fixed.CLAUSE_LINE, fixed.LETTER_LINE
     decree = fixed.DECREE_LINE.replace("{names}", names)
@@ -331,7 +336,7 @@ def line_class(line: Column, ordinals: list[str] = fixed.ORDINALS) -> Column:
 
     x = F.regexp_extract
     none = F.lit("")
-    return (
+    return let(strip(line), lambda t: (
         F.when(t.rlike(chapter), row("bab", F.concat(F.lit("BAB "), x(t, chapter, 1)), x(t, chapter, 2)))
         .when(t.rlike(part), row("bagian", F.concat(F.lit("Bagian "), x(t, part, 1)), none))
         .when(t.rlike(article), row("pasal", F.concat(F.lit("Pasal "), x(t, article, 1)), none))
@@ -339,7 +344,7 @@ def line_class(line: Column, ordinals: list[str] = fixed.ORDINALS) -> Column:
         .when(t.rlike(clause), row("ayat", F.coalesce(F.nullif(x(t, clause, 1), F.lit("")), x(t, clause, 2)), x(t, clause, 3)))
         .when(t.rlike(letter), row("huruf", x(t, letter, 1), x(t, letter, 2)))
         .otherwise(row("none", none, t))
-    )
+    ))
 
 
 def context_path(chapter: Column, article: Column, clause: Column) -> Column:
@@ -360,9 +365,10 @@ def category(title: Column, groups: list = fixed.CATEGORIES, default: str = fixe
 
 def program_name(text: Column, aliases: dict[str, list[str]] = fixed.PROGRAM_ALIASES) -> Column:
     """The program whose longest alias the text holds; on a tie the larger name; else null."""
-    t = evaluator_text(text)
-    found = F.array(*[F.when(F.contains(t, F.lit(a)), F.struct(F.lit(len(a)).alias("n"), F.lit(name).alias("program"))) for name, names in aliases.items() for a in names])
-    return F.array_max(F.filter(found, lambda x: x.isNotNull()))["program"]
+    def named(t: Column) -> Column:
+        return F.array(*[F.when(F.contains(t, F.lit(a)), F.struct(F.lit(len(a)).alias("n"), F.lit(name).alias("program"))) for name, names in aliases.items() for a in names])
+
+    return F.array_max(F.filter(let(evaluator_text(text), named), lambda x: x.isNotNull()))["program"]
 
 
 def window_status(text: Column) -> Column:

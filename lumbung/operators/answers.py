@@ -199,13 +199,21 @@ def flat_spec(spec: Column) -> Column:
 
 def detected_status(text: Column, aliases: list[str], before: int = 220, after: int = 420) -> Column:
     """The worst status spoken of around any alias in a normalised answer; missing without one."""
-    found = F.lit(None)
     order = F.array(*map(F.lit, ("tidak_eligible", "mungkin_eligible", "eligible", "unknown")))
-    for alias in aliases:
-        pieces = F.split(text, re.escape(alias), -1)
-        ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda s, p: s + F.length(p)) + (i - 1) * len(alias))
-        ranks = F.transform(ends, lambda e: F.array_position(order, X.window_status(F.substring(text, F.greatest(e - before, F.lit(0)) + 1, F.least(e, F.lit(before)) + after))))
-        found = F.least(found, F.when(F.size(pieces) > 1, F.array_min(ranks)))
+
+    def worst(t: Column, alias: str) -> Column:
+        """Least rank around the alias, by one pass over the pieces between; each but the last ends at one."""
+        def step(s: Column, piece: Column) -> Column:
+            end = s["end"] + F.length(piece)
+            near = F.substring(t, F.greatest(end - before, F.lit(0)) + 1, F.least(end, F.lit(before)) + after)
+            return F.struct((end + len(alias)).alias("end"), F.least(s["rank"], F.array_position(order, X.window_status(near))).alias("rank"))
+
+        pieces = F.split(t, re.escape(alias), -1)
+        first = F.struct(F.lit(0).alias("end"), F.lit(None).cast("long").alias("rank"))
+        ranked = X.let(pieces, lambda p: F.aggregate(F.slice(p, 1, F.size(p) - 1), first, step, lambda s: s["rank"]))
+        return F.when(F.contains(t, F.lit(alias)), ranked)
+
+    found = X.let(text, lambda t: F.array_min(F.array(*[worst(t, a) for a in aliases])))
     return F.coalesce(F.get(order, found.cast("int") - 1), F.lit("missing"))
 
 
@@ -242,8 +250,10 @@ def program_statuses(answers: DataFrame, aliases: dict[str, list[str]] = fixed.P
     its aliases; ``missing`` if it is not named at all. ``section`` is null without a heading. An answer is
     never compared with another: all that moves is a row for each heading.
     """
-    text = X.evaluator_text(F.col("answer"))
-    spoken = F.array(*[F.struct(F.lit(name).alias("program"), detected_status(text, names).alias("spoken")) for name, names in aliases.items()])
+    def around(text: Column) -> Column:
+        return F.array(*[F.struct(F.lit(name).alias("program"), detected_status(text, names).alias("spoken")) for name, names in aliases.items()])
+
+    spoken = X.let(X.evaluator_text(F.col("answer")), around)
     out = answers.select("case_id", F.explode_outer(spoken).alias("x")).select("case_id", "x.*").join(stated_sections(answers, aliases), ["case_id", "program"], "left")
     return out.select("case_id", "program", F.coalesce("status", "spoken").alias("status"), "section")
 
