@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -23,7 +24,9 @@ def classified(lines: DataFrame, ordinals: list[str] = fixed.ORDINALS) -> DataFr
     bracket was misread are mended. The order in force compares the last words of labels, so a two-word
     ordinal counts by its second."""
     line = X.strip(F.regexp_replace(X.strip(F.col("line")), r"^\((\d+)[1lI|\]\}\)]\s+", "($1) "))
-    own = lines.withColumn("line", line).filter(F.coalesce(F.col("line") != "", F.lit(False)))
+    others = [c for c in lines.columns if c != "line"]
+    # explode() over one struct: the line is mended once, and no filter is pushed through it.
+    own = lines.select(*others, F.explode(F.array(F.struct(line.alias("line")))).alias("_l")).select(*others, "_l.line").filter(F.coalesce(F.col("line") != "", F.lit(False)))
     stop = F.col("line").rlike(fixed.STOP_LINE)
     dull = X.is_noise_line(F.col("line")) | F.col("line").rlike(fixed.PAGE_BREAK) | F.col("line").rlike(fixed.INTRO_LINE)
     table = F.create_map(*[F.lit(x) for kv in _SYMBOLS.items() for x in kv])
@@ -32,7 +35,7 @@ def classified(lines: DataFrame, ordinals: list[str] = fixed.ORDINALS) -> DataFr
     symbol = F.when(F.col("_stop"), "stop").when(F.col("line").rlike(fixed.PREAMBLE_LINE), "preamble").otherwise(table[F.col("_c.level")])
     last_word = F.upper(F.regexp_extract("_c.label", r"(\S+)$", 1))
     return own.select(
-        *[c for c in lines.columns if c != "line"], "line", symbol.alias("symbol"), F.col("_c.label").alias("label"), F.col("_c.rest").alias("rest"), F.coalesce(F.try_element_at(numbers, last_word), F.lit(0)).alias("number"),
+        *others, "line", symbol.alias("symbol"), F.col("_c.label").alias("label"), F.col("_c.rest").alias("rest"), F.coalesce(F.try_element_at(numbers, last_word), F.lit(0)).alias("number"),
         (~F.col("line").rlike(r"[.;:]$")).alias("open"), F.lower("line").rlike(f"(?:{'|'.join(fixed.CONNECTORS)})$").alias("leading"),
     )
 
@@ -112,25 +115,40 @@ class _Walk:
 def hierarchy(lines: DataFrame, ordinals: list[str] = fixed.ORDINALS) -> DataFrame:
     """H4: units of documents from lines (document, page, line_no, line, and part where lines were cut).
 
-    Lines are classified and thinned out by columns; what moves is what counts. A document is one group,
-    read in order by one task, since its modes feed back through the texts held: a clause is text while
-    the text held does not end in a mark; a heading after a connecting word is text, and so is one whose
-    ordinal does not rise. A stop line ends the document. Documents without a heading have no units.
+    Lines are classified and thinned out by columns; what moves is what counts. A document is read in
+    order by one task, since its modes feed back through the texts held: a clause is text while the text
+    held does not end in a mark; a heading after a connecting word is text, and so is one whose ordinal
+    does not rise. A task reads one document after the other and holds one's units. A stop line ends the
+    document. Documents without a heading have no units.
     """
     order = [c for c in ("page", "line_no", "part") if c in lines.columns]
 
-    def walk(group: pa.Table) -> pa.Table:
-        rows = group.sort_by([(c, "ascending") for c in order]).to_pylist()
-        done = _Walk()
-        for line in rows:
-            if line["symbol"] == "stop":
-                break
-            done.read(line)
-        done.end()
-        out = [{"document": rows[0]["document"], "row": i + 1, **u} for i, u in enumerate(done.units)]
-        return pa.Table.from_pylist(out, _SCHEMA)
-
-    return classified(lines.withColumn("page", F.col("page").cast("long")), ordinals).groupBy("document").applyInArrow(walk, _UNITS)
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, done, stopped, out = None, None, False, []
+
+        def close() -> None:
+            done.end()
+            out.extend({"document": document, "row": i + 1, **u} for i, u in enumerate(done.units))
+
+        for batch in batches:
+            for line in batch.to_pylist():
+                if done is None or line["document"] != document:
+                    if done is not None:
+                        close()
+                    document, done, stopped = line["document"], _Walk(), False
+                stopped = stopped or line["symbol"] == "stop"
+                if not stopped:
+                    done.read(line)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, _SCHEMA)
+                out.clear()
+        if done is not None:
+            close()
+            yield pa.RecordBatch.from_pylist(out, _SCHEMA)
+
+    found = classified(lines.withColumn("page", F.col("page").cast("long")), ordinals)
+    dealt = found.repartition("document").sortWithinPartitions("document", *[F.asc_nulls_last(c) for c in order])
+    return dealt.mapInArrow(walk, _UNITS)
 
 
 _SCHEMA = pa.schema([("document", pa.string()), ("row", pa.int32()), ("text", pa.string()), ("chapter", pa.string()), ("article", pa.string()), ("clause", pa.string()), ("page", pa.int64())])
