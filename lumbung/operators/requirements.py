@@ -80,16 +80,16 @@ SUMMARY, PART = 620, 50_000
 _MAPPED = "program string, part long, had int, marked boolean, has int, now_marked boolean, at long, unit int"
 
 
-def summary_units(chunks: DataFrame, order: str, length: int = SUMMARY, appendix: str = "lampiran", wanted: str = "nominal_bantuan") -> DataFrame:
+def summary_units(chunks: DataFrame, order: str, length: int = SUMMARY, appendix: str = "lampiran", wanted: str = "nominal_bantuan", keep: tuple[str, ...] = ()) -> DataFrame:
     """program, order, unit, summary and what the fold asks of each aid-amount unit of the chunks
     (program, text, tags, priority, title): ``n`` distinct amounts before and ``has`` after the cut,
-    ``marked`` if the summary names an appendix, ``plain`` if the row may replace one that does."""
+    ``marked`` if the summary names an appendix, ``plain`` if the row may replace one that does; and the columns of ``keep``."""
     may = F.coalesce(F.array_contains("tags", wanted), F.lit(False)) | X.is_aid_context(F.col("text"))
-    units = chunks.filter((F.coalesce("program", F.lit("")) != "") & may).select("program", F.col(order).alias("at"), "priority", "title", F.posexplode(X.amount_units(F.col("text"))).alias("unit", "whole"))
+    units = chunks.filter((F.coalesce("program", F.lit("")) != "") & may).select("program", F.col(order).alias("at"), "priority", "title", *keep, F.posexplode(X.amount_units(F.col("text"))).alias("unit", "whole"))
     count = lambda c: F.size(F.array_distinct(X.amounts(c)))
     cut = units.withColumn("n", count(F.col("whole"))).filter("n > 0").withColumn("summary", F.regexp_replace(F.substring("whole", 1, length), rf"{X.WS}+\z", ""))
     plain = (F.coalesce("priority", F.lit("")) == "normal") & ~F.lower(F.coalesce("title", F.lit(""))).contains(appendix)
-    return cut.select("program", "at", "unit", "summary", "n", count(F.col("summary")).alias("has"), F.lower("summary").contains(appendix).alias("marked"), plain.alias("plain"))
+    return cut.select(*keep, "program", "at", "unit", "summary", "n", count(F.col("summary")).alias("has"), F.lower("summary").contains(appendix).alias("marked"), plain.alias("plain"))
 
 
 def _folded(rows: Iterator[tuple[int, int, bool, bool, object]], entries: list[tuple[int, bool]]) -> dict[tuple[int, bool], tuple]:
@@ -157,4 +157,8 @@ def best_summaries(chunks: DataFrame, order: str = "ord", part: int = PART) -> D
     slim = units.select("program", F.expr(f"at div {part}").cast("long").alias("part"), F.col("at").cast("long").alias("at"), "unit", "n", "has", "marked", "plain")
     mapped = slim.groupBy("program", "part").applyInArrow(fold, _MAPPED)
     chosen = mapped.groupBy("program").applyInArrow(run_through, "program string, at long, unit int")
-    return units.select("program", F.col("at").cast("long").alias("at"), "unit", "summary").join(chosen, ["program", "at", "unit"]).select("program", F.col("at").alias("ord"), "unit", "summary")
+    # A row for each program: the summaries come from the chunks chosen alone, not from all of them again.
+    one = chosen.select(F.col("program").alias("_program"), F.col("at").alias("_at"), F.col("unit").alias("_unit"))
+    picked = chunks.join(F.broadcast(one), (F.col("program") == F.col("_program")) & (F.col(order).cast("long") == F.col("_at")))
+    found = summary_units(picked, order, keep=("_at", "_unit")).filter("unit = _unit")
+    return found.select("program", F.col("_at").alias("ord"), "unit", "summary")
