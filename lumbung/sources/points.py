@@ -66,11 +66,16 @@ class PointTable:
         return rows.withColumn("_bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
 
     def _write(self, dealt: DataFrame, path: str) -> None:
-        """Rows that are dealt by bucket already."""
-        dealt.write.partitionBy("_bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        """Rows that are dealt by bucket and part already."""
+        dealt.drop("_part").write.partitionBy("_bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+    def _parted(self, bucketed: DataFrame) -> DataFrame:
+        """Dealt by bucket and ``_part``, a further hash of the key: a bucket is no task, and keys stay together."""
+        parts = -(-4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        return bucketed.withColumn("_part", F.pmod(F.hash(self.key), F.lit(parts))).repartition("_bucket", "_part")
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
-        return self._bucketed(rows).repartition(self.buckets, "_bucket")
+        return self._parted(self._bucketed(rows))
 
     def _stored(self) -> DataFrame:
         return self.spark.read.option("basePath", self.path).parquet(self.path)
@@ -140,7 +145,7 @@ class PointTable:
             old = self._stored().filter(F.col("_bucket").isin(touched)).drop("_bucket")
             stored = old.withColumn("_rank", F.struct(F.lit(0).alias("turn"), F.lit(None).cast(updates.schema[order].dataType).alias("order"), F.lit(0).cast("long").alias("hash")))
             both = self._dealt(stored.unionByName(ranked, allowMissingColumns=True))
-            last = both.groupBy("_bucket", F.col(self.key).alias("_key")).agg(F.max_by(F.struct(*columns), F.col("_rank")).alias("_row"))
+            last = both.groupBy("_bucket", "_part", F.col(self.key).alias("_key")).agg(F.max_by(F.struct(*columns), F.col("_rank")).alias("_row"))
             self._write(last.select("_row.*", "_bucket"), self.path)
         return touched
 
@@ -151,7 +156,7 @@ class PointTable:
         touched = {r["_bucket"]: r["left"] for r in sizes.filter("gone > 0").collect()}  # at most `buckets` rows
         full, empty = [b for b, n in touched.items() if n], [b for b, n in touched.items() if not n]
         if full:
-            self._write(stored.filter(F.col("_bucket").isin(full) & ~hit).repartition(self.buckets, "_bucket"), self.path)
+            self._write(self._parted(stored.filter(F.col("_bucket").isin(full) & ~hit)), self.path)
         for b in empty:  # an overwrite leaves folders alone that get no row
             self._fs.delete(self._p(f"{self.path}/_bucket={b}"), True)
         return sorted(touched)

@@ -9,6 +9,7 @@ from lumbung.functions import text as X
 from lumbung.operators import answers as A
 from lumbung.operators import hierarchy as H
 from lumbung.operators import requirements as Q
+from lumbung.sources import points as S
 
 
 def plan(df):
@@ -50,3 +51,18 @@ def test_parts_of_a_text_are_made_once(spark):
     rows = [(i, "p", f"bantuan Rp {i}.000", None, "normal", None) for i in range(5)]
     chunks = spark.createDataFrame(rows, "ord long, program string, text string, tags array<string>, priority string, title string")
     assert [tuple(r) for r in Q.best_summaries(chunks).collect()] == [("p", 0, 0, "bantuan Rp 0.000")]
+
+
+def test_a_bucket_is_no_task(spark):
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = S.PointTable(spark, S.shared_folder(spark, "points"), "id", 1)
+        table.replace(spark.range(1000))
+        assert len(table.read().inputFiles()) > 2
+        table.upsert(spark.range(500, 1500), "id")
+        table.delete(F.col("id") < 10)
+        assert len(table.read().inputFiles()) > 2
+        assert sorted(r.id for r in table.read().collect()) == list(range(10, 1500))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
