@@ -14,11 +14,10 @@ from . import fixed
 
 #: White space as Python has it, for Java's regular expressions.
 WS = r"(?U)[\s\x1c-\x1f]"
-#: The same characters one by one, for trimming, and as classes that need no look at each one's kind.
+#: The same characters one by one, for trimming.
 _SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-_ODD = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Runs of white space other than one blank.
-_RUN = rf"[{_ODD}][ {_ODD}]*| [ {_ODD}]+"
+_RUN = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
 
 
 def strip(text: Column) -> Column:
