@@ -98,9 +98,9 @@ def page_route(lines: DataFrame, document: str, threshold: float = 50.0, problem
 def titled_response(raw: Column, page: Column | None = None, error: Column | None = None) -> Column:
     """Struct (title, content) of a page reader's answer with its two labels. Without a title label a
     stated one stands. With ``error``, a reader's failure gives the failure's title and a sentence."""
-    title = F.regexp_extract(raw, r"\[JUDUL\]:?\s*([^\n]*)", 1)
+    title = F.regexp_extract(raw, r"\[JUDUL\]:\s*([^\n]*)", 1)
     titled = F.when(F.coalesce(raw, F.lit("")).rlike(r"\[JUDUL\]:"), strip(title)).otherwise(F.lit(fixed.UNTITLED))
-    content = strip(F.element_at(F.split(raw, r"\[KONTEN\]:?"), -1))
+    content = strip(F.element_at(F.split(raw, r"\[KONTEN\]:"), -1))
     if error is None:
         return F.struct((strip(title) if page is None else titled).alias("title"), content.alias("content"))
     told = F.concat(F.lit("[Halaman "), page.cast("string"), F.lit("] "), F.lit(fixed.FAILED_TEXT), F.lit(": "), error)

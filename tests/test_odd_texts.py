@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lumbung.plans import catalog
+from lumbung.sources import jsonl as J
 
 from .test_queries import plain
 
@@ -13,6 +15,7 @@ BLANK = ["", " ", "\n", " \n ", "\t", "\xa0 ", " \t\n", "x", " " + PROSE + "\n",
 CASES = {
     "a19_cleaning_counters": [(1, PROSE + " " + PROSE), *((23 * k, text) for k, text in enumerate(ENDS, 1))],
     "c4_merge_small_tail": [*enumerate(BLANK + BLANK[1:] + [None, None])],
+    "s10_titled_response": [*enumerate([*BLANK, None, " " * 16 + PROSE, "\n" * 15 + PROSE, "abcdefghijklmn\t" + PROSE, "a [KONTEN] b", "a [KONTEN]: b", "[JUDUL]: a", "\n[JUDUL]", "[KONTEN]:"])],
 }
 
 
@@ -25,3 +28,9 @@ def test_odd_texts(spark, tmp_path, name):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     own = sorted(repr(tuple(plain(v) for v in r)) for r in df.collect())
     assert own == sorted(repr(tuple(plain(v) for v in r)) for r in con.execute(f"select {', '.join(df.columns)} from ({catalog.ORACLES[name]})").fetchall())
+
+
+def test_labels_have_colons(spark):
+    rows = [("[JUDUL] x [JUDUL]: T\n[KONTEN]: a [KONTEN] b",), ("[JUDUL] x",)]
+    found = [tuple(r.r) for r in spark.createDataFrame(rows, "raw string").select(J.titled_response(F.col("raw"), F.lit(7)).alias("r")).collect()]
+    assert found == [("T", "a [KONTEN] b"), ("Tabel/Diagram", "[JUDUL] x")]
