@@ -76,7 +76,7 @@ def explode_documents(documents: DataFrame) -> DataFrame:
     """Rows of (metadata map, items array of struct with text, isi, meta map) become a row for each
     item with text; the document's metadata goes over the item's."""
     item = documents.select("metadata", F.explode("items").alias("item"))
-    text = strip(F.coalesce(F.nullif(strip(F.col("item.text")), F.lit("")), F.col("item.isi")))
+    text = strip(F.coalesce(F.nullif(F.col("item.text"), F.lit("")), F.col("item.isi")))
     own = F.map_filter(F.coalesce("item.meta", F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys("metadata"), k))
     return item.select(text.alias("text"), F.map_concat(own, "metadata").alias("metadata")).filter("text is not null and text != ''")
 

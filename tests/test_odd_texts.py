@@ -16,6 +16,7 @@ CASES = {
     "a19_cleaning_counters": [(1, PROSE + " " + PROSE), *((23 * k, text) for k, text in enumerate(ENDS, 1))],
     "c4_merge_small_tail": [*enumerate(BLANK + BLANK[1:] + [None, None])],
     "s10_titled_response": [*enumerate([*BLANK, None, " " * 16 + PROSE, "\n" * 15 + PROSE, "abcdefghijklmn\t" + PROSE, "a [KONTEN] b", "a [KONTEN]: b", "[JUDUL]: a", "\n[JUDUL]", "[KONTEN]:"])],
+    "s6_document_explode": [*enumerate([*BLANK, *BLANK[1:], *BLANK[2:], None, None, None])],
 }
 
 
@@ -34,3 +35,9 @@ def test_labels_have_colons(spark):
     rows = [("[JUDUL] x [JUDUL]: T\n[KONTEN]: a [KONTEN] b",), ("[JUDUL] x",)]
     found = [tuple(r.r) for r in spark.createDataFrame(rows, "raw string").select(J.titled_response(F.col("raw"), F.lit(7)).alias("r")).collect()]
     assert found == [("T", "a [KONTEN] b"), ("Tabel/Diagram", "[JUDUL] x")]
+
+
+def test_items_without_text(spark):
+    items = [(" ", "isi", None), ("", " b ", {"k": "item", "source": "item"}), (None, "", None), (" a", "isi", None)]
+    df = spark.createDataFrame([({"source": "doc"}, items)], "metadata map<string,string>, items array<struct<text:string,isi:string,meta:map<string,string>>>")
+    assert [(r.text, r.metadata) for r in J.explode_documents(df).collect()] == [("b", {"k": "item", "source": "doc"}), ("a", {"source": "doc"})]
